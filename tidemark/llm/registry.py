@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import hyperminhash
+from tidemark.llm import hyperminhash, packing, piecebpe
 
 QUERIES = {
+    "op8_sentencepiece": piecebpe.op8_sentencepiece,
     "op9_hyperminhash": hyperminhash.op9_hyperminhash,
+    "op10_sum_of_squares_packing": packing.op10_sum_of_squares_packing,
 }
 ORACLES = {
     "op9_hyperminhash": hyperminhash.ORACLE,
