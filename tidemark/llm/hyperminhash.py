@@ -83,10 +83,10 @@ _BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
 def band_keys(full: np.ndarray) -> np.ndarray:
-    rows = full[: BANDS * ROWS].reshape(BANDS, ROWS)
+    """One key per band; a band's registers lie 51 apart, so that in small sets they are not borrowed from one shingle."""
     key = _BAND.copy()
-    for i in range(ROWS):
-        key = mix((key ^ rows[:, i]) * np.uint64(0x9FB21C651E98DF25))
+    for rows in full[: BANDS * ROWS].reshape(ROWS, BANDS):
+        key = mix((key ^ rows) * np.uint64(0x9FB21C651E98DF25))
     return key
 
 
@@ -206,8 +206,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, blo
     candidates = bands.join(shared, "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     loose = components(candidates, spark)
     sizes = loose.groupBy("component").count()
-    # blocks grow with the component: at most 64 to a side until they hold 4096 classes
-    wide = F.greatest(F.lit(block), F.least(F.lit(4096), F.ceil(F.col("count") / 64)))
+    # blocks grow with the component: at most 8 to a side until they hold 4096 classes
+    wide = F.greatest(F.lit(block), F.least(F.lit(4096), F.ceil(F.col("count") / 8)))
     cut = sizes.select("component", F.ceil(F.col("count") / wide).cast("int").alias("blocks"))
     member = loose.join(cut, "component").select(
         F.col("node").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")
