@@ -1,6 +1,6 @@
 """Quality rules: fixed limits on counts, and a logistic regression over hashed n-grams.
 
-Features are the presence of word 1- and 2-grams and character 3- and 4-grams (lower case in A-Z),
+Features are the presence of word 1- and 2-grams and character 3-grams (lower case in A-Z),
 hashed to 2**18 buckets. Two heads learn ``quality`` and ``toxic`` from labelled rows with an L1
 penalty (so most weights are exactly zero, and a long text gathers no noise from words that decide
 nothing). A quarter of the training rows is held out to calibrate each head's score to a
@@ -31,7 +31,7 @@ from tidemark.llm.words import Words, grams, mix, per_text, pieces
 
 BITS = 18
 BUCKETS = 1 << BITS
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 5000
 MIN_QUALITY, MAX_TOXIC = 0.5, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -90,16 +90,12 @@ def features(body: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.
     chars, begin = codepoints(words.body, at)
     owner = np.repeat(np.arange(len(at) - 1), np.diff(begin))
     code = chars.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for n in (3, 4):
-        if len(code) < n:
-            continue
-        size = len(code) - n + 1
-        key = code[:size]
-        for i in range(1, n):
-            key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + code[i : i + size]
+    if len(code) > 2:
+        key = (code[:-2] ^ (code[:-2] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + code[1:-1]
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) + code[2:]
         key = (key ^ (key >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        own = owner[n - 1 :] == owner[:size]
-        yield owner[:size][own], (key[own] >> shift).astype(np.int64)
+        own = owner[2:] == owner[:-2]
+        yield owner[:-2][own], (key[own] >> shift).astype(np.int64)
 
 
 @dataclass
@@ -120,7 +116,7 @@ def _constant(p: float) -> Head:
     return Head(np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0, 50.0 if p else -50.0)
 
 
-def fit_head(rows: list[np.ndarray], y: np.ndarray, default: float, penalty: float = 1e-3, steps: int = 150) -> Head:
+def fit_head(rows: list[np.ndarray], y: np.ndarray, default: float, penalty: float = 1e-3, steps: int = 80) -> Head:
     """L1-penalised logistic regression by accelerated proximal steps, calibrated on every fourth row."""
     if len(y) < 8 or y.min() == y.max():
         return _constant(default)

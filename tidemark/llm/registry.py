@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import hyperminhash, packing, piecebpe
+from tidemark.llm import backoff, hyperminhash, packing, piecebpe, quality
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
+    "op5_backoff": backoff.op5_backoff,
     "op8_sentencepiece": piecebpe.op8_sentencepiece,
     "op9_hyperminhash": hyperminhash.op9_hyperminhash,
     "op10_sum_of_squares_packing": packing.op10_sum_of_squares_packing,
