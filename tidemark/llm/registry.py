@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import backoff, hyperminhash, packing, piecebpe, quality
+from tidemark.llm import backoff, covertree, hyperminhash, packing, piecebpe, quality
 
 QUERIES = {
+    "op1_cover_tree": covertree.op1_cover_tree,
     "op2_quality": quality.op2_quality,
     "op5_backoff": backoff.op5_backoff,
     "op8_sentencepiece": piecebpe.op8_sentencepiece,
@@ -12,5 +13,6 @@ QUERIES = {
     "op10_sum_of_squares_packing": packing.op10_sum_of_squares_packing,
 }
 ORACLES = {
+    "op1_cover_tree": covertree.ORACLE,
     "op9_hyperminhash": hyperminhash.ORACLE,
 }
