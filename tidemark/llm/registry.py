@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from tidemark.llm import backoff, covertree, hyperminhash, packing, piecebpe, quality
+from tidemark.llm import backoff, boilerplate, covertree, hyperminhash, packing, piecebpe, privacy, quality
 
 QUERIES = {
     "op1_cover_tree": covertree.op1_cover_tree,
     "op2_quality": quality.op2_quality,
+    "op3_site_lines": boilerplate.op3_site_lines,
     "op5_backoff": backoff.op5_backoff,
+    "op7_disclosure": privacy.op7_disclosure,
     "op8_sentencepiece": piecebpe.op8_sentencepiece,
     "op9_hyperminhash": hyperminhash.op9_hyperminhash,
     "op10_sum_of_squares_packing": packing.op10_sum_of_squares_packing,
 }
 ORACLES = {
+    "op3_site_lines": boilerplate.ORACLE,
     "op1_cover_tree": covertree.ORACLE,
     "op9_hyperminhash": hyperminhash.ORACLE,
 }
