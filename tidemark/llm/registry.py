@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from tidemark.llm import backoff, boilerplate, covertree, hyperminhash, packing, piecebpe, privacy, quality
+from tidemark.llm import backoff, boilerplate, covertree, hyperminhash, licences, packing, piecebpe, privacy, quality, quotes
 
 QUERIES = {
     "op1_cover_tree": covertree.op1_cover_tree,
     "op2_quality": quality.op2_quality,
     "op3_site_lines": boilerplate.op3_site_lines,
+    "op4_licence_sentences": licences.op4_licence_sentences,
     "op5_backoff": backoff.op5_backoff,
+    "op6_quotation_links": quotes.op6_quotation_links,
     "op7_disclosure": privacy.op7_disclosure,
     "op8_sentencepiece": piecebpe.op8_sentencepiece,
     "op9_hyperminhash": hyperminhash.op9_hyperminhash,
     "op10_sum_of_squares_packing": packing.op10_sum_of_squares_packing,
 }
 ORACLES = {
+    "op4_licence_sentences": licences.ORACLE,
+    "op6_quotation_links": quotes.ORACLE,
     "op3_site_lines": boilerplate.ORACLE,
     "op1_cover_tree": covertree.ORACLE,
     "op9_hyperminhash": hyperminhash.ORACLE,
