@@ -6,8 +6,8 @@ symbols have changed are skipped. Symbols that are no piece become byte pieces.
 as U+2581 and one is put before the text.
 
 A merge can only join characters that stand side by side in some piece, so a text falls apart
-wherever they never do: here before a run of spaces and around line feeds (checked against the
-vocabulary on loading). Each distinct part is encoded once per worker. All parts first seen in an
+wherever they never do: before a run of spaces, around line feeds, and between ASCII punctuation
+marks and other characters, as far as the vocabulary holds no such pair. Each distinct part is encoded once per worker. All parts first seen in an
 Arrow batch are compared, ids and decoded text, with the sentencepiece library; a difference
 raises an error.
 
@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
+import string
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -33,8 +35,7 @@ from tidemark.llm.shared import table
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
-PARTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-MOST_KEPT = 600_000
+MOST_KEPT = 1_200_000
 
 
 class PieceBPE:
@@ -60,6 +61,11 @@ class PieceBPE:
         self.hidden = {i for i in count if lib.is_control(i)}
         if any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in self.ids):
             raise ValueError("a piece of this vocabulary crosses the places where texts are cut")
+        sides = {pair for p in self.ids for pair in itertools.pairwise(p)}
+        marks = set(string.punctuation)
+        marks -= {c for pair in sides for c in pair if c in marks and any(x not in marks and x != SPACE for x in pair)}
+        mark = "".join(map(re.escape, sorted(marks)))
+        self.cut = re.compile(f"{SPACE}*[^{SPACE}\n{mark}]+|{SPACE}*[{mark}]+|{SPACE}+|\n" if marks else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self.known: dict[str, str] = {}
 
     def merge(self, part: str) -> list[int]:
@@ -125,7 +131,7 @@ class PieceBPE:
 
     def parts(self, text: str) -> list[str]:
         """The parts of one text, all of them encoded and compared."""
-        parts = PARTS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        parts = self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
         if not self.known.keys() >= set(parts):
             self.learn(parts)
         return parts
