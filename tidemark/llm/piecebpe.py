@@ -7,7 +7,7 @@ as U+2581 and one is put before the text.
 
 A merge can only join characters that stand side by side in some piece, so a text falls apart
 wherever they never do: before a run of spaces, around line feeds, and between ASCII punctuation
-marks and other characters, as far as the vocabulary holds no such pair. Each distinct part is encoded once per worker. All parts first seen in an
+marks and letters, as far as the vocabulary holds no such pair. Each distinct part is encoded once per worker. All parts first seen in an
 Arrow batch are compared, ids and decoded text, with the sentencepiece library; a difference
 raises an error.
 
@@ -61,11 +61,15 @@ class PieceBPE:
         self.hidden = {i for i in count if lib.is_control(i)}
         if any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in self.ids):
             raise ValueError("a piece of this vocabulary crosses the places where texts are cut")
+        # marks that no piece puts next to a letter: a text may be cut between both
+        letters = "[^\\W\\d_" + "".join(sorted({c for p in self.ids for c in p if c.isalnum() and not c.isalpha() and not c.isdecimal()})) + "]"
+        letter = re.compile(letters)
         sides = {pair for p in self.ids for pair in itertools.pairwise(p)}
-        marks = set(string.punctuation)
-        marks -= {c for pair in sides for c in pair if c in marks and any(x not in marks and x != SPACE for x in pair)}
+        marks = set(string.punctuation) - {c for pair in sides if any(map(letter.match, pair)) for c in pair}
         mark = "".join(map(re.escape, sorted(marks)))
-        self.cut = re.compile(f"{SPACE}*[^{SPACE}\n{mark}]+|{SPACE}*[{mark}]+|{SPACE}+|\n" if marks else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+        whole = f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
+        word = rf"{SPACE}*{letters}++(?=[{mark}{SPACE}\n]|\Z)|{SPACE}*[{mark}]++(?={letters}|[{SPACE}\n]|\Z)"
+        self.cut = re.compile(f"{word}|{whole}" if marks else whole)
         self.known: dict[str, str] = {}
 
     def merge(self, part: str) -> list[int]:
