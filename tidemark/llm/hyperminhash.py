@@ -237,6 +237,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, blo
     )
 
 
+def representatives(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first of their component; one row of those that share a doc_id.
+
+    Rows without words or without doc_id are linked with nothing and stay.
+    """
+    out = near_duplicates(spark, docs, percent)
+    drop = out.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(drop, docs["doc_id"] == F.col("_gone"), "left_anti").select(*(docs[c] for c in docs.columns))
+
+
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
