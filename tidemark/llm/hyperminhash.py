@@ -212,7 +212,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, blo
     member = loose.join(cut, "component").select(
         F.col("node").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")
     )
-    pairs = member.join(own, "doc_id").select(
+    # always a sort-merge join: the members grow with the corpus, and a broadcast of few would only hide that
+    pairs = own.join(member.hint("merge"), "doc_id").select(
         "component",
         F.explode(
             F.transform(
