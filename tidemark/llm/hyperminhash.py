@@ -144,22 +144,30 @@ def links(sets: list[np.ndarray], percent: int = 75) -> list[tuple[int, int]]:
     full = np.stack([x for x, _ in sketch])
     # registers that were borrowed repeat others, so only half of the filled ones count as samples
     error = np.sqrt(s * (1 - s) / np.maximum(np.array([x.sum() for _, x in sketch]) / 2, 1))
+    # one number per distinct shingle, so that one set meets all others in a single pass over their numbers
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    names, number = np.unique(np.concatenate(sets), return_inverse=True)
+    mine = np.zeros(len(names), bool)
     label, done, out = np.arange(count), np.zeros(count, bool), []
     while True:
-        names, members = np.unique(label, return_counts=True)
-        rest = np.flatnonzero(~done & (label != names[members.argmax()]))
+        size = np.bincount(label, minlength=count)
+        rest = np.flatnonzero(~done & (label != size.argmax()))
         if not len(rest):
             return out
         i = int(rest[0])
         done[i] = True
         at = np.flatnonzero((label != label[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
         at = at[similarity_estimate(full[i], full[at]) >= s - 5 * np.maximum(error[at], error[i])]
-        for j in at.tolist():
+        if not len(at):
+            continue
+        mine[number[edge[i] : edge[i + 1]]] = True
+        upto = np.concatenate([[0], np.cumsum(mine[number])])
+        mine[:] = False
+        common = upto[edge[at + 1]] - upto[edge[at]]
+        for j in at[100 * common >= percent * (sizes[at] + sizes[i] - common)].tolist():
             if label[j] != label[i]:
-                common = int(np.isin(sets[j], sets[i], assume_unique=True).sum())
-                if 100 * common >= percent * (sizes[i] + sizes[j] - common):
-                    out.append((i, j))
-                    label[label == label[j]] = label[i]
+                out.append((i, j))
+                label[label == label[j]] = label[i]
 
 
 def _grouped_links(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -178,8 +186,9 @@ def _grouped_links(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[
                 if keys[i] != key:
                     found += flush()
                     key, ids, sets = keys[i], [], []
-                ids.append(names[i])
-                sets.append(hashes)
+                if len(hashes):
+                    ids.append(names[i])
+                    sets.append(hashes)
         yield _edges(found, batch.schema.field(3).type)
         kind = batch.schema.field(3).type
     if key is not None:
