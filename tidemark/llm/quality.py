@@ -8,7 +8,7 @@ probability. The model is fitted on at most ``train_rows`` labelled rows, those
 hash of doc_id; its size is bounded by the buckets, whatever the corpus holds. All whole texts are
 scored in Arrow batches.
 
-A document is kept if the counts pass, P(quality) is at least 0.5 and P(toxic) is below 0.5.
+A document is kept if the counts pass, P(quality) is at least 0.5 and P(toxic) is below 0.3.
 Null texts are empty: 0 words, so the counts fail. Repeated rows are judged one by one; several
 labels for one doc_id count as their minimum quality and maximum toxicity; null labels are
 ignored. Without labelled rows, or with one class only, a head gives 1 for quality and 0 for
@@ -31,8 +31,8 @@ from tidemark.llm.words import Words, grams, mix, per_text, pieces
 
 BITS = 18
 BUCKETS = 1 << BITS
-TRAIN_ROWS = 5000
-MIN_QUALITY, MAX_TOXIC = 0.5, 0.5
+TRAIN_ROWS = 4000
+MIN_QUALITY, MAX_TOXIC = 0.5, 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -116,29 +116,38 @@ def _constant(p: float) -> Head:
     return Head(np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0, 50.0 if p else -50.0)
 
 
-def fit_head(rows: list[np.ndarray], y: np.ndarray, default: float, penalty: float = 1e-3, steps: int = 80) -> Head:
-    """L1-penalised logistic regression by accelerated proximal steps, calibrated on every fourth row."""
-    if len(y) < 8 or y.min() == y.max():
+def fit_head(flat: np.ndarray, edge: np.ndarray, y: np.ndarray, default: float, penalty: float = 1e-3, steps: int = 160) -> Head:
+    """L1-penalised logistic regression by accelerated proximal steps, calibrated on every fourth row.
+
+    ``flat`` holds the rows' buckets (int32), row i from ``edge[i]`` to ``edge[i + 1]``.
+    """
+    rows = len(y)
+    if rows < 8 or y.min() == y.max():
         return _constant(default)
-    held = np.arange(len(y)) % 4 == 3
-    length = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), length)
-    common = np.bincount(flat[~held[owner]], minlength=BUCKETS) >= 3
-    use = common[flat]
-    flat, owner = flat[use], owner[use]
-    names, flat = np.unique(flat, return_inverse=True)
+    held = np.arange(rows) % 4 == 3
+    seen = np.bincount(flat[np.repeat(~held, np.diff(edge))], minlength=BUCKETS)
+    names = np.flatnonzero(seen >= 3)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[names] = np.arange(len(names), dtype=np.int32)
+    flat = place[flat]
+    use = flat >= 0
+    kept = np.concatenate([[0], np.cumsum(use)])[edge]
+    flat, size = flat[use], np.diff(kept)
     learn = ~held
     weight = np.where(y == 1, 0.5 / max(1, (y[learn] == 1).sum()), 0.5 / max(1, (y[learn] == 0).sum())) * learn
+
+    def score(w: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0.0], np.cumsum(w.astype(np.float32)[flat], dtype=np.float64)])
+        return total[kept[1:]] - total[kept[:-1]]
+
     w = step_w = np.zeros(len(names))
     b = step_b = 0.0
     t = 1.0
-    norm = np.bincount(owner, minlength=len(rows))
-    rate = 4.0 / max(1.0, float((norm * weight).sum()) / 12)
+    rate = 4.0 / max(1.0, float((size * weight).sum()) / 12)
     for _ in range(steps):
-        z = np.bincount(owner, step_w[flat], len(rows)) + step_b
+        z = score(step_w) + step_b
         error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * weight
-        grad = np.bincount(flat, error[owner], len(names))
+        grad = np.bincount(flat, np.repeat(error, size), len(names))
         moved = step_w - rate * grad
         new_w = np.sign(moved) * np.maximum(np.abs(moved) - rate * penalty, 0)
         new_b = step_b - rate * error.sum()
@@ -146,7 +155,7 @@ def fit_head(rows: list[np.ndarray], y: np.ndarray, default: float, penalty: flo
         step_w = new_w + (t - 1) / new_t * (new_w - w)
         step_b = new_b + (t - 1) / new_t * (new_b - b)
         w, b, t = new_w, new_b, new_t
-    z = np.bincount(owner, w[flat], len(rows)) + b
+    z = score(w) + b
     some = w != 0
     return Head(names[some], w[some], b, *_calibrated(z[held], y[held]))
 
@@ -193,9 +202,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
     if not len(rows):
         return _constant(1), _constant(0)
     rows = rows.sort_by("doc_id").combine_chunks()
-    buckets = [np.asarray(x.values, np.int64) for x in rows.column("buckets").chunk(0)]
+    buckets = rows.column("buckets").chunk(0)
+    flat, edge = buckets.values.to_numpy(), buckets.offsets.to_numpy().astype(np.int64)
     quality, toxic = (rows.column(c).to_numpy() for c in ("quality", "toxic"))
-    return fit_head(buckets, quality, 1.0), fit_head(buckets, toxic, 0.0)
+    return fit_head(flat, edge, quality, 1.0), fit_head(flat, edge, toxic, 0.0)
 
 
 def judged(docs: DataFrame, heads: tuple[Head, Head], keep: list[str]) -> DataFrame:
