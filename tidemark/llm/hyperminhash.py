@@ -4,13 +4,15 @@ A document's set holds the 64-bit hashes of its distinct word 5-shingles (words
 A-Z). Its sketch has 256 buckets, chosen by the top 8 bits of a shingle's hash; a register packs
 the count of leading zeros of the bucket's least remaining hash (6 bits) with the 10 bits that
 follow its leading one, so 16 bits stand for a minimum of 56. Buckets that no shingle falls into
-borrow the register of the next filled bucket (with the distance mixed in).
+borrow the register of the first filled bucket in an order of their own (with its place mixed in),
+so that the empty buckets of a small set draw from its shingles independently.
 
 1. *Classes*: documents with equal sets are one class, named by the smallest doc_id.
 2. *Banding*: 51 bands of 5 registers. Two sets of Jaccard similarity s share a band with
-   probability 1 - (1 - s**5)**51: all but about one in a million at s = 0.75. Classes that share
-   a band are candidates; a star to the smallest class of the bucket keeps the candidate graph
-   connected, so its components hold every candidate pair.
+   probability 1 - (1 - s**5)**51, all but about one in a million at s = 0.75, if registers agree
+   independently; the few filled buckets of small sets make that approximate (README). Classes that
+   share a band are candidates; a star to the smallest class of the bucket keeps the candidate
+   graph connected, so its components hold every candidate pair.
 3. *Estimate, then verify*: inside each candidate component, pairs are estimated from the
    registers, corrected for registers that agree by chance; those within five standard errors of
    the threshold or above are verified on the full sets. Components of more than ``block``
@@ -58,6 +60,10 @@ def shingle_sets(body: np.ndarray, at: np.ndarray, width: int = SHINGLE) -> list
     return out
 
 
+# each bucket's order of the others, as ranks; a fixed function, so that all sets borrow alike
+_RANK = mix(np.arange(1, BUCKETS * BUCKETS + 1, dtype=np.uint64)).reshape(BUCKETS, BUCKETS).argsort(axis=1).argsort(axis=1).astype(np.uint8)
+
+
 def registers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The 256 registers of a sorted non-empty set, filled up, and which of them were filled by the set."""
     bucket = (hashes >> np.uint64(56)).astype(np.int64)
@@ -72,10 +78,11 @@ def registers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     own[bucket[head]] = value
     filled = own > 0
     where = np.flatnonzero(filled)
-    after = np.searchsorted(where, np.arange(BUCKETS))
-    source = where[after % len(where)]
-    distance = (source - np.arange(BUCKETS)) % BUCKETS
-    full = own[source] + distance.astype(np.uint64) * np.uint64(1 << 17)
+    none = np.flatnonzero(~filled)
+    full = own.copy()
+    if len(none):
+        source = where[_RANK[none][:, where].argmin(axis=1)]
+        full[none] = own[source] + (source + 1).astype(np.uint64) * np.uint64(1 << 17)
     return full, filled
 
 
@@ -83,7 +90,7 @@ _BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
 def band_keys(full: np.ndarray) -> np.ndarray:
-    """One key per band; a band's registers lie 51 apart, so that in small sets they are not borrowed from one shingle."""
+    """One key per band, of registers that lie 51 apart."""
     key = _BAND.copy()
     for rows in full[: BANDS * ROWS].reshape(ROWS, BANDS):
         key = mix((key ^ rows) * np.uint64(0x9FB21C651E98DF25))
