@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests.llm.fixtures import frame
-from tidemark.llm import hyperminhash
+from tidemark.llm import hyperminhash, privacy
 
 # --- 9: near duplicates ---
 
@@ -31,3 +31,20 @@ def test_short_near_duplicates_are_linked(spark):
             want[2 * k + side] = 2 * k  # common of union shingles are equal, so brute force links the two
     got = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(spark, frame(spark, rows)).collect()}
     assert got == want
+
+
+# --- 7: personal data ---
+
+
+def test_terms_disclose_anywhere_in_a_text(spark):
+    far = "plain filler words " * 40
+    rows = [(i, f"Quibble {i} {far} joe@corp.org, 10.0.0.{i} {far} x quibble", "s") for i in range(2)]
+    rows += [(10 + i, f"{far} ordinary {i}", "s") for i in range(40)] + [(60, "quibble alone, twice quibble", "s"), (61, f"amy@corp.org {far} once", "s")]
+    df = frame(spark, rows)
+    got = {r.doc_id: r.t for r in privacy.detected(spark, df).select("doc_id", privacy._listed(["term"]).alias("t")).collect()}
+    for i in range(2):
+        text = rows[i][1]
+        assert got[i] == f"term:0:7,term:{len(text) - 7}:{len(text)}"
+    assert not any(got[i] for i in got if i > 1)
+    texts = {r.doc_id: r.text for r in privacy.sanitised(spark, df).collect()}
+    assert "uibble" not in texts[0] and texts[60] == rows[-2][1]

@@ -1,18 +1,21 @@
 """Personal data: patterns, and terms that disclose the entities those patterns find.
 
 Base kinds are email addresses, IP addresses, card numbers and phone numbers. Their values are the
-protected entities. A term (a run of letters and digits, lower case) within ``reach`` characters
-of an entity discloses it by their pointwise mutual information over the corpus,
+protected entities. A term (a run of at least three letters and digits, lower case, outside base
+spans) discloses an entity by their pointwise mutual information over the corpus,
 
     PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e))),   IC(e) = log2(N / n(e)),
 
-with N documents, n(t) documents that hold t, n(e) and n(t, e) distinct contexts (equal contexts in
-copies of a document count once). A term seen in at least ``support`` contexts of the entity with
-PMI at least ``generalise`` * IC(e) becomes a span; from ``remove`` * IC(e) on it is removed, below
-that it is generalised to a placeholder. Base spans always stay and become placeholders.
+with counts of distinct texts: N in all, n(t) with the term, n(e) with the entity and n(t, e) with
+both, anywhere in the text. Copies of a document count once. A term that meets the entity in at least
+``support`` texts with PMI at least ``generalise`` * IC(e) becomes a span at all its places in the
+texts that hold the entity; from ``remove`` * IC(e) on it is removed, below that it is generalised to
+a placeholder. Base spans always stay and become placeholders. Two rules: texts without the entity
+keep the term, as they hold no value that it could disclose; and ``support`` is 2, the least that
+tells a link from chance, because in a single text each of its rare words would have the full IC.
 
-Everything is DataFrame functions: the text is matched once, and only contexts of entities and
-counts of terms are shuffled. Patterns start only where a run of their characters starts (or where
+Everything is DataFrame functions: words are counted over one text of each group of copies, and only
+texts that hold entities meet the telling terms. Patterns start only where a run of their characters starts (or where
 the last match ended), which finds the same matches as the plain patterns in linear time on long
 runs. Null texts are empty: no spans. Rows with equal doc_id and text get equal spans, null ids
 included. Other columns are ignored by the query and kept by ``sanitised``; an empty table gives an
@@ -21,7 +24,7 @@ empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import table, written
@@ -36,7 +39,9 @@ PATTERNS = {
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = r"[\p{L}\p{N}]++"
-REACH, SUPPORT, GENERALISE, REMOVE = 200, 5, 0.5, 0.9
+HIDDEN = "\uffff"  # stands for each character of a base span; no character of any language
+RUN = r"[\p{L}\p{N}\uffff]++"
+SUPPORT, GENERALISE, REMOVE = 2, 0.5, 0.9
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -75,57 +80,51 @@ def base_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     return out.withColumns({kind: F.filter(kind, _check(kind)) for kind in KINDS})
 
 
-def _contexts(spans: Column, whole: Column, reach: int) -> Column:
-    """Two pieces of text for each span, before and after it, with the place where each starts."""
+def _masked(spans: Column, whole: Column) -> Column:
+    """The text with every character of the sorted spans hidden; its length stays."""
 
-    def around(x: Column) -> Column:
-        begin = F.greatest(x["start"] - reach, F.lit(0))
-        size = F.length(whole)
-        return F.array(
-            F.struct(x["kind"].alias("kind"), x["value"].alias("value"), begin.alias("at"), (begin > 0).alias("cut_left"), F.lit(False).alias("cut_right"), F.substring(whole, begin + 1, x["start"] - begin).alias("piece")),
-            F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["end"].alias("at"), F.lit(False).alias("cut_left"), (x["end"] + reach < size).alias("cut_right"), F.substring(whole, x["end"] + 1, F.lit(reach)).alias("piece")),
-        )
+    def step(acc: Column, x: Column) -> Column:
+        begin, end = F.greatest(x["start"], acc["at"]), F.greatest(x["end"], acc["at"])
+        piece = F.concat(F.substring(whole, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(HIDDEN), end - begin))
+        return F.struct(end.alias("at"), F.concat(acc["out"], piece).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
 
-    return F.flatten(F.transform(spans, around))
 
+def _words(matches: Column) -> Column:
+    """The distinct terms among matches, lower case."""
+    return F.array_distinct(F.transform(F.filter(matches, lambda x: (F.length(x) >= 3) & ~F.contains(x, F.lit(HIDDEN))), F.lower))
 
-def detected(
-    spark: SparkSession, docs: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
-) -> DataFrame:
+
+def detected(spark: SparkSession, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """rid, doc_id, a span array for each base kind, and ``term``: array of (start, end, removed)."""
-    own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
+    own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), "text")
     every = F.concat(*map(_tagged, KINDS))
-    base = base_spans(own, ["doc_id", "rid"]).withColumn("every", every)
-    base = written(base.select("doc_id", "rid", *KINDS, F.when(F.size("every") > 0, _contexts(F.col("every"), F.col("whole"), reach)).alias("contexts")), spark)
-    near = (
-        base.where("contexts is not null")
-        .dropDuplicates(["rid"])
-        .select("rid", *KINDS, F.explode("contexts").alias("c"))
-        .select("rid", F.array_union(F.array_union("email", "ip"), F.array_union("card", "phone")).alias("taken"), "c.*", F.xxhash64("c.piece").alias("context"))
-        .withColumn("words", found(F.col("piece"), TERM))
-        .withColumn("terms", places(F.col("piece"), TERM, F.col("words")))
-        .withColumn("size", F.length("piece"))
-        .select("rid", "taken", F.concat_ws(":", "kind", F.lower("value")).alias("entity"), "context", "at", "cut_left", "cut_right", "size", F.explode("terms").alias("t"))
-        .where("length(t.value) >= 3 and not (cut_left and t.start = 0) and not (cut_right and t.end = size)")
-        .withColumns({"start": F.col("t.start") + F.col("at"), "end": F.col("t.end") + F.col("at"), "word": F.lower("t.value")})
-        .where(~F.exists("taken", lambda x: (x["start"] < F.col("end")) & (F.col("start") < x["end"])))
-        .select("rid", "entity", "context", "word", "start", "end")
-    )
-    joint = near.select("entity", "word", "context").distinct().groupBy("entity", "word").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    alone = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = own.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("word"))
-    spread = words.groupBy("word").agg(F.count("*").alias("n_t"))
-    total = docs.select(F.lit(1)).count()
-    ratio = F.log2(F.lit(float(total)) * F.col("n_te") / (F.greatest("n_t", "n_te") * F.col("n_e"))) / F.greatest(F.log2(F.lit(float(total)) / F.col("n_e")), F.lit(1e-9))
-    telling = joint.join(alone, "entity").join(spread, "word").withColumn("ratio", ratio).where(F.col("ratio") >= generalise).select("entity", "word", "ratio")
-    terms = (
-        near.join(telling, ["entity", "word"])
-        .groupBy("rid", "start", "end")
-        .agg((F.max("ratio") >= remove).alias("removed"))
-        .groupBy("rid")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("term"))
-    )
-    return base.drop("contexts").join(terms, "rid", "left").withColumn("term", F.coalesce("term", F.array().cast("array<struct<start:int,end:int,removed:boolean>>")))
+    base = base_spans(own, ["doc_id", "rid", "tid"]).withColumn("every", every)
+    spans = F.sort_array(F.transform("every", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    entities = F.array_distinct(F.transform("every", lambda x: F.concat_ws(":", x["kind"], F.lower(x["value"]))))
+    some = F.size("every") > 0
+    masked = _masked(spans, F.translate("whole", HIDDEN, " "))
+    base = written(base.select("doc_id", "rid", "tid", *KINDS, F.when(some, entities).alias("entities"), F.when(some, masked).alias("masked")), spark)
+    held = base.where("masked is not null").dropDuplicates(["tid"]).select("tid", "entities", "masked").withColumn("matches", found(F.col("masked"), RUN))
+    values = held.select("tid", F.explode("entities").alias("entity"))
+    alone = values.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    pairs = values.join(alone, "entity").join(held.select("tid", F.explode(_words(F.col("matches"))).alias("word")), "tid")
+    joint = pairs.groupBy("entity", "word").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e")).where(F.col("n_te") >= support)
+    texts = own.select("tid", F.coalesce("text", F.lit("")).alias("whole")).dropDuplicates(["tid"])
+    spread = texts.select(F.explode(_words(found(F.col("whole"), TERM))).alias("word")).groupBy("word").agg(F.count("*").alias("n_t"))
+    total = F.lit(float(own.select("tid").distinct().count()))
+    ratio = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.log2(total / F.col("n_e")), F.lit(1e-9))
+    telling = joint.join(spread, "word").withColumn("ratio", ratio).where(F.col("ratio") >= generalise).select("entity", "word", "ratio")
+    hits = pairs.join(telling, ["entity", "word"]).groupBy("tid", "word").agg((F.max("ratio") >= remove).alias("removed"))
+    gaps = F.slice(F.split("masked", RUN, -1), F.lit(1), F.size("matches"))
+    sized = F.zip_with(gaps, "matches", lambda gap, value: F.struct((F.length(gap) + F.length(value)).alias("step"), value.alias("value")))
+    end = F.sum("t.step").over(Window.partitionBy("tid").orderBy("place")).cast("int")
+    placed = held.select("tid", F.posexplode(sized).alias("place", "t")).select("tid", F.lower("t.value").alias("word"), (end - F.length("t.value")).alias("start"), end.alias("end"))
+    terms = placed.join(hits, ["tid", "word"]).groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("term"))
+    none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
+    return base.drop("entities", "masked").join(terms, "tid", "left").withColumn("term", F.coalesce("term", none)).drop("tid")
 
 
 def _listed(kinds: list[str]) -> Column:
