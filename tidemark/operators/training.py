@@ -23,9 +23,9 @@ from tidemark.sources.catalog import Catalog
 
 
 class ResidualBooster:
-    """Boosted trees over named columns: ``trees_per_call`` per chunk, at most ``max_trees`` in all."""
+    """Boosted trees over named columns: ``trees_per_call`` per chunk; a call beyond ``max_trees``, if given, raises ValueError."""
 
-    def __init__(self, names: list[str], trees_per_call: int = 5, max_depth: int = 5, learning_rate: float = 0.1, max_trees: int = 200, seed: int = 42):
+    def __init__(self, names: list[str], trees_per_call: int = 5, max_depth: int = 5, learning_rate: float = 0.1, max_trees: int | None = None, seed: int = 42):
         self.names, self.trees_per_call, self.max_depth = list(names), trees_per_call, max_depth
         self.learning_rate, self.max_trees, self.seed = learning_rate, max_trees, seed
         self.trees: list[DecisionTreeRegressionModel] = []
@@ -42,11 +42,13 @@ class ResidualBooster:
 
     def partial_fit(self, df: DataFrame, label: str = "label", weight: str = "weight") -> ResidualBooster:
         """Adds trees fitted to the residuals of ``df``; its columns are the named ones, label and weight."""
+        if self.max_trees is not None and len(self.trees) + self.trees_per_call > self.max_trees:
+            raise ValueError(f"{len(self.trees)} trees and {self.trees_per_call} more exceed max_trees = {self.max_trees}")
         data = self._scored(self._vectors(df), self.trees, F.lit(0.0)).select("_features", F.col(label).cast("double").alias("_y"), F.col(weight).cast("double").alias("_w"), F.col("score").alias("_f")).persist()
         grower = DecisionTreeRegressor(featuresCol="_features", labelCol="_left", weightCol="_w", predictionCol="_p", maxDepth=self.max_depth, seed=self.seed)
         try:
             fresh: list[DecisionTreeRegressionModel] = []
-            for _ in range(min(self.trees_per_call, self.max_trees - len(self.trees))):
+            for _ in range(self.trees_per_call):
                 left = self._scored(data, fresh, F.col("_f")).withColumn("_left", F.col("_y") - F.col("score"))
                 fresh.append(grower.fit(left.select("_features", "_left", "_w")))
             self.trees += fresh
