@@ -1,10 +1,12 @@
 """Cases in which an operator once did less than its whole job."""
 
+import textwrap
+
 import numpy as np
 import pytest
 
 from tests.llm.fixtures import frame
-from tidemark.llm import hyperminhash, privacy
+from tidemark.llm import hyperminhash, licences, privacy
 
 # --- 9: near duplicates ---
 
@@ -48,3 +50,22 @@ def test_terms_disclose_anywhere_in_a_text(spark):
     assert not any(got[i] for i in got if i > 1)
     texts = {r.doc_id: r.text for r in privacy.sanitised(spark, df).collect()}
     assert "uibble" not in texts[0] and texts[60] == rows[-2][1]
+
+
+# --- 4: licences ---
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_licences(spark, mark):
+    want = ["MIT", "BSD-3-Clause", "GPL-3.0", "ISC"]
+    need = [["mit-grant", "mit-condition"], ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"], ["gpl-free"], ["isc-grant"]]
+    rows = []
+    for i, keys in enumerate(need):
+        lines = ["Copyright 2020 A. Person"]
+        for key in keys:
+            lines += [*textwrap.wrap(licences.SENTENCES[key][0], 72), ""]
+        rows.append((i, "\n".join(mark + x for x in lines), "s"))
+    rows.append((9, f"{mark}MIT License\n{mark}some text\n{mark}SPDX-License-Identifier: BSD-3-Clause\n", "s"))
+    got = {r.doc_id: r for r in licences.scanned(frame(spark, rows)).collect()}
+    assert [got[i].licences for i in range(4)] == want
+    assert got[9].sentence_ids == "mit-title,bsd3-notice"

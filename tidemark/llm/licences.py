@@ -1,8 +1,9 @@
 """Licence recognition by sentence rules, with DataFrame functions only.
 
-Text is cut into sentences (at line feeds and after ``.``, ``!``, ``?`` or ``;`` before white space), each is normalised
-(lower case, runs of other characters than letters and digits become one space) and looked up among
-known licence sentences. The identifiers found, in text order, are matched against licence
+Text is cut into sentences (at lines without letters and digits, at a line's end after ``:``, and after ``.``, ``!``,
+``?`` or ``;`` before white space), each is normalised (lower case, runs of other characters than letters and digits,
+so line feeds and comment marks too, become one space) and looked up among known licence sentences. In a sentence
+that is not known, each line is looked up by itself, and then all from that line on. The identifiers found, in text order, are matched against licence
 rules, the first rule first: a rule whose identifiers stand next to each other in the sequence names a
 licence and uses them up, so a full text is not reported again by its parts.
 
@@ -76,7 +77,7 @@ RULES = [
     ("CC0-1.0", ["cc0-notice"]),
     ("Unlicense", ["unlicense"]),
 ]
-CUT = r"\n|(?<=[.!?;])[\x20\x09-\x0D]+"
+CUT = r"\n(?:[^A-Za-z0-9\n]*\n)+|(?<=:)[\x20\t\r]*\n|(?<=[.!?;])[\x20\x09-\x0D]+"
 
 
 def normal(sentence: str) -> str:
@@ -95,9 +96,27 @@ def scanned(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rule
     ordered = RULES if rules is None else rules
     lengths = sorted({len(s) for s in known})
     names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    # only sentences of a known length are normalised in full and looked up
+    # each line of a sentence has a word, so a known one has no more lines than this
+    most = max(len(s.split()) for s in known)
+
+    def look(x: Column) -> Column:
+        # only what has a known length is normalised in full and looked up
+        return F.when(F.length(x) >= lengths[0], F.element_at(names, _normal(x)))
+
+    def by_line(x: Column) -> Column:
+        lines = F.split(x, "\n", -1)
+
+        def at(line: Column, i: Column) -> Column:
+            left = F.size(lines) - i
+            rest = F.when((i > 0) & (left > 1) & (left <= most), look(F.array_join(F.slice(lines, i + 1, left), " ")))
+            return F.coalesce(look(line), rest)
+
+        return F.transform(lines, at)
+
     parts = F.filter(F.split(F.coalesce("text", F.lit("")), CUT, -1), lambda x: F.length(x) >= lengths[0])
-    ids = F.filter(F.transform(parts, lambda x: F.element_at(names, _normal(x))), lambda x: x.isNotNull())
+    whole = F.transform(parts, lambda x: F.struct(x.alias("x"), look(x).alias("id")))
+    ids = F.flatten(F.transform(whole, lambda w: F.when(w["id"].isNotNull() | ~F.contains(w["x"], F.lit("\n")), F.array(w["id"])).otherwise(by_line(w["x"]))))
+    ids = F.filter(ids, lambda x: x.isNotNull())
     rule = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("," + "".join(f"{i}," for i in need)).alias("need")) for name, need in ordered))
     first = F.struct(F.col("sequence").alias("left"), F.array().cast("array<struct<at:int,name:string>>").alias("found"))
 
