@@ -2,7 +2,9 @@
 
 The library splits a text by one pattern and encodes every piece of it by itself. Here the split
 is computed for whole Arrow batches from a table of character classes, each distinct piece is
-encoded by the library once per worker, and the ids of all pieces are gathered with NumPy.
+encoded by the library once per task, and the ids of all pieces are gathered with NumPy. Strings
+of added tokens in a text (such as an end-of-text mark) become those tokens, as the library's call
+has it by default; the text on either side of one is split by itself.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from tidemark.llm.words import _Powers, mix
 LETTER, NUMBER, SPACE = 1, 2, 3
 #: White_Space of Unicode, as \s in the pattern (fixed values).
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-MOST_KEPT = 1_000_000
+MOST_KEPT = 400_000  # pieces remembered at a time, of 24 bytes and 4 for each id
 
 
 def _classes() -> np.ndarray:
@@ -40,7 +42,7 @@ def codepoints(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class ByteBPE:
-    """Encodes with the vocabulary file ``path``; strings of special tokens in a text are ordinary text."""
+    """Encodes with the vocabulary file ``path``, as ``encode(text, add_special_tokens=False)`` of the library does."""
 
     _own: dict[str, ByteBPE] = {}
 
@@ -52,17 +54,29 @@ class ByteBPE:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.kind = _classes()
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+    def forget(self) -> None:
+        """Drops the pieces encoded so far; called at the end of a task, as workers live on."""
+        self.names = np.zeros(0, np.uint64)  # hashes of the known pieces, sorted
+        self.where = self.length = np.zeros(0, np.int64)  # the place of each one's ids in ``flat``
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.where = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def marks(self, body: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """(start, end) in bytes of every string of an added token that lies within one text."""
+        raw, out = body.tobytes(), []
+        for token in self.added:
+            i = raw.find(token)
+            while i >= 0:
+                end = i + len(token)
+                if end <= at[np.searchsorted(at, i, "right")]:
+                    out.append((i, end))
+                i = raw.find(token, end)
+        return np.array(sorted(out), np.int64).reshape(-1, 2)
+
     def split(self, chars: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where the pieces of the pattern start, in all texts."""
         n = len(chars)
@@ -102,38 +116,43 @@ class ByteBPE:
         """All ids of the texts, one after the other, and where each text's ids start."""
         if not len(body):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-        chars, at = codepoints(body, at)
-        start = self.split(chars, at)
+        marks = self.marks(body, at)
+        cuts = np.unique(np.concatenate([at, marks.ravel()]))
+        chars, edges = codepoints(body, cuts)
+        at = edges[np.searchsorted(cuts, at)]
+        start = self.split(chars, edges)
+        if len(marks):  # an added token is one piece
+            begins, ends = edges[np.searchsorted(cuts, marks[:, 0])], edges[np.searchsorted(cuts, marks[:, 1])]
+            last = np.searchsorted(begins, start, "right") - 1
+            start = start[(last < 0) | (start == begins[last]) | (start >= ends[last])]
         end = np.append(start[1:], len(chars))
         up, down = _Powers.of(len(chars))
         total = np.zeros(len(chars) + 1, np.uint64)
         np.cumsum(mix(chars.astype(np.uint64) + np.uint64(1)) * up[: len(chars)], out=total[1:])
         key = mix((total[end] - total[start]) * down[start])
         names, first, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.known) > MOST_KEPT:
-            self._forget()
-        names = names.tolist()
-        slot = [self.known.get(x, -1) for x in names]
-        new = [i for i, x in enumerate(slot) if x < 0]
-        if new:
-            texts = [chars[start[first[i]] : end[first[i]]].tobytes().decode("utf-32-le") for i in new]
-            for i, x in zip(new, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                slot[i] = self.known[names[i]] = self._keep(x.ids)
-        piece = np.array(slot, np.int64)[back]
+        if len(self.names) > MOST_KEPT:
+            self.forget()
+        new = np.flatnonzero(~np.isin(names, self.names, assume_unique=True))
+        if len(new):
+            texts = [chars[start[i] : end[i]].tobytes().decode("utf-32-le") for i in first[new].tolist()]
+            self._keep(names[new], [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+        piece = np.searchsorted(self.names, names)[back]
         length = self.length[piece]
         edge = np.zeros(len(piece) + 1, np.int64)
         np.cumsum(length, out=edge[1:])
         ids = self.flat[np.repeat(self.where[piece] - edge[:-1], length) + np.arange(edge[-1])]
         return ids, edge[np.searchsorted(start, at)]
 
-    def _keep(self, ids: list[int]) -> int:
-        k = len(self.known)
-        while self.used + len(ids) > len(self.flat):
+    def _keep(self, names: np.ndarray, ids: list[list[int]]) -> None:
+        """Adds pieces by their sorted hashes."""
+        length = np.array([len(x) for x in ids], np.int64)
+        end = self.used + np.cumsum(length)
+        while end[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if k >= len(self.where):
-            self.where = np.concatenate([self.where, np.zeros_like(self.where)])
-            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.where[k], self.length[k] = self.used, len(ids)
-        self.used += len(ids)
-        return k
+        self.flat[self.used : end[-1]] = np.concatenate([np.array(x, np.uint32) for x in ids])
+        place = np.searchsorted(self.names, names)
+        self.names = np.insert(self.names, place, names)
+        self.where = np.insert(self.where, place, end - length)
+        self.length = np.insert(self.length, place, length)
+        self.used = int(end[-1])

@@ -43,23 +43,27 @@ def cut(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE.of(path)
         for batch in batches:
-            for row, body, at in text_pieces(batch.column(1)):
-                ids, edge = bpe.encode(body, at)
-                out: list[tuple] = []
-                kept = []
-                for doc, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True), row):
-                    own = np.append(ids[a:b], end_id).astype("<u4")
-                    first = (len(own) - 1) % capacity + 1
-                    begins = [0, *range(first, len(own), capacity)]
-                    for k, (x, y) in enumerate(zip(begins, [*begins[1:], len(own)], strict=True)):
-                        out.append((doc, k, x, y - x, zlib.crc32(own[x:y])))
-                        if keep_ids:
-                            kept.append(own[x:y].astype(np.int32))
-                doc, k, x, n, crc = (np.array(c, np.int64) for c in zip(*out, strict=True))
-                arrays = [batch.column(0).take(pa.array(doc)), pa.array(k.astype(np.int32)), pa.array(x), pa.array(n), pa.array(crc)]
-                if keep_ids:
-                    arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(kept))))
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
+            yield from pieces_of(bpe, batch)
+        bpe.forget()
+
+    def pieces_of(bpe: ByteBPE, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for row, body, at in text_pieces(batch.column(1)):
+            ids, edge = bpe.encode(body, at)
+            out: list[tuple] = []
+            kept = []
+            for doc, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True), row):
+                own = np.append(ids[a:b], end_id).astype("<u4")
+                first = (len(own) - 1) % capacity + 1
+                begins = [0, *range(first, len(own), capacity)]
+                for k, (x, y) in enumerate(zip(begins, [*begins[1:], len(own)], strict=True)):
+                    out.append((doc, k, x, y - x, zlib.crc32(own[x:y])))
+                    if keep_ids:
+                        kept.append(own[x:y].astype(np.int32))
+            doc, k, x, n, crc = (np.array(c, np.int64) for c in zip(*out, strict=True))
+            arrays = [batch.column(0).take(pa.array(doc)), pa.array(k.astype(np.int32)), pa.array(x), pa.array(n), pa.array(crc)]
+            if keep_ids:
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(kept))))
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
 
     shape = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     return docs.select("doc_id", "text").mapInArrow(run, shape)

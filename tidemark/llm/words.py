@@ -34,20 +34,28 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 class _Powers:
-    """Powers of the hash base and of its inverse, for as many positions as were asked for."""
+    """Powers of the hash base and of its inverse; those of the first ``KEPT`` positions stay."""
 
+    KEPT = 1 << 20
     up = down = np.ones(1, np.uint64)
 
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n + 1:
-            size = max(n + 1, 1 << 20)
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(cls, name, np.multiply.accumulate(steps))
+        if n >= cls.KEPT:
+            return cls._made(n + 1)
+        if len(cls.up) < cls.KEPT:
+            cls.up, cls.down = cls._made(cls.KEPT)
         return cls.up, cls.down
 
+    @staticmethod
+    def _made(size: int) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for base in (_BASE, _INVERSE):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            out.append(np.multiply.accumulate(steps))
+        return tuple(out)
+
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column (null: empty) and where each text starts; the last entry is the end."""
