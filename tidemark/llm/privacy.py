@@ -1,13 +1,16 @@
 """Personal data: patterns, and terms that disclose the entities those patterns find.
 
-Base kinds are email addresses, IP addresses, card numbers and phone numbers. Their values are the
-protected entities. A term (a run of at least three letters and digits, lower case, outside base
-spans) discloses an entity by their pointwise mutual information over the corpus,
+Base kinds are email addresses, IP addresses, card numbers and phone numbers. Protected entities are their
+values and named secrets (``NAMES`` before ``=`` or ``:``, as in ``token = "..."``). A term (a run of
+at least three letters and digits, lower case, outside base spans) discloses an entity by their pointwise
+mutual information over the corpus, discounted where few texts speak for it,
 
-    PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e))),   IC(e) = log2(N / n(e)),
+    PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e))) * n(t, e) / (n(t, e) + 1),   IC(e) = log2(N / n(e)),
 
 with counts of distinct texts: N in all, n(t) with the term, n(e) with the entity and n(t, e) with
-both, anywhere in the text. Copies of a document count once. A term that meets the entity in at least
+both, anywhere in the text. Copies of a document count once. Evidence is gathered for terms by themselves
+and, as a secret's value stands in one text only, for the shapes of mixed terms: letters and digits of
+one length, apart for hexadecimal ones. A term that meets the entity (itself, or its shape) in at least
 ``support`` texts with PMI at least ``generalise`` * IC(e) becomes a span at all its places in the
 texts that hold the entity; from ``remove`` * IC(e) on it is removed, below that it is generalised to
 a placeholder. Base spans always stay and become placeholders. Two rules: texts without the entity
@@ -17,9 +20,10 @@ tells a link from chance, because in a single text each of its rare words would
 Everything is DataFrame functions: words are counted over one text of each group of copies, and only
 texts that hold entities meet the telling terms. Patterns start only where a run of their characters starts (or where
 the last match ended), which finds the same matches as the plain patterns in linear time on long
-runs. Null texts are empty: no spans. Rows with equal doc_id and text get equal spans, null ids
-included. Other columns are ignored by the query and kept by ``sanitised``; an empty table gives an
-empty result.
+runs, and texts are rewritten in chunks of matches, so very long texts with many of them are no special case.
+Null texts are empty: no spans. Rows with equal doc_id and text get equal spans, null ids
+included. Other columns are ignored by the query and kept by ``sanitised``, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import table, written
-from tidemark.llm.spans import found, places
+from tidemark.llm.spans import found, places, rewritten
 
 KINDS = ["email", "ip", "card", "phone"]
 PATTERNS = {
@@ -42,6 +46,10 @@ TERM = r"[\p{L}\p{N}]++"
 HIDDEN = "\uffff"  # stands for each character of a base span; no character of any language
 RUN = r"[\p{L}\p{N}\uffff]++"
 SUPPORT, GENERALISE, REMOVE = 2, 0.5, 0.9
+#: What secrets are called where they are set.
+NAMES = ["access_key", "api_key", "apikey", "credential", "passwd", "password", "private_key", "pwd", "secret", "token"]
+NAMED = r"(?<![\p{L}\p{N}_])(" + "|".join(NAMES) + r")[\x22\x27]?[\x20\t]*[=:]"
+MIXED = r"^(?=.*[0-9])(?=.*\p{L})[\p{L}\p{N}]{8,}$"
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -80,21 +88,15 @@ def base_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     return out.withColumns({kind: F.filter(kind, _check(kind)) for kind in KINDS})
 
 
-def _masked(spans: Column, whole: Column) -> Column:
-    """The text with every character of the sorted spans hidden; its length stays."""
-
-    def step(acc: Column, x: Column) -> Column:
-        begin, end = F.greatest(x["start"], acc["at"]), F.greatest(x["end"], acc["at"])
-        piece = F.concat(F.substring(whole, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(HIDDEN), end - begin))
-        return F.struct(end.alias("at"), F.concat(acc["out"], piece).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
+def _words(matches: Column) -> Column:
+    """The distinct terms among matches, lower case, and the shapes of mixed ones."""
+    words = F.transform(F.filter(matches, lambda x: (F.length(x) >= 3) & ~F.contains(x, F.lit(HIDDEN))), F.lower)
+    return F.array_distinct(F.concat(words, F.transform(F.filter(words, lambda x: x.rlike(MIXED)), _shape)))
 
 
-def _words(matches: Column) -> Column:
-    """The distinct terms among matches, lower case."""
-    return F.array_distinct(F.transform(F.filter(matches, lambda x: (F.length(x) >= 3) & ~F.contains(x, F.lit(HIDDEN))), F.lower))
+def _shape(word: Column) -> Column:
+    """A name for all mixed terms like this one; no word has its first character."""
+    return F.concat(F.when(word.rlike("^[0-9a-f]+$"), "#hex").otherwise("#mix"), F.length(word).cast("string"))
 
 
 def detected(spark: SparkSession, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -103,28 +105,38 @@ def detected(spark: SparkSession, docs: DataFrame, support: int = SUPPORT, gener
     every = F.concat(*map(_tagged, KINDS))
     base = base_spans(own, ["doc_id", "rid", "tid"]).withColumn("every", every)
     spans = F.sort_array(F.transform("every", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-    entities = F.array_distinct(F.transform("every", lambda x: F.concat_ws(":", x["kind"], F.lower(x["value"]))))
-    some = F.size("every") > 0
-    masked = _masked(spans, F.translate("whole", HIDDEN, " "))
-    base = written(base.select("doc_id", "rid", "tid", *KINDS, F.when(some, entities).alias("entities"), F.when(some, masked).alias("masked")), spark)
-    held = base.where("masked is not null").dropDuplicates(["tid"]).select("tid", "entities", "masked").withColumn("matches", found(F.col("masked"), RUN))
+    values = F.transform("every", lambda x: F.concat_ws(":", x["kind"], F.lower(x["value"])))
+    names = F.transform(F.regexp_extract_all(F.lower("whole"), F.lit(NAMED), F.lit(1)), lambda x: F.concat(F.lit("name:"), x))
+    base = base.withColumn("entities", F.array_distinct(F.concat(values, F.when(F.col("whole").rlike("(?i:" + "|".join(NAMES) + ")"), names).otherwise(F.array().cast("array<string>")))))
+    some = F.size("entities") > 0
+    masked = rewritten(F.translate("whole", HIDDEN, " "), spans, lambda _, begin, end: F.repeat(F.lit(HIDDEN), end - begin))
+    base = base.withColumn("masked", F.when(some, masked))
+    # words of a text that stand in its base spans only, which are no terms there
+    hidden = F.when(some, F.array_except(_words(found(F.col("whole"), TERM)), _words(found(F.col("masked"), RUN))))
+    base = written(base.select("doc_id", "rid", "tid", *KINDS, "entities", "masked", hidden.alias("hidden")), spark)
+    held = base.where("masked is not null").dropDuplicates(["tid"]).select("tid", "entities", "masked", "hidden").withColumn("matches", found(F.col("masked"), RUN))
     values = held.select("tid", F.explode("entities").alias("entity"))
     alone = values.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
     pairs = values.join(alone, "entity").join(held.select("tid", F.explode(_words(F.col("matches"))).alias("word")), "tid")
     joint = pairs.groupBy("entity", "word").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e")).where(F.col("n_te") >= support)
     texts = own.select("tid", F.coalesce("text", F.lit("")).alias("whole")).dropDuplicates(["tid"])
-    spread = texts.select(F.explode(_words(found(F.col("whole"), TERM))).alias("word")).groupBy("word").agg(F.count("*").alias("n_t"))
+    seen = texts.select(F.explode(_words(found(F.col("whole"), TERM))).alias("word"), F.lit(1).alias("n"))
+    unseen = held.select(F.explode("hidden").alias("word"), F.lit(-1).alias("n"))
+    spread = seen.unionByName(unseen).groupBy("word").agg(F.sum("n").alias("n_t"))
     total = F.lit(float(own.select("tid").distinct().count()))
-    ratio = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.log2(total / F.col("n_e")), F.lit(1e-9))
+    pmi = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) * F.col("n_te") / (F.col("n_te") + 1)
+    ratio = pmi / F.greatest(F.log2(total / F.col("n_e")), F.lit(1e-9))
     telling = joint.join(spread, "word").withColumn("ratio", ratio).where(F.col("ratio") >= generalise).select("entity", "word", "ratio")
     hits = pairs.join(telling, ["entity", "word"]).groupBy("tid", "word").agg((F.max("ratio") >= remove).alias("removed"))
     gaps = F.slice(F.split("masked", RUN, -1), F.lit(1), F.size("matches"))
     sized = F.zip_with(gaps, "matches", lambda gap, value: F.struct((F.length(gap) + F.length(value)).alias("step"), value.alias("value")))
     end = F.sum("t.step").over(Window.partitionBy("tid").orderBy("place")).cast("int")
-    placed = held.select("tid", F.posexplode(sized).alias("place", "t")).select("tid", F.lower("t.value").alias("word"), (end - F.length("t.value")).alias("start"), end.alias("end"))
-    terms = placed.join(hits, ["tid", "word"]).groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("term"))
+    placed = held.select("tid", F.posexplode(sized).alias("place", "t")).select("tid", F.lower("t.value").alias("term"), (end - F.length("t.value")).alias("start"), end.alias("end"))
+    placed = placed.select("tid", "start", "end", F.explode(F.when(F.col("term").rlike(MIXED), F.array("term", _shape(F.col("term")))).otherwise(F.array("term"))).alias("word"))
+    once = placed.join(hits, ["tid", "word"]).groupBy("tid", "start", "end").agg(F.max("removed").alias("removed"))
+    terms = once.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("term"))
     none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
-    return base.drop("entities", "masked").join(terms, "tid", "left").withColumn("term", F.coalesce("term", none)).drop("tid")
+    return base.select("doc_id", "rid", "tid", *KINDS).join(terms, "tid", "left").withColumn("term", F.coalesce("term", none)).drop("tid")
 
 
 def _listed(kinds: list[str]) -> Column:
@@ -140,18 +152,11 @@ def sanitised(spark: SparkSession, docs: DataFrame) -> DataFrame:
     spans = detected(spark, docs).where(F.size(F.concat(*(F.transform(k, lambda x: x["start"]) for k in [*KINDS, "term"]))) > 0).dropDuplicates(["rid"])
     marks = [_marks(kind, lambda _, kind=kind: F.lit(tag[kind])) for kind in KINDS]
     marks.append(_marks("term", lambda x: F.when(x["removed"], "").otherwise("[TERM]")))
-    spans = spans.select(F.col("rid").alias("_rid"), F.sort_array(F.concat(*marks)).alias("_marks"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("whole"), F.xxhash64("doc_id", "text").alias("_rid"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        piece = F.concat(F.substring(F.col("whole"), acc["at"] + 1, x["start"] - acc["at"]), x["by"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    changed = F.aggregate("_marks", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("whole"), acc["at"] + 1, F.length("whole"))))
-    return rows.join(spans, "_rid", "left").select(
-        *(F.when(F.col("_marks").isNull(), F.col("whole")).otherwise(changed).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns)
+    spans = spans.select("rid", F.sort_array(F.concat(*marks)).alias("marks"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("whole"), F.xxhash64("doc_id", "text").alias("rid"))
+    changed = rewritten(F.col("whole"), F.col("marks"), lambda x, begin, _: F.when(begin == x["start"], x["by"]).otherwise(""))
+    return rows.join(spans, "rid", "left").select(
+        *(F.when(F.col("marks").isNull(), F.col("whole")).otherwise(changed).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns)
     )
 
 
@@ -163,4 +168,5 @@ def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_listed(KINDS), 256).alias("base_sha256"),
         _listed([*KINDS, "term"]).alias("spans"),
         F.size("term").cast("long").alias("n_term"),
+        sum(F.size(kind) for kind in [*KINDS, "term"]).cast("long").alias("n_spans"),
     )
