@@ -4,14 +4,15 @@ Features are the presence of word 1- and 2-grams and character 3-grams (lower ca
 hashed to 2**18 buckets. Two heads learn ``quality`` and ``toxic`` from labelled rows with an L1
 penalty (so most weights are exactly zero, and a long text gathers no noise from words that decide
 nothing). A quarter of the training rows is held out to calibrate each head's score to a
-probability. The model is fitted on at most ``train_rows`` labelled rows, those with the smallest
-hash of doc_id; its size is bounded by the buckets, whatever the corpus holds. All whole texts are
-scored in Arrow batches.
+probability. The model is fitted on labelled rows in the order of a hash of doc_id: at most
+``train_rows`` of them, and as many as have ``train_grams`` distinct n-grams together. A row counts
+with its whole text or not at all. Its size is bounded by the buckets, whatever the corpus holds. All
+whole texts, however long, are scored in Arrow batches.
 
 A document is kept if the counts pass, P(quality) is at least 0.5 and P(toxic) is below 0.3.
 Null texts are empty: 0 words, so the counts fail. Repeated rows are judged one by one; several
-labels for one doc_id count as their minimum quality and maximum toxicity; null labels are
-ignored. Without labelled rows, or with one class only, a head gives 1 for quality and 0 for
+labels for one doc_id count as their minimum quality and maximum toxicity, and several texts for one
+doc_id are learnt from as the one with the smallest hash; null labels are ignored. Without labelled rows, or with one class only, a head gives 1 for quality and 0 for
 toxicity, and the counts decide. Other columns are ignored; an empty table gives an empty result.
 """
 
@@ -26,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytebpe import codepoints
-from tidemark.llm.shared import table
+from tidemark.llm.shared import table, written
 from tidemark.llm.words import Words, grams, mix, per_text, pieces
 
 BITS = 18
 BUCKETS = 1 << BITS
-TRAIN_ROWS = 4000
+TRAIN_ROWS, TRAIN_GRAMS = 4000, 12_000_000
 MIN_QUALITY, MAX_TOXIC = 0.5, 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -116,48 +117,66 @@ def _constant(p: float) -> Head:
     return Head(np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0, 50.0 if p else -50.0)
 
 
-def fit_head(flat: np.ndarray, edge: np.ndarray, y: np.ndarray, default: float, penalty: float = 1e-3, steps: int = 160) -> Head:
-    """L1-penalised logistic regression by accelerated proximal steps, calibrated on every fourth row.
+def fit_head(flat: np.ndarray, edge: np.ndarray, y: np.ndarray, default: float, penalty: float = 1e-3, rounds: int = 12, steps: int = 60) -> Head:
+    """L1-penalised logistic regression, calibrated on every fourth row.
 
-    ``flat`` holds the rows' buckets (int32), row i from ``edge[i]`` to ``edge[i + 1]``.
+    ``flat`` holds the rows' buckets (int32), row i from ``edge[i]`` to ``edge[i + 1]``. Each round takes in
+    the buckets whose gradient exceeds the penalty, and fits all those taken in so far by accelerated
+    proximal steps, so a step passes over the few buckets that may get a weight.
     """
     rows = len(y)
     if rows < 8 or y.min() == y.max():
         return _constant(default)
     held = np.arange(rows) % 4 == 3
-    seen = np.bincount(flat[np.repeat(~held, np.diff(edge))], minlength=BUCKETS)
-    names = np.flatnonzero(seen >= 3)
-    place = np.full(BUCKETS, -1, np.int32)
-    place[names] = np.arange(len(names), dtype=np.int32)
-    flat = place[flat]
-    use = flat >= 0
-    kept = np.concatenate([[0], np.cumsum(use)])[edge]
-    flat, size = flat[use], np.diff(kept)
     learn = ~held
     weight = np.where(y == 1, 0.5 / max(1, (y[learn] == 1).sum()), 0.5 / max(1, (y[learn] == 0).sum())) * learn
-
-    def score(w: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(w.astype(np.float32)[flat], dtype=np.float64)])
-        return total[kept[1:]] - total[kept[:-1]]
-
-    w = step_w = np.zeros(len(names))
-    b = step_b = 0.0
-    t = 1.0
+    size = np.diff(edge)
+    rare = np.bincount(flat[np.repeat(learn, size)], minlength=BUCKETS) < 3
+    names, w, b = np.zeros(0, np.int64), np.zeros(0), 0.0
+    z = np.zeros(rows)
+    for _ in range(rounds):
+        error = (1 / (1 + np.exp(-np.clip(z + b, -50, 50))) - y) * weight
+        over = np.abs(np.bincount(flat, np.repeat(error, size), BUCKETS)) > penalty
+        over[rare] = False
+        over[names] = False
+        fresh = np.flatnonzero(over)
+        if len(names) and not len(fresh):
+            break
+        names, w = np.concatenate([names, fresh]), np.concatenate([w, np.zeros(len(fresh))])
+        place = np.full(BUCKETS, -1, np.int32)
+        place[names] = np.arange(len(names), dtype=np.int32)
+        mine = place[flat]
+        use = mine >= 0
+        kept = np.concatenate([[0], np.cumsum(use)])[edge]
+        w, b = _proximal(mine[use], kept, y, weight, w, b, penalty, steps)
+        z = _score(w, mine[use], kept)
+        some = w != 0
+        names, w = names[some], w[some]
+    z = z + b
+    return Head(names, w, b, *_calibrated(z[held], y[held]))
+
+
+def _score(w: np.ndarray, flat: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(w[flat])])
+    return total[edge[1:]] - total[edge[:-1]]
+
+
+def _proximal(flat: np.ndarray, edge: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray, b: float, penalty: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weights and bias after ``steps`` accelerated proximal steps."""
+    size = np.diff(edge)
+    step_w, step_b, t = w, b, 1.0
     rate = 4.0 / max(1.0, float((size * weight).sum()) / 12)
     for _ in range(steps):
-        z = score(step_w) + step_b
+        z = _score(step_w, flat, edge) + step_b
         error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * weight
-        grad = np.bincount(flat, np.repeat(error, size), len(names))
-        moved = step_w - rate * grad
+        moved = step_w - rate * np.bincount(flat, np.repeat(error, size), len(w))
         new_w = np.sign(moved) * np.maximum(np.abs(moved) - rate * penalty, 0)
         new_b = step_b - rate * error.sum()
         new_t = (1 + np.sqrt(1 + 4 * t * t)) / 2
         step_w = new_w + (t - 1) / new_t * (new_w - w)
         step_b = new_b + (t - 1) / new_t * (new_b - b)
         w, b, t = new_w, new_b, new_t
-    z = score(w) + b
-    some = w != 0
-    return Head(names[some], w[some], b, *_calibrated(z[held], y[held]))
+    return w, b
 
 
 def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -176,12 +195,12 @@ def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(at[0], 1e-3)), float(at[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[Head, Head]:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_grams: int = TRAIN_GRAMS) -> tuple[Head, Head]:
     """The heads for quality and toxicity."""
     known = (
         labels.where("doc_id is not null and quality is not null and toxic is not null")
         .groupBy("doc_id")
-        .agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+        .agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     )
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
 
@@ -197,13 +216,19 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
                     names=["doc_id", "quality", "toxic", "buckets"],
                 )
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.col("quality").cast("int"), F.col("toxic").cast("int"), "text")
-    rows = chosen.mapInArrow(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, quality int, toxic int, buckets array<int>").toArrow()
-    if not len(rows):
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most train_rows ids
+    chosen = texts.groupBy("doc_id", "quality", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = chosen.mapInArrow(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, quality int, toxic int, buckets array<int>")
+    rows = written(rows.select(F.xxhash64("doc_id").alias("place"), "*", F.size("buckets").alias("n")), spark)
+    grams_of = rows.select("place", "doc_id", "n").orderBy("place", "doc_id").toArrow()  # at most train_rows
+    upto = np.searchsorted(np.cumsum(grams_of.column("n").to_numpy()), train_grams, "right")
+    if not upto:
         return _constant(1), _constant(0)
-    rows = rows.sort_by("doc_id").combine_chunks()
+    last = grams_of.column("place")[int(upto) - 1].as_py()
+    rows = rows.where((F.col("place") < last) | (F.col("place") == last) & (F.col("doc_id") <= grams_of.column("doc_id")[int(upto) - 1].as_py()))
+    rows = rows.select("place", "doc_id", "quality", "toxic", "buckets").toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")]).combine_chunks()
     buckets = rows.column("buckets").chunk(0)
-    flat, edge = buckets.values.to_numpy(), buckets.offsets.to_numpy().astype(np.int64)
+    flat, edge = buckets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(buckets.value_lengths().to_numpy())])
     quality, toxic = (rows.column(c).to_numpy() for c in ("quality", "toxic"))
     return fit_head(flat, edge, quality, 1.0), fit_head(flat, edge, toxic, 0.0)
 
@@ -241,9 +266,9 @@ def judged(docs: DataFrame, heads: tuple[Head, Head], keep: list[str]) -> DataFr
 def good_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
-    return judged(rows, fit(docs, labels), ["row"]).where("kept").select("row.*")
+    return judged(rows, fit(spark, docs, labels), ["row"]).where("kept").select("row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return judged(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return judged(docs, fit(spark, docs, table(spark, sf_dir, "labels")), ["doc_id"])
