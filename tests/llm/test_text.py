@@ -69,20 +69,20 @@ def test_quality_learns(spark):
         marks.append((i, int(not bad), int(rude)))
     labels = spark.createDataFrame([*marks, (None, 1, 0), (1, None, 1)], "doc_id long, quality int, toxic int")
     docs = frame(spark, rows)
-    got = {r["doc_id"]: r for r in _rows(quality.judged(docs, quality.fit(docs, labels), ["doc_id"]))}
+    got = {r["doc_id"]: r for r in _rows(quality.judged(docs, quality.fit(spark, docs, labels), ["doc_id"]))}
     assert np.mean([(got[i]["p_quality"] >= 0.5) == bool(q) for i, q, _ in marks]) > 0.98
     assert np.mean([(got[i]["p_toxic"] >= 0.5) == bool(t) for i, _, t in marks]) > 0.98
     kept = quality.good_documents(spark, docs, labels)
     assert kept.columns == docs.columns and 0 < kept.count() < len(rows)
-    again = quality.fit(docs, labels)
-    assert all(np.array_equal(a.weights, b.weights) for a, b in zip(quality.fit(docs, labels), again, strict=True))
+    again = quality.fit(spark, docs, labels)
+    assert all(np.array_equal(a.weights, b.weights) for a, b in zip(quality.fit(spark, docs, labels), again, strict=True))
 
 
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert quality.judged(empty(spark), quality.fit(empty(spark), none), ["doc_id"]).count() == 0
+    assert quality.judged(empty(spark), quality.fit(spark, empty(spark), none), ["doc_id"]).count() == 0
     one = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
-    rows = _rows(quality.judged(frame(spark), quality.fit(frame(spark), one), ["doc_id"]))
+    rows = _rows(quality.judged(frame(spark), quality.fit(spark, frame(spark), one), ["doc_id"]))
     assert all(r["kept"] != r["base_failed"] for r in rows)
 
 
@@ -109,11 +109,12 @@ def _cleaned(rows, ratio, least):
 def test_line_dedup(spark, few):
     rows = [(i, f"{t}\nshare this page\n\n menu" if i and i % 2 and t is not None else t, s) for i, t, s in documents()]
     df = frame(spark, rows)
-    out = boilerplate.cleaned(spark, df, max_ratio=0.3, min_pages=4, broadcast_lines=few)
-    got = Counter((r["doc_id"], r["source"], r["text"], r["_n_lines"] if r["text"] is not None else 0, r["_n_dropped"]) for r in _rows(out))
+    df = df.withColumns({c: F.lit(1) for c in ("_n_lines", "_n_dropped", "n_lines", "drop", "lines")})
+    out = boilerplate.counted(spark, df, max_ratio=0.3, min_pages=4, broadcast_lines=few)
+    got = Counter((r["doc_id"], r["source"], r["text"], r["n"], r["d"]) for r in _rows(out.select("row.doc_id", "row.source", "row.text", F.col("n_lines").alias("n"), F.col("n_dropped").alias("d"))))
     assert got == _cleaned(rows, 0.3, 4)
     assert boilerplate.cleaned(spark, empty(spark)).count() == 0
-    assert out.select(*df.columns).columns == df.columns
+    assert boilerplate.cleaned(spark, df).columns == df.columns
 
 
 # --- 4: licences ---
@@ -298,8 +299,13 @@ def test_near_duplicates_edges(spark):
     assert hyperminhash.near_duplicates(spark, empty(spark)).count() == 0
     df = frame(spark)
     kept = hyperminhash.representatives(spark, df)
-    want = {i for i, _, _, k in _components(documents()) if k}
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == want
+    df = df.withColumns({c: F.lit(1) for c in ("_gone", "id", "tid", "first", "fp1")})
+    kept = hyperminhash.representatives(spark, df)
+    # repeated rows of a kept doc_id are one, rows without doc_id stay
+    want = Counter({i: n if i is None else 1 for (i, _, _, k), n in _components(documents()).items() if k})
+    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == want + Counter({None: 1})
+    two = frame(spark, [(1, "a b c d e f", "s"), (2, "a b c d e f", "s"), (2, "x y z", "s"), (2, "x  y z", "s"), (2, "x y z", "s")], extra=False)
+    assert sorted((r.doc_id, r.text.split()[0]) for r in hyperminhash.representatives(spark, two).collect()) == [(1, "a"), (2, "x")]
 
 
 def test_estimate_is_close():
@@ -323,9 +329,9 @@ def test_components_of_chains_and_stars(spark):
 def test_byte_bpe_matches_the_library():
     path = public_tokenizers.path(packing.VOCABULARY)
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    texts = [t or "" for _, t, _ in documents()] + ["'s it's we're'd'd  's\n's", "a  b \n\n c\t", " ", "\x85 x y'll", "<|endoftext|>", "!'s ''s"]
+    texts = [t or "" for _, t, _ in documents()] + ["'s it's we're'd'd  's\n's", "a  b \n\n c\t", " ", "\x85 x y'll", "<|endoftext|>", "!'s ''s", "hello <|endoftext|> world", "a  <|endoftext|>  b<|endoftext|><|endoftext|>\n", "cut <|endof", "text|> off"]
     got = []
+    assert 50256 in library.encode(texts[-4], add_special_tokens=False).ids
     for _, body, at in pieces(pa.array(texts), most=2000):
         ids, edge = ByteBPE.of(path).encode(body, at)
         got += [ids[a:b].tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)]
@@ -335,8 +341,7 @@ def test_byte_bpe_matches_the_library():
 def test_packing(spark):
     path = public_tokenizers.path(packing.VOCABULARY)
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    rows = documents()
+    rows = [*documents(), (400, "one <|endoftext|>  two<|endoftext|>", "s")]
     want = Counter()
     for i, t, _ in rows:
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
@@ -344,7 +349,7 @@ def test_packing(spark):
         at = [0, *range(first, len(ids), 1024), len(ids)]
         for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
             want[i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
-    out = _rows(packing.packed_documents(spark, frame(spark)))
+    out = _rows(packing.packed_documents(spark, frame(spark, rows)))
     assert Counter(tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in out) == want
     bins = defaultdict(list)
     for r in out:

@@ -11,8 +11,8 @@ being moved; beyond that, pages meet their own lines in joins on (host, line) an
 host with a third of all pages spreads over tasks in both.
 
 A null host is a host of its own. A null text has no lines and stays null; an empty text stays
-empty. Repeated rows are pages each. Other columns are kept; an empty table gives an empty
-result.
+empty. Very long texts are cleaned whole, and each of their lines counts once. Repeated rows are pages
+each. Other columns are kept, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RA
     return seen.join(totals, "host").where(F.col("pages") > max_ratio * F.col("host_pages"))
 
 
-def cleaned(
+def counted(
     spark: SparkSession,
     docs: DataFrame,
     host: str = "source",
@@ -48,7 +48,7 @@ def cleaned(
     min_pages: int = MIN_PAGES,
     broadcast_lines: int = BROADCAST_LINES,
 ) -> DataFrame:
-    """All columns of ``docs`` with boilerplate lines taken out of ``text``, in ``row``, and n_lines, n_dropped."""
+    """row (a struct of all columns of ``docs``, with boilerplate lines taken out of ``text``), n_lines and n_dropped."""
     lines = written(boilerplate(docs, host, max_ratio, min_pages), spark)
     few = lines.count() <= broadcast_lines
     rows = docs.select(
@@ -69,15 +69,20 @@ def cleaned(
     kept = split.withColumn("kept", F.when(F.size("drop") > 0, F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), F.xxhash64(x)))).otherwise(F.col("lines")))
     text = F.when(F.size("kept") < F.size("lines"), F.array_join("kept", "\n")).otherwise(F.col("whole"))
     return kept.select(
-        *(text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns),
-        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("_n_lines"),
-        F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("long").alias("_n_dropped"),
+        F.struct(*(text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns)).alias("row"),
+        F.when(F.col("whole").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(F.col("whole").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
     )
 
 
+def cleaned(spark: SparkSession, docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """The rows and columns of ``docs`` without boilerplate lines in ``text``."""
+    return counted(spark, docs, host, max_ratio, min_pages).select("row.*")
+
+
 def op3_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cleaned(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", F.greatest("_n_lines", F.lit(0)).alias("n_lines"), F.greatest("_n_dropped", F.lit(0)).alias("n_dropped"), "text")
+    out = counted(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", "row.text")
 
 
 ORACLE = r"""

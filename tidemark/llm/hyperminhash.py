@@ -107,12 +107,12 @@ def similarity_estimate(a: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.maximum((others == a).mean(axis=1) - chance, 0) / (1 - chance)
 
 
-def sketches(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, fp1, fp2 (a 128-bit name of the set; null if empty), keys (the band keys)."""
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, tid (a hash of the text), n_shingles, fp1, fp2 (a 128-bit name of the set; null if empty), keys (the band keys)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, body, at in pieces(batch.column(1)):
+            for row, body, at in pieces(batch.column(2)):
                 sets = shingle_sets(body, at)
                 n = np.array([len(s) for s in sets], np.int64)
                 some = n > 0
@@ -123,19 +123,17 @@ def sketches(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
                 starts = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(row, len(sets)),
+                        *batch.slice(row, len(sets)).columns[:2],
                         pa.array(n),
                         pa.array(fp.view(np.int64), mask=~some),
                         pa.array(fp2.view(np.int64), mask=~some),
                         pa.ListArray.from_arrays(pa.array(starts), pa.array(flat)),
                     ],
-                    names=["doc_id", "n_shingles", "fp1", "fp2", "keys"],
+                    names=["doc_id", "tid", "n_shingles", "fp1", "fp2", "keys"],
                 )
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_shingles long, fp1 long, fp2 long, keys array<long>"
-    )
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", F.xxhash64("text").alias("tid"), "text").mapInArrow(run, f"doc_id {kind}, tid long, n_shingles long, fp1 long, fp2 long, keys array<long>")
 
 
 def links(sets: list[np.ndarray], percent: int = 75) -> list[tuple[int, int]]:
@@ -208,6 +206,11 @@ def _edges(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept; one row per row of ``docs``."""
+    return _judged(spark, docs, percent, block).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(spark: SparkSession, docs: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """``near_duplicates`` with tid (a hash of the text), fp1 and fp2."""
     own = docs.select(F.col("doc_id"), F.col("text"))
     sketched = written(sketches(own), spark)
     classes = written(
@@ -245,9 +248,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, blo
     found = grouped.sortWithinPartitions("component", "i", "j").mapInArrow(lambda batches: _grouped_links(batches, percent), f"a {kind}, b {kind}")
     linked = components(found.where("a <> b").distinct(), spark)
     named = classes.join(linked, F.col("rep") == F.col("node"), "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
-    slim = sketched.select("doc_id", "n_shingles", "fp1", "fp2")
+    slim = sketched.select("doc_id", "tid", "n_shingles", "fp1", "fp2")
     return slim.join(named, ["fp1", "fp2"], "left").select(
         "doc_id",
+        "tid",
+        "fp1",
+        "fp2",
         "n_shingles",
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
@@ -255,13 +261,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, blo
 
 
 def representatives(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are the first of their component; one row of those that share a doc_id.
+    """The rows of ``docs``, with all their columns, that are the first of their component; one row of those that share a doc_id and a set.
 
-    Rows without words or without doc_id are linked with nothing and stay.
+    Of a doc_id with several texts, each text is judged by itself. Rows without words or without
+    doc_id are linked with nothing and stay.
     """
-    out = near_duplicates(spark, docs, percent)
-    drop = out.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(drop, docs["doc_id"] == F.col("_gone"), "left_anti").select(*(docs[c] for c in docs.columns))
+    linkable = written(_judged(spark, docs, percent).where("doc_id is not null and fp1 is not null"), spark)
+    same = linkable.groupBy("doc_id", "fp1", "fp2").agg(F.min("tid").alias("first"), F.count("*").alias("n"), F.first("kept").alias("kept"))
+    texts = linkable.select("doc_id", "fp1", "fp2", "tid").distinct()
+    # what leaves its place: rows of other components' documents, and rows that share doc_id and set with another
+    moved = texts.join(same.where("not kept or n > 1"), ["doc_id", "fp1", "fp2"]).select(F.col("doc_id").alias("id"), "tid")
+    back = same.where("kept and n > 1").select(F.col("doc_id").alias("id"), F.col("first").alias("tid"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tid"))
+    stay = rows.join(moved, ["id", "tid"], "left_anti").select("row")
+    once = rows.join(back, ["id", "tid"]).groupBy("id", "tid").agg(F.first("row").alias("row")).select("row")
+    return stay.unionByName(once).select("row.*")
 
 
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
