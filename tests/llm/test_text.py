@@ -139,57 +139,63 @@ def _tokens(text):
     return [*words(text, low=True), None]
 
 
-def test_base_scores(spark):
+class _Model:
+    """The model as its definition has it, over dictionaries of whole n-grams."""
+
+    def __init__(self, texts):
+        self.count = Counter(tuple(t[i : i + n]) for t in map(_tokens, texts) for n in (1, 2, 3) for i in range(len(t) - n + 1))
+        self.words = {g[0] for g in self.count if len(g) == 1}
+        self.total = sum(c for g, c in self.count.items() if len(g) == 1)
+
+    def p(self, word, context):
+        if not context:
+            return (self.count[word,] + 0.5) / (self.total + 0.5 * (len(self.words) + 1))
+        low, seen = self.p(word, context[1:]), self.count[context]
+        trust = (seen - 1) / (seen - 1 + backoff.DOUBT) if seen > 1 else 0
+        return trust * self.count[(*context, word)] / seen + (1 - trust) * low if trust else low
+
+    def score(self, text):
+        t = _tokens(text)
+        return sum(math.log10(self.p(w, tuple(t[max(0, i - 2) : i]))) for i, w in enumerate(t))
+
+
+def _held(i):
+    return zlib.crc32(str("" if i is None else i).encode()) % 5 == 1
+
+
+@pytest.mark.parametrize(("block", "part"), [(1 << 20, 1 << 22), (500, 1 << 10)])
+def test_scores_match_the_definition(spark, block, part):
     rows = documents()
-    held = [zlib.crc32(str("" if i is None else i).encode()) % 5 == 1 for i, _, _ in rows]
-    counts = Counter(w for (_, t, _), h in zip(rows, held, strict=True) if not h for w in _tokens(t))
-    n, v = sum(counts.values()), len(counts)
-    got = defaultdict(list)
-    for r in _rows(backoff.scored(spark, frame(spark), word_share=0.01, gram_share=0.001)):
-        got[r["doc_id"]].append(r)
-    for (i, t, _), h in zip(rows, held, strict=True):
+    model = _Model([t for i, t, _ in rows if not _held(i)])
+    got = Counter(
+        (r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in _rows(backoff.scored(spark, frame(spark), block, part))
+    )
+    want = Counter()
+    for i, t, _ in rows:
         toks = _tokens(t)
-        want = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in toks)
-        assert any(
-            r["base_score"] == pytest.approx(want, rel=1e-9) and r["n_tokens"] == len(toks) and r["n_known"] == sum(counts[w] > 0 for w in toks) and r["held_out"] == h and r["train_tokens"] == n
-            for r in got[i]
-        )
-    assert sum(map(len, got.values())) == len(rows)
+        base = sum(math.log10(model.p(w, ())) for w in toks)
+        want[i, _held(i), len(toks), sum(model.count[w,] > 0 for w in toks), model.total, round(base, 6), round(model.score(t), 6)] += 1
+    assert got == want
     assert backoff.scored(spark, empty(spark)).count() == 0
 
 
-def test_automaton_is_a_distribution(spark):
-    docs = frame(spark)
-    train = docs.where(~backoff.held_out(F.col("doc_id")))
-    model, counts = backoff.train(spark, train, word_share=0.0, gram_share=0.002)
-    assert len(model.grams) == 2 and all(len(g) for g in model.grams)
-    vocabulary = len(model.words)
-    assert vocabulary == model.distinct
-    word = backoff._index(model.names, model.words)
-    back = {state: [] for state in {0, *model.enter, *(to for _, to in model.arcs.values())}}
-    for state in back:
-        total = 0.0
-        for w, log in zip(word.tolist(), model.log.tolist(), strict=True):
-            gain, s = 0.0, state
-            while s:
-                arc = model.arcs.get(s << backoff.WIDTH | w)
-                if arc is not None:
-                    gain += arc[0]
-                    break
-                gain += model.back[s]
-                s = model.fail[s]
-            total += 10 ** (log + gain)
-        unseen = 10 ** (math.log10(0.5) - model.den)
-        s = state
-        while s:
-            unseen *= 10 ** model.back[s]
-            s = model.fail[s]
-        assert total + unseen == pytest.approx(1, abs=1e-6)
-
-
-def test_model_beats_the_base_on_held_out_text(spark):
-    rows = [(i, "the cat sat on the mat and the dog ran off " * 6 + f"w{i}", "s") for i in range(60)]
-    got = [r for r in _rows(backoff.scored(spark, frame(spark, rows), word_share=0.001, gram_share=0.001)) if r["held_out"]]
+def test_model_is_a_distribution():
+    model = _Model([t for _, t, _ in documents()[:40]])
+    contexts = [g for g in model.count if len(g) < 3 and g[-1] is not None][:300]
+    for h in [(), *contexts]:
+        assert sum(model.p(w, h) for w in model.words) + model.p("never seen", h) == pytest.approx(1, abs=1e-9)
+
+
+def test_model_tells_repeated_texts_and_beats_the_base(spark):
+    rows = documents()[:60]
+    rows += [(1000 + i, rows[i][1], "s") for i in range(10)]
+    got = {r["doc_id"]: r for r in _rows(backoff.scored(spark, frame(spark, rows))) if not r["held_out"]}
+    each = {i: r["score"] / r["n_tokens"] for i, r in got.items()}
+    twice = [each[i] for i in each if i >= 1000 and i - 1000 in each]
+    once = [each[i] for i in each if 10 <= i < 60]
+    assert twice and min(twice) > max(once)
+    easy = [(i, "the cat sat on the mat and the dog ran off " * 6 + f"w{i}", "s") for i in range(60)]
+    got = [r for r in _rows(backoff.scored(spark, frame(spark, easy))) if r["held_out"]]
     assert got and all(r["score"] > r["base_score"] for r in got)
 
 

@@ -1,29 +1,35 @@
 """Language-model scores by a weighted backoff automaton.
 
 Tokens are the words of the text, lower-cased in A-Z, and one end token. The model is learnt from
-the training documents: crc32(doc_id as text) mod 5 is not 1.
-
-* Unigrams: every word's count c, add-half smoothed: (c + 0.5) / (N + 0.5 * (V + 1)).
-* n-grams of 2 to ``order`` tokens: those with a share of at least ``gram_share`` of the training
-  tokens, so at most 1 / gram_share for each order, however large the corpus. Their counts are
-  discounted by 0.5, and the mass saved goes to the next shorter context (backoff), so each
-  context's probabilities sum to 1.
-
-States are the kept contexts, an arc per kept n-gram leads to the longest kept context that ends
-there, and a failure arc to the context without its first token, at the cost of its backoff
-weight. Each text is read once from left to right. The automaton and the words with a share of at
-least ``word_share`` (at most 1 / word_share) go to all tasks; both bounds hold for any corpus. The
-other words, which are none too frequent by definition, meet their counts in a join, and add to
-the sum whatever state the reader was in.
-
-Null texts are empty: the end token alone. Rows with equal doc_id and text get equal scores. A null
-doc_id counts as the empty text for the split. Without training tokens, every token has the same
-probability. Other columns are ignored; an empty table gives an empty result.
+the training documents: crc32(doc_id as text) mod 5 is not 1. It holds every n-gram of 1 to 3 tokens
+that they have, with its count c, whatever its share: it grows with the corpus.
+
+    p(w)      = (c(w) + 0.5) / (N + 0.5 * (V + 1))
+    p(w | h)  = t(h) * c(h w) / c(h) + (1 - t(h)) * p(w | h less its first token)
+    t(h)      = (c(h) - 1) / (c(h) - 1 + DOUBT)
+
+A context h is trusted the more the more often it was seen, and not at all if it was seen once; so
+the probabilities of each context sum to 1. As an automaton: states are the contexts seen at least twice; an
+n-gram h w seen in training is an arc of state h that adds log10 p(w | h) and leads to the longest state
+that ends in h w; the failure arc of h adds log10 (1 - t(h)) and leads to h less its first
+token. Each text is read once from left to right with the state carried along.
+
+No task holds the automaton. Texts are encoded once, in blocks of about ``BLOCK_TOKENS`` tokens (a
+text is never cut). A block asks for the counts of its distinct n-grams; the requests are dealt by
+the leading bits of the n-grams' hashes, so that each of ``parts`` tasks sums and answers about
+``PART_GRAMS`` of them at a time, however large the corpus is; then each block meets its answers, which are
+the part of the automaton that its texts can reach, and reads them. A frequent n-gram is asked
+for once a block, so no task is hot. Keys of n-grams of 2 and 3 tokens have 40 bits besides the part's:
+two n-grams of a part share one with a probability of about 4e-6; those of single tokens have all 64.
+
+Null texts are empty: the end token alone. Rows are scored one by one, so ties, repeated rows and null
+ids (which count as the empty text for the split) need no rule. A text longer than a block is a block of
+its own. Without training tokens, every token has the same probability. Other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,14 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import table, written
-from tidemark.llm.words import Words, pieces
+from tidemark.llm.words import Words, grams, mix, pieces
 
 ORDER = 3
-WORD_SHARE, GRAM_SHARE = 1e-6, 1e-5
-DISCOUNT = 0.5
+DOUBT = 0.5
 END = np.uint64(0x243F6A8885A308D3)
-WIDTH = 17  # bits of an index below 1 / GRAM_SHARE
-FLUSH = 4_000_000
+BLOCK_TOKENS = 1 << 20
+PART_GRAMS = 1 << 22
+KEY_BYTES = 5
 
 
 def tokens(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,223 +54,254 @@ def tokens(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words.hash, words.first[1:], END), words.first + np.arange(len(at))
 
 
-def _index(names: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Places in the sorted ``names``, or -1."""
-    if not len(names):
-        return np.full(len(hashes), -1, np.int64)
-    place = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
-    return np.where(names[place] == hashes, place, -1)
-
-
-def _counted(batches: Iterable[pa.RecordBatch], keys) -> Iterator[pa.RecordBatch]:
-    """key, n of what ``keys`` finds in the texts of column 0, summed over many texts at a time."""
-    held, size = [], 0
-
-    def flush() -> pa.RecordBatch:
-        names, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
-
-    for batch in batches:
-        for _, body, at in pieces(batch.column(0)):
-            found = keys(body, at)
-            held.append(found)
-            size += len(found)
-            if size > FLUSH:
-                yield flush()
-                held, size = [], 0
-    yield flush()
-
-
-def _count(docs: DataFrame, keys) -> DataFrame:
-    return docs.select("text").mapInArrow(lambda batches: _counted(batches, keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-class Model:
-    """What all tasks hold: frequent words with their unigram log10 probabilities, and the automaton."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, gram_share: float):
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
-        self.total, self.distinct = total, distinct
-        self.den = math.log10(total + 0.5 * (distinct + 1))
-        self.log = np.log10(self.counts + 0.5) - self.den
-        some = self.counts >= max(1, gram_share * total)
-        self.names = self.words[some]  # the words n-grams are made of
-        self.grams: list[np.ndarray] = []  # by order from 2: sorted keys, (index of the prefix << WIDTH) | word
-        self.gram_counts = [self.counts[some]]
-        self.lower = [self.log[some]]  # log10 probability of each kept gram's last word in its own context
-
-    def ends(self, hashes: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
-        """For each order, the index of the kept n-gram that ends at each token, or -1."""
-        word = _index(self.names, hashes)
-        out = [word]
-        fresh = np.zeros(len(hashes), bool)
-        fresh[begin[:-1]] = True
-        for keys in self.grams:
-            out.append(_index(keys, self.candidates(out, fresh)))
-        return out
-
-    @staticmethod
-    def candidates(ends: list[np.ndarray], fresh: np.ndarray) -> np.ndarray:
-        """The key of the next longer n-gram that ends at each token, where its prefix and suffix are kept; else -1."""
-        last = ends[-1]
-        before = np.full(len(last), -1, np.int64)
-        before[1:] = last[:-1]
-        return np.where((before >= 0) & (last >= 0) & ~fresh, (before << WIDTH) | np.maximum(ends[0], 0), -1)
-
-    def next_keys(self, body: np.ndarray, at: np.ndarray) -> np.ndarray:
-        hashes, begin = tokens(body, at)
-        fresh = np.zeros(len(hashes), bool)
-        fresh[begin[:-1]] = True
-        keys = self.candidates(self.ends(hashes, begin), fresh)
-        return keys[keys >= 0]
-
-    def add_order(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.grams.append(keys[order])
-        self.gram_counts.append(counts[order])
-
-    def build(self) -> None:
-        """The automaton. States: 0 the empty context, then the kept words, then the kept n-grams of each order below the last."""
-        mask = (1 << WIDTH) - 1
-        base = [1]
-        for n in map(len, self.gram_counts[:-1]):
-            base.append(base[-1] + n)
-        suffix = [np.zeros(len(self.names), np.int64)]  # of each gram: index of the gram without its first token
-        size = base[-1] + len(self.gram_counts[-1])
-        back, fail = np.zeros(size), np.zeros(size, np.int64)
-        arcs: dict[int, tuple[float, int]] = {}
-        for k, keys in enumerate(self.grams):
-            prefix, word = keys >> WIDTH, keys & mask
-            if k == 0:
-                suffix.append(word)
-                fail[base[1] : base[1] + len(keys)] = 1 + word
-            else:
-                suffix.append(np.searchsorted(self.grams[k - 1], (suffix[k][prefix] << WIDTH) | word))
-                fail[base[k + 1] : base[k + 1] + len(keys)] = base[k] + suffix[k + 1]
-            share = (self.gram_counts[k + 1] - DISCOUNT) / self.gram_counts[k][prefix]
-            low = self.lower[k][suffix[k + 1]]
-            n = len(self.gram_counts[k])
-            kept = np.bincount(prefix, share, n)
-            covered = np.bincount(prefix, 10.0**low, n)
-            some = kept > 0
-            back[base[k] : base[k] + n][some] = np.log10(np.maximum(1 - kept[some], 1e-12)) - np.log10(np.maximum(1 - covered[some], 1e-12))
-            self.lower.append(np.log10(share))
-            last = k == len(self.grams) - 1
-            to = base[k] + suffix[k + 1] if last else base[k + 1] + np.arange(len(keys))
-            gain = np.log10(share) - self.lower[0][word]  # over the unigram, which is summed for all tokens
-            arcs |= dict(zip((((base[k] + prefix) << WIDTH) | word).tolist(), zip(gain.tolist(), to.tolist(), strict=True), strict=True))
-        # a context without arcs passes straight on to the first shorter one that has some
-        live = np.zeros(size, bool)
-        live[[key >> WIDTH for key in arcs]] = True
-        go = np.arange(size)
-        for s in range(1, size):
-            go[s] = s if live[s] else go[fail[s]] if fail[s] < s else 0
-        self.arcs = {key: (gain, int(go[to])) for key, (gain, to) in arcs.items()}
-        self.back, self.fail = back.tolist(), go[fail].tolist()
-        self.enter = [*go[1 : 1 + len(self.names)].tolist(), 0]  # the last entry is for words outside the automaton
-
-    def read(self, words: list[int]) -> float:
-        """What the automaton adds to the unigram sum of one text, read from left to right."""
-        arcs, back, fail, enter = self.arcs, self.back, self.fail, self.enter
-        state, gain = 0, 0.0
-        for word in words:
-            while state:
-                arc = arcs.get(state << WIDTH | word)
-                if arc is not None:
-                    break
-                gain += back[state]
-                state = fail[state]
-            if state:
-                gain += arc[0]
-                state = arc[1]
-            else:
-                state = enter[word]
-        return gain
+def packed(values: np.ndarray, width: int) -> bytes:
+    """Unsigned numbers of ``width`` bytes, compressed byte by byte of equal weight, which suits sorted or small ones."""
+    planes = np.ascontiguousarray(values, ">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].T
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(values) else b""
 
 
-def train(spark: SparkSession, docs: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> tuple[Model, DataFrame]:
-    """The model of ``docs``, and the table of all words' counts (key, n)."""
-    counts = written(_count(docs, lambda body, at: tokens(body, at)[0].view(np.int64)), spark)
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where(F.col("n") >= max(1, word_share * total)).toArrow()
-    model = Model(frequent.column("key").to_numpy().view(np.uint64), frequent.column("n").to_numpy().astype(np.int64), total, distinct, gram_share)
-    for _ in range(2, order + 1):
-        found = _count(docs, model.next_keys).where(F.col("n") >= max(2, gram_share * total)).toArrow()
-        model.add_order(found.column("key").to_numpy(), found.column("n").to_numpy().astype(np.int64))
-    model.build()
-    return model, counts
+def unpacked(data: bytes, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, 8 - width :] = np.frombuffer(pa.decompress(data, n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view(">u8").ravel().astype(np.uint64)
 
 
-def scores(spark: SparkSession, docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
-    shared = spark.sparkContext.broadcast(model)
+class Block:
+    """Some texts as tokens: the distinct words' hashes, sorted; each token's word; where texts start; which texts are held out."""
+
+    def __init__(self, names: np.ndarray, word: np.ndarray, begin: np.ndarray, held: np.ndarray):
+        self.names, self.word, self.begin, self.held = names, word, begin, held
+
+    def distinct(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each order: sorted hashes of the n-grams, the place there of the n-gram ending at each token (-1: none), training counts."""
+        hashes = self.names[self.word]
+        text = np.repeat(np.arange(len(self.held)), np.diff(self.begin))
+        train = ~self.held[text]
+        for order in range(1, ORDER + 1):
+            if order == 1:
+                names, place = self.names, self.word
+            else:
+                whole = np.flatnonzero(text[order - 1 :] == text[: len(text) - order + 1]) if len(text) >= order else np.zeros(0, np.int64)
+                names, inverse = np.unique(grams(hashes, order)[whole], return_inverse=True)
+                place = np.full(len(text), -1, np.int64)
+                place[whole + order - 1] = inverse
+            ends = place >= 0
+            yield names, place, np.bincount(place[ends & train], minlength=len(names))
+
+
+def encoded(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """One row per block: block (its number), ids and held (arrays, by text), sizes (tokens of each text), n_words, words and stream (packed)."""
+    kind = dict(docs.dtypes)["doc_id"]
 
-    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+    def block(number: int, ids: list, held: list, hashes: list, sizes: list) -> pa.RecordBatch:
+        names, word = np.unique(np.concatenate(hashes), return_inverse=True)
+        # frequent words get small numbers, which pack well
+        rank = np.argsort(-np.bincount(word), kind="stable")
+        small = np.empty(len(rank), np.int64)
+        small[rank] = np.arange(len(rank))
+        ids, held, sizes = pa.concat_arrays(ids), pa.concat_arrays(held), pa.array(np.concatenate(sizes))
+        one = pa.array([0, len(ids)], pa.int32())
+        columns = [pa.array([number], pa.int64()), *(pa.ListArray.from_arrays(one, x) for x in (ids, held, sizes))]
+        columns += [pa.array([len(names)]), *(pa.array([x], pa.binary()) for x in (packed(names, 8), packed(small, 4), packed(small[word], 4)))]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "held", "sizes", "n_words", "words", "ranks", "stream"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held = None, 0, ([], [], [], [])
+        size = 0
         for batch in batches:
             for row, body, at in pieces(batch.column(3)):
                 hashes, begin = tokens(body, at)
-                place = _index(own.words, hashes)
-                known = place >= 0
-                sums = np.concatenate([[0.0], np.cumsum(np.where(known, own.log[place] if len(own.log) else 0.0, 0.0))])
-                near = np.concatenate([[0], np.cumsum(known)])
-                word = _index(own.names, hashes).tolist()
-                edge = begin.tolist()
-                gain = [own.read(word[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 n = len(at) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(row, n).columns[:3], pa.array(np.diff(begin)), pa.array(near[begin[1:]] - near[begin[:-1]]), pa.array(sums[begin[1:]] - sums[begin[:-1]]), pa.array(gain, pa.float64())],
-                    names=["doc_id", "held_out", "rid", "n_tokens", "near", "base", "gain"],
-                )
+                part = batch.column(2)[0].as_py()
+                for kept, x in zip(held, (batch.column(0).slice(row, n), batch.column(1).slice(row, n), hashes, np.diff(begin)), strict=True):
+                    kept.append(x)
+                size += len(hashes)
+                if size >= block_tokens:
+                    yield block(part << 32 | number, *held)
+                    number, held, size = number + 1, ([], [], [], []), 0
+        if size:
+            yield block(part << 32 | number, *held)
 
-    def rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = shared.value.words
-        for batch in batches:
-            for row, body, at in pieces(batch.column(3)):
-                hashes, begin = tokens(body, at)
-                owner = np.repeat(np.arange(len(at) - 1), np.diff(begin))
-                far = np.flatnonzero(_index(names, hashes) < 0)
-                order = far[np.lexsort((hashes[far], owner[far]))]
-                key, own = hashes[order], owner[order]
-                head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))) if len(key) else np.zeros(0, np.int64)
-                n = np.diff(np.append(head, len(key))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(own[head] + row)), pa.array(key[head].view(np.int64)), pa.array(n)], names=["rid", "key", "times"])
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), F.spark_partition_id().cast("long").alias("part"), "text")
+    return rows.mapInArrow(run, f"block long, ids array<{kind}>, held array<boolean>, sizes array<long>, n_words long, words binary, ranks binary, stream binary")
 
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.xxhash64("doc_id", "text").alias("rid"), "text")
-    texts = written(rows.mapInArrow(whole, f"doc_id {kind}, held_out boolean, rid long, n_tokens long, near long, base double, gain double"), spark)
-    log = F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(model.den)
-    others = (
-        rows.mapInArrow(rare, "rid long, key long, times int")
-        .join(counts, "key", "left")
-        .groupBy("rid")
-        .agg(F.sum(F.col("times") * log).alias("far_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("far"))
-    )
-    repeats = texts.groupBy("rid").agg(F.count("*").alias("rows"))
-    base = F.col("base") + F.coalesce(F.col("far_log") / F.col("rows"), F.lit(0.0))
-    return (
-        texts.join(repeats, "rid")
-        .join(others, "rid", "left")
-        .select(
-            "doc_id",
-            "held_out",
-            "n_tokens",
-            (F.col("near") + F.coalesce(F.floor(F.col("far") / F.col("rows")), F.lit(0))).cast("long").alias("n_known"),
-            F.lit(model.total).cast("long").alias("train_tokens"),
-            base.alias("base_score"),
-            (base + F.col("gain")).alias("score"),
-        )
+
+def _block(row: dict[str, pa.Array], i: int) -> Block:
+    """The block of row ``i`` of arrays by column name."""
+    n = row["n_words"][i].as_py()
+    sizes = row["sizes"][i].values.to_numpy()
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    rank = unpacked(row["ranks"][i].as_py(), n, 4).astype(np.int64)
+    back = np.empty(n, np.int64)
+    back[rank] = np.arange(n)
+    word = back[unpacked(row["stream"][i].as_py(), int(begin[-1]), 4).astype(np.int64)]
+    held = row["held"][i].values.to_numpy(zero_copy_only=False).astype(bool)
+    return Block(unpacked(row["words"][i].as_py(), n, 8), word, begin, held)
+
+
+def _cells(names: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """The runs of sorted hashes that share their leading ``bits``, which name a part."""
+    part = (names >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(names), np.int64)
+    head = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(head.tolist(), [*head[1:].tolist(), len(part)], strict=True):
+        yield int(part[a]), slice(a, b)
+
+
+def _key(names: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """What stands for n-grams within their part."""
+    return names if order == 1 else (names << np.uint64(bits)) >> np.uint64(64 - 8 * KEY_BYTES)
+
+
+def _width(order: int) -> int:
+    return 8 if order == 1 else KEY_BYTES
+
+
+def asked(blocks: DataFrame, bits: int) -> DataFrame:
+    """part, block, order, n, keys, counts: each block's distinct n-grams of each part, with their training counts there."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            for i in range(len(batch)):
+                number = columns["block"][i].as_py()
+                for order, (names, _, count) in enumerate(_block(columns, i).distinct(), 1):
+                    rows = [
+                        (part, number, order, at.stop - at.start, packed(_key(names[at], order, bits), _width(order)), packed(count[at], 4))
+                        for part, at in _cells(names, bits)
+                    ]
+                    if rows:
+                        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "block", "order", "n", "keys", "counts"])
+
+    return blocks.mapInArrow(run, "part long, block long, order int, n long, keys binary, counts binary")
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    """The training counts, over all blocks, of what each block asked; and the distinct training tokens, on the first row."""
+    orders, sizes = group.column("order").to_pylist(), group.column("n").to_pylist()
+    answers: list[bytes] = [b""] * len(orders)
+    distinct = 0
+    for order in sorted(set(orders)):
+        rows = [i for i, x in enumerate(orders) if x == order]
+        keys = np.concatenate([unpacked(group.column("keys")[i].as_py(), sizes[i], _width(order)) for i in rows])
+        counts = np.concatenate([unpacked(group.column("counts")[i].as_py(), sizes[i], 4) for i in rows]).astype(np.int64)
+        by = np.argsort(keys, kind="stable")
+        head = np.flatnonzero(np.append(True, keys[by][1:] != keys[by][:-1]))
+        total = np.add.reduceat(counts[by], head)
+        if order == 1:
+            distinct = int((total > 0).sum())
+        out = np.empty(len(keys), np.int64)
+        out[by] = np.repeat(total, np.diff(np.append(head, len(keys))))
+        edge = np.concatenate([[0], np.cumsum([sizes[i] for i in rows])])
+        for i, a, b in zip(rows, edge[:-1], edge[1:], strict=True):
+            answers[i] = packed(out[a:b], 5)
+    return pa.table(
+        {
+            "block": group.column("block"),
+            "part": group.column("part"),
+            "order": group.column("order"),
+            "n": group.column("n"),
+            "totals": pa.array(answers, pa.binary()),
+            "distinct": pa.array([distinct] + [0] * (len(orders) - 1), pa.int64()),
+        }
     )
 
 
+def answered(requests: DataFrame) -> DataFrame:
+    """block, part, order, n, totals (packed, in the order of the request), distinct."""
+    return requests.groupBy("part").applyInArrow(_summed, "block long, part long, order int, n long, totals binary, distinct long")
+
+
+class Automaton:
+    """The part of the model that one block can reach, by the tokens of the block.
+
+    ``count[k]`` is the training count of the n-gram of k + 1 tokens that ends at each token, or 0.
+    """
+
+    def __init__(self, count: list[np.ndarray], total: int, distinct: int):
+        size = len(count[0])
+        p = (count[0] + 0.5) / (total + 0.5 * (distinct + 1))
+        self.base = np.log10(p)
+        self.gain, self.fail = [self.base], [np.zeros(size)]  # by length of the context before each token: its arc, or nan; its failure
+        self.state = np.zeros(size, np.int64)  # the length of the longest context seen twice that ends at each token
+        for k in range(1, len(count)):
+            context = np.concatenate([[0], count[k - 1][:-1]])
+            trust = np.where(context > 1, (context - 1) / np.maximum(context - 1 + DOUBT, DOUBT), 0.0)
+            p = trust * count[k] / np.maximum(context, 1) + (1 - trust) * p
+            self.gain.append(np.where((trust > 0) & (count[k] > 0), np.log10(p), np.nan))
+            self.fail.append(np.log10(1 - trust))
+            self.state[count[k - 1] > 1] = k
+
+    def read(self, begin: np.ndarray) -> np.ndarray:
+        """The log10 probability of each text (tokens ``begin[i]`` to ``begin[i + 1]``), read from left to right."""
+        gain, fail, ends = [x.tolist() for x in self.gain], [x.tolist() for x in self.fail], self.state.tolist()
+        out = []
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            sum_, state = 0.0, 0
+            for i in range(a, b):
+                arc = gain[state][i]
+                while arc != arc:  # no arc of this state reads the token
+                    sum_ += fail[state][i]
+                    state -= 1
+                    arc = gain[state][i]
+                sum_ += arc
+                state = ends[i]
+            out.append(sum_)
+        return np.array(out)
+
+
+def _counts(block: Block, answers: pa.Table, bits: int) -> list[np.ndarray]:
+    """The training counts of the n-grams that end at each token, by order; 0 where there is none."""
+    rows = {(o, p): (n, t) for o, p, n, t in zip(*(answers.column(c).to_pylist() for c in ("order", "part", "n", "totals")), strict=True)}
+    out = []
+    for order, (names, place, _) in enumerate(block.distinct(), 1):
+        total = np.zeros(len(names) + 1, np.int64)  # the last entry is for tokens without an n-gram
+        for part, at in _cells(names, bits):
+            n, data = rows[order, part]
+            total[at] = unpacked(data, n, 5).astype(np.int64)
+        out.append(total[place])
+    return out
+
+
 def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def scored(spark: SparkSession, docs: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> DataFrame:
-    model, counts = train(spark, docs.where(~held_out(F.col("doc_id"))), order, word_share, gram_share)
-    return scores(spark, docs, model, counts)
+def scored(spark: SparkSession, docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_grams: int = PART_GRAMS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
+    kind = dict(docs.dtypes)["doc_id"]
+    blocks = written(encoded(docs, block_tokens), spark)
+    texts = F.arrays_zip("sizes", "held")
+    train = F.aggregate(F.filter(texts, lambda x: ~x["held"]), F.lit(0).cast("long"), lambda a, x: a + x["sizes"])
+    every = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    sums = blocks.agg(F.coalesce(F.sum(train), F.lit(0)).alias("train"), F.coalesce(F.sum(every), F.lit(0)).alias("all")).first()
+    bits = max(0, -(-ORDER * sums["all"] // part_grams) - 1).bit_length()
+    answers = written(answered(asked(blocks, bits)), spark)
+    distinct = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    total = sums["train"]
+
+    def read(left: pa.Table, right: pa.Table) -> pa.Table:
+        columns = {c: left.column(c).combine_chunks() for c in left.column_names}
+        columns = {c: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for c, x in columns.items()}
+        block = _block(columns, 0)
+        count = _counts(block, right, bits)
+        model = Automaton(count, total, distinct)
+        edges = block.begin[:-1]
+        return pa.table(
+            {
+                "doc_id": columns["ids"][0].values,
+                "held_out": pa.array(block.held),
+                "n_tokens": pa.array(np.diff(block.begin)),
+                "n_known": pa.array(np.add.reduceat((count[0] > 0).astype(np.int64), edges)),
+                "train_tokens": pa.array(np.full(len(edges), total, np.int64)),
+                "base_score": pa.array(np.add.reduceat(model.base, edges)),
+                "score": pa.array(model.read(block.begin)),
+            }
+        )
+
+    shape = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(read, shape)
 
 
 def op5_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
