@@ -36,18 +36,32 @@ def test_top_k_matches_brute_force(spark, kind):
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
     bad = spark.createDataFrame([(3, None), (50, [1.0, None] * 4), (101, [float("nan")] * 8), (None, [1.0] * 8)], "vec_id long, embedding array<float>")
     vectors = covertree.integer_vectors(df.unionByName(bad))
-    got = Counter(tuple(r) for r in covertree.top_k(vectors, vectors.where("vec_id % 50 = 0"), pivots=16).collect())
+    got = Counter(tuple(r) for r in covertree.top_k(spark, vectors, vectors.where("vec_id % 50 = 0"), pivots=16).collect())
     assert got == _plain_top(ids, x, [i for i in range(700) if ids[i] % 50 == 0], 5)
 
 
 def test_top_k_edges(spark):
     none = covertree.integer_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"))
-    assert covertree.top_k(none, none).count() == 0
+    assert covertree.top_k(spark, none, none).count() == 0
     few = covertree.integer_vectors(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0]), (50, [])], "vec_id long, embedding array<float>"))
-    got = sorted(tuple(r) for r in covertree.top_k(few, few.where("vec_id % 50 = 0")).collect())
+    got = sorted(tuple(r) for r in covertree.top_k(spark, few, few.where("vec_id % 50 = 0")).collect())
     assert got == [(0, 1, 1, 32768)]
 
 
+def test_top_k_of_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(a) for a in rng.integers(-9, 9, 4)]) for i in range(1, 120)]
+    rows += [rows[49], rows[49], (50, [9.0, 9.0, 9.0, 9.0]), rows[10], (None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as v", "2 as block", "3 as part")
+    got = sorted(tuple(r) for r in covertree.top_k(spark, covertree.integer_vectors(df), covertree.integer_vectors(df).where("vec_id % 50 = 0"), pivots=8).collect())
+    want = []
+    for q in (50, 100):
+        own = min(tuple(int(256 * a) for a in v) for i, v in rows if i == q)
+        best = sorted((-sum(a * int(256 * b) for a, b in zip(own, v, strict=True)), i) for i, v in rows if i not in (q, None))[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert got == want
+
+
 def test_search_prunes():
     rng = np.random.default_rng(1)
     centres = rng.integers(-4000, 4000, (20, 6))

@@ -13,10 +13,13 @@ best bound first and prunes a pair as soon as
 (centres c, covering radii r) is below the worst k-th score in the query node. Ties are never
 pruned. The k best of each block meet in a last ranking. Scores are exact integers.
 
+A block is sent to a group of queries only if one of the group asked for it.
+
 Vectors that are null, or hold null or non-finite components, and rows without vec_id take no
-part. A query meets vectors of its own length only. Rows that share the query's vec_id are the
-query's own; other repeated rows are candidates each. Scores must fit 64 bits. Empty tables give
-an empty result; other columns are ignored.
+part. A query meets vectors of its own length only. Query rows that share a vec_id are one query, the least
+of their vectors, and all rows of that vec_id are its own; other repeated rows are candidates each.
+Scores must fit 64 bits. Empty tables give an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import table
+from tidemark.llm.shared import table, written
 
 K = 5
 PIVOTS = 256
@@ -123,8 +126,9 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.int64).reshape(len(column), dim)
 
 
-def top_k(data: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of ``data`` for each row of ``queries`` (both as of ``integer_vectors``)."""
+def top_k(spark: SparkSession, data: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of ``data`` for each vec_id of ``queries`` (both as of ``integer_vectors``)."""
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     centres: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).toArrow()
     for dim in {len(v) for v in chosen.column("v")}:
@@ -176,37 +180,46 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS)
             block = np.array([block_of[key][0] for key in keys], np.int64) + spread % np.array([block_of[key][1] for key in keys], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(block)], names=["vec_id", "v", "block"])
 
+    # by length: blocks as (first block, their number), and the cells and radii of each
+    plan: dict[int, list[tuple[int, int, list[int], list[float]]]] = {}
+    for dim, cells in by_dim.items():
+        shared: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
+        for cell, radius, cut in cells:
+            own = shared.setdefault((block_of[dim, cell][0], cut), ([], []))
+            own[0].append(cell)
+            own[1].append(radius)
+        plan[dim] = [(first, cut, *own) for (first, cut), own in sorted(shared.items())]
+
     def asked(batches):
         for batch in batches:
-            ids, at, blocks = batch.column(0).to_numpy(), [], []
-            dims = [len(v) for v in batch.column(1)]
-            for i, dim in enumerate(dims):
-                if dim not in by_dim:
-                    continue
-                least = -np.inf
-                if dim in centres and dim:
-                    q = np.asarray(batch.column(1)[i].values, float)
+            ids, dims = batch.column(0).to_numpy(), np.array([len(v) for v in batch.column(1)], np.int64)
+            at, blocks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for dim in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == dim)
+                bounded = dim in centres and dim
+                if bounded:
+                    q = _matrix(batch.column(1).take(pa.array(rows)), dim).astype(float)
                     names, c = centres[dim]
-                    score = c @ q
-                    others = np.sort(score[names != ids[i]])
-                    if len(others) >= k:
-                        least = others[-k]
-                wanted = set()
-                for cell, radius, cut in by_dim[dim]:
-                    if cell >= 0 and least > -np.inf:
-                        most = score[cell] + np.sqrt(q @ q) * radius
-                        if most + 1e-9 * abs(most) + 1e-6 < least:
-                            continue
-                    first = block_of[dim, cell][0]
-                    wanted.update(range(first, first + cut))
-                at += [i] * len(wanted)
-                blocks += sorted(wanted)
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(blocks, pa.int64())], names=["vec_id", "v", "block"])
+                    score, norm = q @ c.T.astype(float), np.sqrt((q * q).sum(axis=1))
+                    least = np.full(len(rows), -np.inf)  # a k-th score that other rows, the pivots, reach
+                    if len(names) >= k:
+                        others = np.where(names == ids[rows][:, None], -np.inf, score)
+                        least = -np.partition(-others, k - 1, axis=1)[:, k - 1]
+                for first, cut, cells, radii in plan.get(dim, []):
+                    want = np.ones(len(rows), bool)
+                    if bounded and min(cells) >= 0:
+                        most = score[:, cells] + norm[:, None] * np.array(radii)
+                        want = (most + 1e-9 * np.abs(most) + 1e-6 >= least[:, None]).any(axis=1)
+                    hit = rows[want]
+                    at.append(np.repeat(hit, cut))
+                    blocks.append(np.tile(np.arange(first, first + cut), len(hit)))
+            at = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(blocks))], names=["vec_id", "v", "block"])
 
     shape = "vec_id long, v array<long>, block long"
-    held = data.mapInArrow(placed, shape).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    put = queries.mapInArrow(asked, shape).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
+    put = written(queries.mapInArrow(asked, shape).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")), spark)
+    needed = put.select(F.col("block").alias("asked_block"), F.col("part").alias("asked_part")).distinct()
+    held = data.mapInArrow(placed, shape).join(needed, F.col("block") == F.col("asked_block")).select("vec_id", "v", "block", F.col("asked_part").alias("part"))
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
@@ -224,7 +237,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS)
 
 def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
-    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+    return top_k(spark, vectors, vectors.where("vec_id % 50 = 0"))
 
 
 ORACLE = """
@@ -233,9 +246,10 @@ WITH v AS (
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+q AS (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v))
+  FROM q JOIN v c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v))
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
