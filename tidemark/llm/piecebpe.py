@@ -7,9 +7,9 @@ as U+2581 and one is put before the text.
 
 A merge can only join characters that stand side by side in some piece, so a text falls apart
 wherever they never do: before a run of spaces, around line feeds, and between ASCII punctuation
-marks and letters, as far as the vocabulary holds no such pair. Each distinct part is encoded once per worker. All parts first seen in an
-Arrow batch are compared, ids and decoded text, with the sentencepiece library; a difference
-raises an error.
+marks and letters, as far as the vocabulary holds no such pair. Each distinct part is encoded once per
+worker, as long as ``MOST_BYTES`` hold what is known; parts first seen in an Arrow batch are compared with
+the sentencepiece library's ids, and a difference raises an error. Decoding is the library's, of the whole ids.
 
 Null texts are empty: their ids are the end id alone. Texts of any length, also without spaces,
 take n log n steps. Rows are encoded one by one, so ties, repeats and null ids need no rule; other
@@ -35,7 +35,7 @@ from tidemark.llm.shared import table
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
-MOST_KEPT = 1_200_000
+MOST_BYTES = 200 << 20
 
 
 class PieceBPE:
@@ -57,8 +57,6 @@ class PieceBPE:
         self.ids = {p: i for i, p in enumerate(self.pieces) if not special[i]}
         self.rank = {p: -lib.get_score(i) for p, i in self.ids.items()}
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.byte_of = {i: b for b, i in enumerate(self.bytes)}
-        self.hidden = {i for i in count if lib.is_control(i)}
         if any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in self.ids):
             raise ValueError("a piece of this vocabulary crosses the places where texts are cut")
         # marks that no piece puts next to a letter: a text may be cut between both
@@ -71,6 +69,7 @@ class PieceBPE:
         word = rf"{SPACE}*{letters}++(?=[{mark}{SPACE}\n]|\Z)|{SPACE}*[{mark}]++(?={letters}|[{SPACE}\n]|\Z)"
         self.cut = re.compile(f"{word}|{whole}" if marks else whole)
         self.known: dict[str, str] = {}
+        self.kept = 0
 
     def merge(self, part: str) -> list[int]:
         """The ids of one part."""
@@ -101,25 +100,10 @@ class PieceBPE:
                 out.extend([one] if one is not None else [self.bytes[b] for b in s.encode()])
         return out
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """The text of ids: pieces joined, byte pieces read as UTF-8, control ids skipped, the first space dropped."""
-        out, held = [], bytearray()
-        for i in ids:
-            if (b := self.byte_of.get(i)) is not None:
-                held.append(b)
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            if i not in self.hidden:
-                out.append(self.pieces[i])
-        out.append(held.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ").removeprefix(" ")
-
     def learn(self, parts: Iterable[str]) -> None:
         """Encodes new parts and compares them with the library."""
-        if len(self.known) > MOST_KEPT:
-            self.known = {}
+        if self.kept > MOST_BYTES:
+            self.known, self.kept = {}, 0
         new = [p for p in dict.fromkeys(parts) if p not in self.known]
         if not new:
             return
@@ -129,20 +113,17 @@ class PieceBPE:
             theirs = self.library.encode(["\n" + p for p in some], num_threads=1)
             for p, want in zip(some, theirs, strict=True):
                 ids = self.merge(p)
-                if lead + ids != want or self.decode(lead + ids) != "\n" + p.replace(SPACE, " "):
+                if lead + ids != want:
                     raise ValueError(f"the library encodes {p!r} as {want[len(lead):]}, the agenda as {ids}")
-                self.known[p] = " ".join(map(str, ids))
+                self.known[p] = text = " ".join(map(str, ids))
+                self.kept += 4 * len(p) + len(text) + 200
 
-    def parts(self, text: str) -> list[str]:
-        """The parts of one text, all of them encoded and compared."""
+    def encode(self, text: str) -> str:
+        """The ids of one text, in decimal, joined by spaces."""
         parts = self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
         if not self.known.keys() >= set(parts):
             self.learn(parts)
-        return parts
-
-    def encode(self, text: str) -> str:
-        """The ids of one text, in decimal, joined by spaces."""
-        return " ".join(map(self.known.__getitem__, self.parts(text)))
+        return " ".join(map(self.known.__getitem__, parts))
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, end_id: int | None = 2) -> DataFrame:
@@ -168,18 +149,14 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = PieceBPE.of(path)
         for batch in batches:
-            texts = [None if x is None else own.decode(x) for x in batch.column(1).to_pylist()]
+            texts = [None if x is None else own.library.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: the ids of ``encode`` and the text they decode to, without moving either.
-
-    A part's ids were decoded when it was learnt, and gave the part again. Parts hold whole characters,
-    so no byte pieces join across them and the ids of a text decode to its decoded parts in order.
-    """
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: of the ids of ``encode`` and the text the library decodes them to, without moving either."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +164,11 @@ def digests(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2) ->
         for batch in batches:
             counts, ours, texts = [], [], []
             for value in batch.column(1):
-                parts = own.parts(value.as_py() or "")
-                ids = " ".join([*map(own.known.__getitem__, parts), str(end_id)])
-                counts.append(ids.count(" ") + 1)
+                ids = f"{own.encode(value.as_py() or '')} {end_id}".lstrip()
+                numbers = [*map(int, ids.split(" "))]
+                counts.append(len(numbers))
                 ours.append(hashlib.sha256(ids.encode()).hexdigest())
-                texts.append(hashlib.sha256("".join(parts).replace(SPACE, " ").removeprefix(" ").encode()).hexdigest())
+                texts.append(hashlib.sha256(own.library.decode(numbers).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ours), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
