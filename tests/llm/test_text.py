@@ -129,6 +129,7 @@ def test_licences(spark):
     assert got[0]["sentence_ids"] == "mit-title,mit-grant,mit-condition" and got[5]["n_sentences"] == 0
     for name, forms in licences.SENTENCES.items():
         assert len(set(map(licences.normal, forms))) == len(forms), name
+    assert {i for _, need in licences.RULES for i in need} <= set(licences.SENTENCES)
     assert licences.scanned(empty(spark)).count() == 0
 
 

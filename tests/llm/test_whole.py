@@ -2,6 +2,7 @@
 
 import textwrap
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -55,17 +56,43 @@ def test_terms_disclose_anywhere_in_a_text(spark):
 # --- 4: licences ---
 
 
-@pytest.mark.parametrize("mark", ["", "# ", " * "])
-def test_wrapped_licences(spark, mark):
-    want = ["MIT", "BSD-3-Clause", "GPL-3.0", "ISC"]
-    need = [["mit-grant", "mit-condition"], ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"], ["gpl-free"], ["isc-grant"]]
+def _licence_files(mark, width):
+    need = [
+        ("MIT", ["mit-grant", "mit-condition", "mit-warranty"]),
+        ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-warranty"]),
+        ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+        ("GPL-3.0", ["gpl-program", "gpl3-redistribute", "gpl-hope", "gpl-implied", "gpl-details"]),
+        ("GPL-2.0", ["gpl-program", "gpl2-redistribute", "gpl2-version", "gpl-hope"]),
+        ("LGPL-2.1", ["lgpl-library", "lgpl21-redistribute", "lgpl21-version"]),
+        ("AGPL-3.0", ["gpl-program", "agpl-redistribute"]),
+        ("Apache-2.0", ["apache-notice", "apache-comply", "apache-copy", "apache-warranty", "apache-see"]),
+        ("ISC", ["isc-grant"]),
+        ("Unlicense", ["unlicense", "unlicense-free"]),
+        ("Zlib", ["zlib-warranty", "zlib-grant"]),
+    ]
     rows = []
-    for i, keys in enumerate(need):
-        lines = ["Copyright 2020 A. Person"]
-        for key in keys:
-            lines += [*textwrap.wrap(licences.SENTENCES[key][0], 72), ""]
-        rows.append((i, "\n".join(mark + x for x in lines), "s"))
-    rows.append((9, f"{mark}MIT License\n{mark}some text\n{mark}SPDX-License-Identifier: BSD-3-Clause\n", "s"))
-    got = {r.doc_id: r for r in licences.scanned(frame(spark, rows)).collect()}
-    assert [got[i].licences for i in range(4)] == want
-    assert got[9].sentence_ids == "mit-title,bsd3-notice"
+    for i, (_, keys) in enumerate(need):
+        sentences = [licences.SENTENCES[key][-1 if key == "apache-copy" else 1 if key == "apache-notice" else 0] for key in keys]
+        for k, together in enumerate((True, False)):
+            lines = ["Copyright 2020 A. Person", ""]
+            paragraphs = [" ".join(sentences)] if together else sentences
+            for x in paragraphs:
+                lines += [*textwrap.wrap(x, width), ""]
+            rows.append((2 * i + k, "\n".join(mark + x for x in lines), "s"))
+    form = licences.SENTENCES["mpl-form"][0] + " 2.0. " + licences.SENTENCES["mpl-copy"][0]
+    rows.append((98, "\n".join(mark + x for x in textwrap.wrap(form, width)), "s"))
+    rows.append((99, f"{mark}MIT License\n{mark}some text\n{mark}SPDX-License-Identifier: BSD-3-Clause\n", "s"))
+    want = {2 * i + k: name for i, (name, _) in enumerate(need) for k in (0, 1)} | {98: "MPL-2.0", 99: "MIT,BSD-3-Clause"}
+    return rows, want
+
+
+@pytest.mark.parametrize(("mark", "width"), [("", 72), ("# ", 78), (" * ", 70)])
+def test_licence_files(spark, mark, width):
+    rows, want = _licence_files(mark, width)
+    got = {r.doc_id: r.licences for r in licences.scanned(frame(spark, rows)).collect()}
+    assert got == want
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    db.executemany("insert into documents values (?, ?, ?)", rows)
+    sql = {i: x for i, x in db.execute("select doc_id, licences from (" + licences.ORACLE + ")").fetchall()}
+    assert sql == want

@@ -1,12 +1,13 @@
 """Licence recognition by sentence rules, with DataFrame functions only.
 
-Text is cut into sentences (at lines without letters and digits, at a line's end after ``:``, and after ``.``, ``!``,
-``?`` or ``;`` before white space), each is normalised (lower case, runs of other characters than letters and digits,
+Text is cut into sentences (at lines without letters and digits, and after ``.``, ``!``, ``?``, ``;`` or ``:`` before
+white space, but not within an SPDX line), each is normalised (lower case, runs of other characters than letters and digits,
 so line feeds and comment marks too, become one space) and looked up among known licence sentences. In a sentence
 that is not known, each line is looked up by itself, and then all from that line on. The identifiers found, in text order, are matched against licence
 rules, the first rule first: a rule whose identifiers stand next to each other in the sequence names a
 licence and uses them up, so a full text is not reported again by its parts.
 
+Licence sentences with a cut mark inside, such as the grant of the GPL, are known by their pieces.
 Each text is judged by itself in one projection: nothing is shuffled, and texts of any length
 or repeats need no rule. A null text has no sentences. Other columns are ignored; an empty table
 gives an empty result.
@@ -27,57 +28,119 @@ SENTENCES = {
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
     ],
     "mit-condition": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "mit-warranty": [
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+    ],
+    "apache-title": ["Apache License", "Apache License, Version 2.0", "Apache License Version 2.0, January 2004"],
     "apache-notice": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License");', "SPDX-License-Identifier: Apache-2.0"],
     "apache-comply": ["you may not use this file except in compliance with the License."],
-    "apache-copy": ["You may obtain a copy of the License at"],
+    "apache-copy": ["You may obtain a copy of the License at", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
+    "apache-warranty": [
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
+    ],
+    "apache-see": ["See the License for the specific language governing permissions and limitations under the License."],
     "gpl3-notice": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "gpl2-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "gpl2-notice": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "gpl-program": ["This program is free software:"],
+    "gpl3-redistribute": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "gpl2-redistribute": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;"],
+    "gpl2-version": ["either version 2 of the License, or (at your option) any later version."],
     "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"],
-    "lgpl-notice": ["SPDX-License-Identifier: LGPL-3.0-only", "Licensed under the GNU Lesser General Public License, version 3."],
+    "gpl-implied": ["without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "gpl-details": ["See the GNU General Public License for more details."],
+    "agpl-notice": ["SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later", "This work is licensed under the GNU Affero General Public License, version 3."],
+    "agpl-redistribute": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "lgpl-notice": ["SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later", "Licensed under the GNU Lesser General Public License, version 3."],
+    "lgpl3-redistribute": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "lgpl-library": ["This library is free software:"],
+    "lgpl21-redistribute": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;"],
+    "lgpl21-version": ["either version 2.1 of the License, or (at your option) any later version."],
     "bsd-grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
     "bsd-name": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "bsd-warranty": [
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+    ],
     "bsd3-notice": ["SPDX-License-Identifier: BSD-3-Clause", "Licensed under the BSD 3-Clause License."],
     "bsd2-notice": ["SPDX-License-Identifier: BSD-2-Clause", "Licensed under the BSD 2-Clause License."],
+    "isc-title": ["ISC License", "The ISC License"],
     "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "mpl-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "isc-notice": ["SPDX-License-Identifier: ISC"],
+    "0bsd-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "mpl-form": ["This Source Code Form is subject to the terms of the Mozilla Public License, v."],
+    "mpl-notice": ["SPDX-License-Identifier: MPL-2.0"],
+    "mpl-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "cc-by-notice": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
-    "cc-by-sa-notice": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "cc-by-nc-notice": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "cc-by-sa-notice": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc-by-nc-notice": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "cc0-notice": ["SPDX-License-Identifier: CC0-1.0", "This work is dedicated to the public domain."],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "unlicense-free": [
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ],
+    "boost-title": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "boost-notice": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "zlib-warranty": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "zlib-notice": ["SPDX-License-Identifier: Zlib"],
+    "epl-notice": ["SPDX-License-Identifier: EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
 }
 
 # Licence and the identifiers it shows, in the order in which rules apply.
 RULES = [
+    ("MIT", ["mit-title", "mit-grant", "mit-condition", "mit-warranty"]),
     ("MIT", ["mit-title", "mit-grant", "mit-condition"]),
+    ("MIT", ["mit-grant", "mit-condition", "mit-warranty"]),
     ("MIT", ["mit-grant", "mit-condition"]),
+    ("Apache-2.0", ["apache-notice", "apache-comply", "apache-copy", "apache-warranty", "apache-see"]),
     ("Apache-2.0", ["apache-notice", "apache-comply", "apache-copy"]),
-    ("GPL-3.0", ["gpl-free", "gpl-hope"]),
-    ("GPL-2.0", ["gpl2-free", "gpl-hope"]),
+    ("GPL-3.0", ["gpl-program", "gpl3-redistribute", "gpl-hope", "gpl-implied", "gpl-details"]),
+    ("GPL-3.0", ["gpl-program", "gpl3-redistribute", "gpl-hope"]),
+    ("GPL-2.0", ["gpl-program", "gpl2-redistribute", "gpl2-version", "gpl-hope", "gpl-implied", "gpl-details"]),
+    ("GPL-2.0", ["gpl-program", "gpl2-redistribute", "gpl2-version"]),
+    ("AGPL-3.0", ["gpl-program", "agpl-redistribute"]),
+    ("LGPL-3.0", ["lgpl-library", "lgpl3-redistribute"]),
+    ("LGPL-2.1", ["lgpl-library", "lgpl21-redistribute", "lgpl21-version"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-warranty"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("ISC", ["isc-title", "isc-grant"]),
+    ("MPL-2.0", ["mpl-form", "mpl-copy"]),
+    ("Unlicense", ["unlicense", "unlicense-free"]),
+    ("Zlib", ["zlib-warranty", "zlib-grant"]),
     ("MIT", ["mit-notice"]),
     ("MIT", ["mit-title"]),
     ("MIT", ["mit-grant"]),
     ("Apache-2.0", ["apache-notice"]),
+    ("Apache-2.0", ["apache-title"]),
     ("GPL-3.0", ["gpl3-notice"]),
-    ("GPL-3.0", ["gpl-free"]),
-    ("GPL-2.0", ["gpl2-free"]),
+    ("GPL-3.0", ["gpl3-redistribute"]),
+    ("GPL-2.0", ["gpl2-notice"]),
+    ("AGPL-3.0", ["agpl-notice"]),
+    ("AGPL-3.0", ["agpl-redistribute"]),
     ("LGPL-3.0", ["lgpl-notice"]),
+    ("LGPL-3.0", ["lgpl3-redistribute"]),
     ("BSD-3-Clause", ["bsd3-notice"]),
     ("BSD-2-Clause", ["bsd2-notice"]),
     ("ISC", ["isc-grant"]),
+    ("ISC", ["isc-notice"]),
+    ("0BSD", ["0bsd-grant"]),
     ("MPL-2.0", ["mpl-notice"]),
+    ("MPL-2.0", ["mpl-form"]),
     ("CC-BY-4.0", ["cc-by-notice"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-notice"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-notice"]),
     ("CC0-1.0", ["cc0-notice"]),
     ("Unlicense", ["unlicense"]),
+    ("BSL-1.0", ["boost-title"]),
+    ("BSL-1.0", ["boost-notice"]),
+    ("Zlib", ["zlib-grant"]),
+    ("Zlib", ["zlib-notice"]),
+    ("EPL-2.0", ["epl-notice"]),
 ]
-CUT = r"\n(?:[^A-Za-z0-9\n]*\n)+|(?<=:)[\x20\t\r]*\n|(?<=[.!?;])[\x20\x09-\x0D]+"
+CUT = r"\n(?:[^A-Za-z0-9\n]*\n)+|(?<!SPDX-License-Identifier:)(?<=[.!?;:])[\x20\x09-\x0D]+"
 
 
 def normal(sentence: str) -> str:
@@ -145,15 +208,25 @@ def op4_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    known = ", ".join("('{}', '{}')".format(normal(s), name) for name, forms in SENTENCES.items() for s in forms)
+    forms = {normal(s): name for name, forms in SENTENCES.items() for s in forms}
+    known = ", ".join(f"('{form}', '{name}')" for form, name in forms.items())
     rules = ", ".join("({}, '{}', ',{},')".format(i, name, ",".join(need)) for i, (name, need) in enumerate(RULES))
+    short, most = min(map(len, forms)), max(len(s.split()) for s in forms)
     return rf"""
 WITH RECURSIVE known(form, id) AS (VALUES {known}),
 rules(place, name, need) AS (VALUES {rules}),
-s AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i
-      FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '\n') AS ls FROM documents)),
-k AS (SELECT doc_id, id, i FROM s JOIN known ON form = trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))),
-g AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids FROM k GROUP BY doc_id),
+cut AS (SELECT doc_id, string_split(regexp_replace(replace(replace(coalesce(text, ''), chr(1), ' '), 'SPDX-License-Identifier:', 'SPDX-License-Identifier '),
+          '\n(?:[^A-Za-z0-9\n]*\n)+|([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), chr(1)) AS ps FROM documents),
+part AS (SELECT doc_id, x, i, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS form
+         FROM (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS i FROM cut) WHERE length(x) >= {short}),
+whole AS (SELECT part.*, id FROM part LEFT JOIN known USING (form)),
+line AS (SELECT doc_id, i, j, len(ls) - j + 1 AS rest, ls[j] AS x, array_to_string(ls[j:], ' ') AS xs
+         FROM (SELECT doc_id, i, string_split(x, chr(10)) AS ls, unnest(generate_series(1, len(string_split(x, chr(10))))) AS j FROM whole WHERE id IS NULL AND contains(x, chr(10)))),
+looked AS (SELECT line.doc_id, i, j, coalesce(a.id, CASE WHEN j > 1 AND rest BETWEEN 2 AND {most} THEN b.id END) AS id
+           FROM line LEFT JOIN known a ON length(x) >= {short} AND a.form = trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))
+                     LEFT JOIN known b ON b.form = trim(regexp_replace(lower(xs), '[^a-z0-9]+', ' ', 'g'))),
+k AS (SELECT doc_id, id, i, 0 AS j FROM whole WHERE id IS NOT NULL UNION ALL SELECT doc_id, id, i, j FROM looked WHERE id IS NOT NULL),
+g AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i, j) AS ids FROM k GROUP BY doc_id),
 r AS (
   SELECT doc_id, -1 AS place, ',' || ids || ',' AS left_over, 0 AS pos, '' AS name FROM g
   UNION ALL
