@@ -96,32 +96,71 @@ CHAT = [
 ]
 
 
+def _messages(spark, rows):
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as parent", "2 as thread", "3 as place", "4 as hash", "5 as span")
+
+
 def test_quotation_links(spark):
-    df = spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string")
-    got = {(r.conv_id, r.turn): r for r in quotes.linked(spark, df).collect()}
+    df = _messages(spark, CHAT)
+    rows = quotes.linked(spark, df).collect()
+    got = {(r.conv_id, r.turn): r for r in rows}
     assert [got[1, t].parent for t in range(7)] == [None, None, None, 1, 3, 0, None]
-    order = sorted((k for k in got if k[0] == 1), key=lambda k: got[k].reply_path)
+    order = sorted((k for k in got if k[0] == 1), key=lambda k: (got[k].thread, got[k].place))
     assert [t for _, t in order] == [0, 5, 1, 3, 4, 2, 6]
     assert got[1, 4].text == "The first." and got[1, 6].text == "Hm > 3" and got[2, 0].text is None and got[2, 1].text == ""
-    assert got[3, 5].parent is None and len(got) == len(CHAT)
+    assert got[3, 5].parent is None and len(rows) == len(CHAT)
     assert quotes.linked(spark, df.limit(0)).count() == 0
 
 
-def test_long_reply_chain(spark):
-    rows = [(1, 0, "u", "line 0"), *((1, i, "u", f"> line {i - 1}\nline {i}") for i in range(1, 25))]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.turn: r.reply_path for r in quotes.linked(spark, df).collect()}
-    assert got[24] == "/".join(f"{i:010d}" for i in range(25))
+def test_wrapped_quotes_and_any_turns(spark):
+    text = "The quick brown fox jumps over the lazy dog. It was not amused by that at all, and left.\n\nAnother paragraph stands here."
+    wrapped = "> The quick brown fox jumps\n> over the lazy dog. It was not amused\n> by that at all, and left.\nReally?"
+    part = ">It was not amused by\n> that at all, and left.\nOnly that."
+    rows = [(1, -20, "u", text), (1, -3, "u", wrapped), (1, 10**11, "u", part), (1, 10**11 + 1, "u", "> > over the lazy dog. It was not amused\n> Really?\nYes.")]
+    got = {r.turn: r for r in quotes.linked(spark, _messages(spark, rows)).collect()}
+    assert [got[t].parent for t in (-20, -3, 10**11, 10**11 + 1)] == [None, -20, -20, -3]
+    assert sorted(got, key=lambda t: (got[t].thread, got[t].place)) == [-20, -3, 10**11 + 1, 10**11]
 
 
-def test_quotation_links_match_sql(spark):
-    rows = [r for r in CHAT if r[0] is not None]
+def test_long_reply_chain(spark):
+    rows = [(1, 0, "u", "line 0"), *((1, i, "u", f"> line {i - 1}\nline {i}") for i in range(1, 40))]
+    got = {r.turn: (r.thread, r.place) for r in quotes.linked(spark, _messages(spark, rows)).collect()}
+    assert got == {i: (0, i) for i in range(40)}
+
+
+def _many(seed):
+    """Conversations whose messages quote earlier ones, in part, wrapped anew, nested, or make quotes up."""
+    import random
+    import textwrap
+
+    rng = random.Random(seed)
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(rng.choice([3, 10, 40])):
+            own = " ".join(f"w{rng.randint(0, 400)} x{conv} says so{rng.choice('.!?,')}" for _ in range(rng.randint(1, 6)))
+            text = own if rng.random() < 0.4 else "\n".join(textwrap.wrap(own, 30))
+            if said and rng.random() < 0.7:
+                other = rng.choice(said)[-1 if rng.random() < 0.5 else 0]
+                lines = textwrap.wrap(" ".join(other.split()), rng.choice([25, 40, 200])) if rng.random() < 0.5 else other.split("\n")
+                lines = lines[: rng.randint(1, len(lines))]
+                text = "\n".join((">" if rng.random() < 0.5 else "> ") + x for x in lines) + rng.choice(["\n", "\n\n"]) + text
+            if rng.random() < 0.1:
+                text = "> common line\n" + text
+            said.append((text, own))
+            rows.append((conv, turn * 700 - 2000, "u", text))
+    return rows + rows[:3]
+
+
+@pytest.mark.parametrize("rows", [[r for r in CHAT if r[0] is not None], _many(1), _many(2)])
+def test_quotation_links_match_sql(spark, rows):
     db = duckdb.connect()
     db.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
     db.executemany("insert into conversations values (?, ?, ?, ?)", rows)
-    want = Counter((a, b, c, p if p >= 0 else None, path, text) for a, b, c, p, path, text in db.execute("select conv_id, turn, role, parent, reply_path, text from (" + registry.ORACLES["op6_quotation_links"] + ")").fetchall())
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    assert Counter(tuple(r) for r in quotes.linked(spark, df).collect()) == want
+    want = Counter((a, b, c, p if p != -1 else None, *x) for a, b, c, p, *x in db.execute("select conv_id, turn, role, parent, thread, place, text from (" + registry.ORACLES["op6_quotation_links"] + ")").fetchall())
+    got = Counter(tuple(r) for r in quotes.linked(spark, _messages(spark, rows)).collect())
+    assert got == want
+    assert len(rows) < 50 or sum(n for r, n in got.items() if r[3] is not None) > len(rows) / 4
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
