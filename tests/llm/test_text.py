@@ -295,13 +295,28 @@ def _components(rows, percent=75):
     return out
 
 
-@pytest.mark.parametrize("block", [hyperminhash.BLOCK, 3])
-def test_near_duplicates(spark, block):
+@pytest.mark.parametrize(("block", "most"), [(hyperminhash.BLOCK, hyperminhash.MOST), (3, 4096), (2, 2), (1, 1)])
+def test_near_duplicates(spark, block, most):
     rows = documents()
-    got = Counter(tuple(r) for r in hyperminhash.near_duplicates(spark, frame(spark), block=block).collect())
+    got = Counter(tuple(r) for r in hyperminhash.near_duplicates(spark, frame(spark), block=block, most=most).collect())
     assert got == _components(rows)
 
 
+@pytest.mark.parametrize("most", [2, 7])
+def test_near_duplicates_in_chained_components(spark, most):
+    rng = np.random.default_rng(5)
+    rows = []
+    for topic in range(6):  # texts that share much with many others, in families of near copies
+        base = [f"t{topic}w{i}" for i in range(60)]
+        for family in range(4):
+            own = [w if rng.random() < 0.96 else f"f{family}{w}" for w in base]
+            for copy in range(5):
+                rows.append((len(rows), " ".join(w if rng.random() < 0.985 else f"c{copy}{w}" for w in own), "s"))
+    got = Counter(tuple(r) for r in hyperminhash.near_duplicates(spark, frame(spark, rows), most=most).collect())
+    want = _components(rows)
+    assert got == want and 10 < sum(r[3] for r in want) < 100
+
+
 def test_near_duplicates_edges(spark):
     assert hyperminhash.near_duplicates(spark, empty(spark)).count() == 0
     df = frame(spark)

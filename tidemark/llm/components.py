@@ -3,7 +3,7 @@
 Each round gives every node the smallest label among itself, its neighbours and its label's own
 label (pointer jumping), so a chain of length n takes about log n rounds. Labels are written to
 the shared folder after each round, which cuts the lineage. The driver only sees a count of
-changes.
+changes. A hub's edges meet its label in a join of two written tables, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     while True:
         # large star: every neighbour above u is joined to the least of u's neighbourhood
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), spark)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: every neighbour at or below u, and u itself, is joined to the least
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        down = written(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), spark)
+        least = written(down.groupBy("u").agg(F.min("v").alias("m")), spark)
         joined = down.join(least, "u")
         small = (
             joined.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))

@@ -13,11 +13,14 @@ so that the empty buckets of a small set draw from its shingles independently.
    independently; the few filled buckets of small sets make that approximate (README). Classes that
    share a band are candidates; a star to the smallest class of the bucket keeps the candidate
    graph connected, so its components hold every candidate pair.
-3. *Estimate, then verify*: inside each candidate component, pairs are estimated from the
+3. *Estimate, then verify*: inside each candidate component of at most ``most`` classes, pairs are estimated from the
    registers, corrected for registers that agree by chance; those within five standard errors of
    the threshold or above are verified on the full sets. Components of more than ``block``
    classes are cut into blocks and every pair of blocks is a group of its own, so that no task
    holds an unbounded group. Each group returns a spanning forest of its links, never all pairs.
+   In larger components, which weak candidates chain together as a corpus grows, only classes that share a
+   band meet: each with the smallest of the band's, in salted groups, and where the links so far leave a
+   band's other classes in several components, those outside the largest with all others, in blocks of both.
 4. Components of the verified links give the result.
 
 Null texts and texts without words have an empty set and are linked with nothing. Rows that share a
@@ -44,6 +47,7 @@ BUCKETS, ROWS = 256, 5
 BANDS = BUCKETS // ROWS
 MANTISSA = 10
 BLOCK = 128
+MOST = 4096  # classes of a component of which all pairs are looked at
 
 
 def shingle_sets(body: np.ndarray, at: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
@@ -136,12 +140,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("tid"), "text").mapInArrow(run, f"doc_id {kind}, tid long, n_shingles long, fp1 long, fp2 long, keys array<long>")
 
 
-def links(sets: list[np.ndarray], percent: int = 75) -> list[tuple[int, int]]:
+def links(sets: list[np.ndarray], percent: int = 75, label: np.ndarray | None = None, expand: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the graph of all pairs with 100 * intersection >= percent * union.
 
     Sets are expanded (compared with all sets outside their own component) until only members of
     the largest component are left, so every pair of different components has been compared: by
-    size, then by estimate, then on the full sets. Pairs inside one component need no look.
+    size, then by estimate, then on the full sets. Pairs inside one component need no look. Sets may
+    come with components (``label``, numbers below their count), and then only those in ``expand`` are expanded.
     """
     count, s = len(sets), percent / 100
     sizes = np.array([len(x) for x in sets], np.int64)
@@ -153,10 +158,11 @@ def links(sets: list[np.ndarray], percent: int = 75) -> list[tuple[int, int]]:
     edge = np.concatenate([[0], np.cumsum(sizes)])
     names, number = np.unique(np.concatenate(sets), return_inverse=True)
     mine = np.zeros(len(names), bool)
-    label, done, out = np.arange(count), np.zeros(count, bool), []
+    label = np.arange(count) if label is None else label.copy()
+    done, out = np.zeros(count, bool) if expand is None else ~expand, []
     while True:
         size = np.bincount(label, minlength=count)
-        rest = np.flatnonzero(~done & (label != size.argmax()))
+        rest = np.flatnonzero(~done & (label != size.argmax())) if expand is None else np.flatnonzero(~done)
         if not len(rest):
             return out
         i = int(rest[0])
@@ -175,60 +181,74 @@ def links(sets: list[np.ndarray], percent: int = 75) -> list[tuple[int, int]]:
                 label[label == label[j]] = label[i]
 
 
-def _grouped_links(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links of each run of rows with one group key; rows arrive sorted by the key."""
-    key, ids, sets = None, [], []
+def _grouped_links(batches: Iterable[pa.RecordBatch], percent: int, keys: int = 3) -> Iterator[pa.RecordBatch]:
+    """Links of each run of rows with one group key; rows arrive sorted by the key.
+
+    Columns: ``keys`` columns of the key, id, text, and for sets that come with components label and expand.
+    """
+    key, ids, sets, labels, expand = None, [], [], [], []
 
     def flush() -> list[tuple]:
-        return [(ids[a], ids[b]) for a, b in links(sets, percent)] if len(sets) > 1 else []
+        if len(sets) < 2:
+            return []
+        if not labels:
+            return [(ids[a], ids[b]) for a, b in links(sets, percent)]
+        return [(ids[a], ids[b]) for a, b in links(sets, percent, np.unique(labels, return_inverse=True)[1], np.array(expand))]
 
     for batch in batches:
         found: list[tuple] = []
-        keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-        names = batch.column(3).to_pylist()
-        for row, body, at in pieces(batch.column(4)):
+        group = list(zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True))
+        names = batch.column(keys).to_pylist()
+        known = [batch.column(i).to_pylist() for i in range(keys + 2, batch.num_columns)]
+        for row, body, at in pieces(batch.column(keys + 1)):
             for i, hashes in enumerate(shingle_sets(body, at), row):
-                if keys[i] != key:
+                if group[i] != key:
                     found += flush()
-                    key, ids, sets = keys[i], [], []
+                    key, ids, sets, labels, expand = group[i], [], [], [], []
                 if len(hashes):
                     ids.append(names[i])
                     sets.append(hashes)
-        yield _edges(found, batch.schema.field(3).type)
-        kind = batch.schema.field(3).type
+                    if known:
+                        labels.append(known[0][i])
+                        expand.append(known[1][i])
+        kind = batch.schema.field(keys).type
+        yield _edges(found, kind)
     if key is not None:
         yield _edges(flush(), kind)
 
 
+def _star_links(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of the first row of each run (low, salt) with the others; columns low, salt, order, id, text."""
+    key, centre = None, None
+    for batch in batches:
+        found = []
+        runs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        names = batch.column(3).to_pylist()
+        for row, body, at in pieces(batch.column(4)):
+            for i, hashes in enumerate(shingle_sets(body, at), row):
+                if runs[i] != key:
+                    key, centre = runs[i], hashes
+                elif len(hashes):
+                    common = int(np.isin(hashes, centre, assume_unique=True).sum())
+                    if 100 * common >= percent * (len(hashes) + len(centre) - common):
+                        found.append((key[0], names[i]))
+        yield _edges(found, batch.schema.field(3).type)
+
+
 def _edges(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k in (0, 1)], names=["a", "b"])
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, block: int = BLOCK) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, block: int = BLOCK, most: int = MOST) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept; one row per row of ``docs``."""
-    return _judged(spark, docs, percent, block).select("doc_id", "n_shingles", "component_id", "kept")
+    return _judged(spark, docs, percent, block, most).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _judged(spark: SparkSession, docs: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """``near_duplicates`` with tid (a hash of the text), fp1 and fp2."""
-    own = docs.select(F.col("doc_id"), F.col("text"))
-    sketched = written(sketches(own), spark)
-    classes = written(
-        sketched.where(F.col("fp1").isNotNull())
-        .groupBy("fp1", "fp2", "n_shingles")
-        .agg(F.min_by("keys", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("keys"), F.min("doc_id").alias("rep"))
-        .where(F.col("rep").isNotNull()),
-        spark,
-    )
-    bands = classes.select("rep", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
-    candidates = bands.join(shared, "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    loose = components(candidates, spark)
-    sizes = loose.groupBy("component").count()
-    # blocks grow with the component: at most 8 to a side until they hold 4096 classes
-    wide = F.greatest(F.lit(block), F.least(F.lit(4096), F.ceil(F.col("count") / 8)))
-    cut = sizes.select("component", F.ceil(F.col("count") / wide).cast("int").alias("blocks"))
-    member = loose.join(cut, "component").select(
+def _small(own: DataFrame, loose: DataFrame, percent: int, block: int, most: int) -> DataFrame:
+    """Links (a, b) among all pairs of each component of ``loose`` (node, component, count)."""
+    # blocks grow with the component: at most 8 to a side
+    wide = F.greatest(F.lit(block), F.least(F.lit(max(block, most)), F.ceil(F.col("count") / 8)))
+    member = loose.withColumn("blocks", F.ceil(F.col("count") / wide).cast("int")).select(
         F.col("node").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")
     )
     # always a sort-merge join: the members grow with the corpus, and a broadcast of few would only hide that
@@ -245,7 +265,64 @@ def _judged(spark: SparkSession, docs: DataFrame, percent: int, block: int = BLO
     )
     grouped = pairs.select("component", "pair.i", "pair.j", "doc_id", "text").repartition("component", "i", "j")
     kind = dict(own.dtypes)["doc_id"]
-    found = grouped.sortWithinPartitions("component", "i", "j").mapInArrow(lambda batches: _grouped_links(batches, percent), f"a {kind}, b {kind}")
+    return grouped.sortWithinPartitions("component", "i", "j").mapInArrow(lambda batches: _grouped_links(batches, percent), f"a {kind}, b {kind}")
+
+
+def _large(spark: SparkSession, own: DataFrame, bands: DataFrame, percent: int, most: int) -> DataFrame:
+    """Links (a, b) among classes that share a band (``bands``: rep, key)."""
+    kind = dict(own.dtypes)["doc_id"]
+    low = bands.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
+    others = written(bands.join(low, "key").where("rep <> low"), spark)
+    star = others.select("rep", "low").distinct()
+    salts = written(star.groupBy("low").agg(F.ceil(F.count("*") / most).cast("int").alias("salts")), spark)
+    spokes = star.join(salts, "low").select("low", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("place"), F.col("rep").alias("doc_id"))
+    centres = salts.select("low", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("place"), F.col("low").alias("doc_id"))
+    rows = own.join(spokes.unionByName(centres).hint("merge"), "doc_id").select("low", "salt", "place", "doc_id", "text")
+    met = rows.repartition("low", "salt").sortWithinPartitions("low", "salt", "place")
+    first = written(met.mapInArrow(lambda batches: _star_links(batches, percent), f"a {kind}, b {kind}"), spark)
+    # bands whose other classes are still in several components: each kind of them once
+    named = others.join(components(first, spark), F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
+    named = written(named, spark)
+    sizes = written(named.groupBy("key", "label").agg(F.count("*").alias("n")), spark)
+    open_ = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    names = named.groupBy("key").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    open_ = open_.join(names, "key").groupBy("x", "y", "n").agg(F.min(F.struct("key", "main")).alias("one")).select("one.key", F.col("one.main.label").alias("main"), F.col("one.main.n").alias("in_main"), "n")
+    blocks, strays = F.ceil(F.col("n") / most).cast("int"), F.ceil((F.col("n") - F.col("in_main")) / most).cast("int")
+    open_ = written(open_.select("key", "main", blocks.alias("blocks"), strays.alias("parts")), spark)
+    member = named.join(open_, "key")
+
+    def dealt(rows: DataFrame, mine: str, other: str, expand: bool) -> DataFrame:
+        own_part = F.pmod(F.xxhash64("rep"), F.col(mine)).cast("int")
+        return rows.select("key", own_part.alias(mine), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other), F.col("rep").alias("doc_id"), "label", F.lit(expand).alias("expand"))
+
+    both = dealt(member, "blocks", "parts", False).unionByName(dealt(member.where("label <> main"), "parts", "blocks", True))
+    rows = own.join(both.hint("merge"), "doc_id").select("key", "blocks", "parts", "doc_id", "text", "label", "expand")
+    met = rows.repartition("key", "blocks", "parts").sortWithinPartitions("key", "blocks", "parts")
+    second = met.mapInArrow(lambda batches: _grouped_links(batches, percent), f"a {kind}, b {kind}")
+    return first.unionByName(second)
+
+
+def _judged(spark: SparkSession, docs: DataFrame, percent: int, block: int = BLOCK, most: int = MOST) -> DataFrame:
+    """``near_duplicates`` with tid (a hash of the text), fp1 and fp2."""
+    own = docs.select(F.col("doc_id"), F.col("text"))
+    sketched = written(sketches(own), spark)
+    classes = written(
+        sketched.where(F.col("fp1").isNotNull())
+        .groupBy("fp1", "fp2", "n_shingles")
+        .agg(F.min_by("keys", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("keys"), F.min("doc_id").alias("rep"))
+        .where(F.col("rep").isNotNull()),
+        spark,
+    )
+    bands = classes.select("rep", F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
+    candidates = bands.join(shared, "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+    loose = components(candidates, spark)
+    sizes = loose.groupBy("component").count()
+    loose = written(loose.join(sizes, "component"), spark)
+    found = _small(own, loose.where(F.col("count") <= most), percent, block, most)
+    large = loose.where(F.col("count") > most)
+    if not large.isEmpty():
+        found = found.unionByName(_large(spark, own, bands.join(large.select(F.col("node").alias("rep")), "rep", "left_semi"), percent, most))
     linked = components(found.where("a <> b").distinct(), spark)
     named = classes.join(linked, F.col("rep") == F.col("node"), "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
     slim = sketched.select("doc_id", "tid", "n_shingles", "fp1", "fp2")
