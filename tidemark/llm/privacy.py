@@ -49,7 +49,7 @@ SUPPORT, GENERALISE, REMOVE = 2, 0.5, 0.9
 #: What secrets are called where they are set.
 NAMES = ["access_key", "api_key", "apikey", "credential", "passwd", "password", "private_key", "pwd", "secret", "token"]
 NAMED = r"(?<![\p{L}\p{N}_])(" + "|".join(NAMES) + r")[\x22\x27]?[\x20\t]*[=:]"
-MIXED = r"^(?=.*[0-9])(?=.*\p{L})[\p{L}\p{N}]{8,}$"
+MIXED_LENGTH = 8  # letters and digits from which on a term with both has a shape
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -91,7 +91,11 @@ def base_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
 def _words(matches: Column) -> Column:
     """The distinct terms among matches, lower case, and the shapes of mixed ones."""
     words = F.transform(F.filter(matches, lambda x: (F.length(x) >= 3) & ~F.contains(x, F.lit(HIDDEN))), F.lower)
-    return F.array_distinct(F.concat(words, F.transform(F.filter(words, lambda x: x.rlike(MIXED)), _shape)))
+    return F.array_distinct(F.concat(words, F.transform(F.filter(words, _mixed), _shape)))
+
+
+def _mixed(word: Column) -> Column:
+    return (F.length(word) >= MIXED_LENGTH) & word.rlike("[0-9]") & word.rlike(r"\p{L}")
 
 
 def _shape(word: Column) -> Column:
@@ -107,7 +111,8 @@ def detected(spark: SparkSession, docs: DataFrame, support: int = SUPPORT, gener
     spans = F.sort_array(F.transform("every", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
     values = F.transform("every", lambda x: F.concat_ws(":", x["kind"], F.lower(x["value"])))
     names = F.transform(F.regexp_extract_all(F.lower("whole"), F.lit(NAMED), F.lit(1)), lambda x: F.concat(F.lit("name:"), x))
-    base = base.withColumn("entities", F.array_distinct(F.concat(values, F.when(F.col("whole").rlike("(?i:" + "|".join(NAMES) + ")"), names).otherwise(F.array().cast("array<string>")))))
+    may = F.contains("whole", F.lit("=")) | F.contains("whole", F.lit(":"))
+    base = base.withColumn("entities", F.array_distinct(F.concat(values, F.when(may, names).otherwise(F.array().cast("array<string>")))))
     some = F.size("entities") > 0
     masked = rewritten(F.translate("whole", HIDDEN, " "), spans, lambda _, begin, end: F.repeat(F.lit(HIDDEN), end - begin))
     base = base.withColumn("masked", F.when(some, masked))
@@ -132,7 +137,7 @@ def detected(spark: SparkSession, docs: DataFrame, support: int = SUPPORT, gener
     sized = F.zip_with(gaps, "matches", lambda gap, value: F.struct((F.length(gap) + F.length(value)).alias("step"), value.alias("value")))
     end = F.sum("t.step").over(Window.partitionBy("tid").orderBy("place")).cast("int")
     placed = held.select("tid", F.posexplode(sized).alias("place", "t")).select("tid", F.lower("t.value").alias("term"), (end - F.length("t.value")).alias("start"), end.alias("end"))
-    placed = placed.select("tid", "start", "end", F.explode(F.when(F.col("term").rlike(MIXED), F.array("term", _shape(F.col("term")))).otherwise(F.array("term"))).alias("word"))
+    placed = placed.select("tid", "start", "end", F.explode(F.when(_mixed(F.col("term")), F.array("term", _shape(F.col("term")))).otherwise(F.array("term"))).alias("word"))
     once = placed.join(hits, ["tid", "word"]).groupBy("tid", "start", "end").agg(F.max("removed").alias("removed"))
     terms = once.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("term"))
     none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
