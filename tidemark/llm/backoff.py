@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import table, written
-from tidemark.llm.words import Words, grams, mix, pieces
+from tidemark.llm.shared import map_texts, table, written
+from tidemark.llm.words import Words, grams, pieces
 
 ORDER = 3
 DOUBT = 0.5
@@ -124,7 +124,7 @@ def encoded(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
             yield block(part << 32 | number, *held)
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), F.spark_partition_id().cast("long").alias("part"), "text")
-    return rows.mapInArrow(run, f"block long, ids array<{kind}>, held array<boolean>, sizes array<long>, n_words long, words binary, ranks binary, stream binary")
+    return map_texts(rows, run, f"block long, ids array<{kind}>, held array<boolean>, sizes array<long>, n_words long, words binary, ranks binary, stream binary")
 
 
 def _block(row: dict[str, pa.Array], i: int) -> Block:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import table, written
+from tidemark.llm.shared import map_texts, table, written
 from tidemark.llm.words import Words, grams, mix, pieces
 
 SHINGLE = 5
@@ -137,7 +137,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.xxhash64("text").alias("tid"), "text").mapInArrow(run, f"doc_id {kind}, tid long, n_shingles long, fp1 long, fp2 long, keys array<long>")
+    return map_texts(docs.select("doc_id", F.xxhash64("text").alias("tid"), "text"), run, f"doc_id {kind}, tid long, n_shingles long, fp1 long, fp2 long, keys array<long>")
 
 
 def links(sets: list[np.ndarray], percent: int = 75, label: np.ndarray | None = None, expand: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -265,7 +265,7 @@ def _small(own: DataFrame, loose: DataFrame, percent: int, block: int, most: int
     )
     grouped = pairs.select("component", "pair.i", "pair.j", "doc_id", "text").repartition("component", "i", "j")
     kind = dict(own.dtypes)["doc_id"]
-    return grouped.sortWithinPartitions("component", "i", "j").mapInArrow(lambda batches: _grouped_links(batches, percent), f"a {kind}, b {kind}")
+    return map_texts(grouped.sortWithinPartitions("component", "i", "j"), lambda batches: _grouped_links(batches, percent), f"a {kind}, b {kind}")
 
 
 def _large(spark: SparkSession, own: DataFrame, bands: DataFrame, percent: int, most: int) -> DataFrame:
@@ -279,7 +279,7 @@ def _large(spark: SparkSession, own: DataFrame, bands: DataFrame, percent: int,
     centres = salts.select("low", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("place"), F.col("low").alias("doc_id"))
     rows = own.join(spokes.unionByName(centres).hint("merge"), "doc_id").select("low", "salt", "place", "doc_id", "text")
     met = rows.repartition("low", "salt").sortWithinPartitions("low", "salt", "place")
-    first = written(met.mapInArrow(lambda batches: _star_links(batches, percent), f"a {kind}, b {kind}"), spark)
+    first = written(map_texts(met, lambda batches: _star_links(batches, percent), f"a {kind}, b {kind}"), spark)
     # bands whose other classes are still in several components: each kind of them once
     named = others.join(components(first, spark), F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
     named = written(named, spark)
@@ -298,7 +298,7 @@ def _large(spark: SparkSession, own: DataFrame, bands: DataFrame, percent: int,
     both = dealt(member, "blocks", "parts", False).unionByName(dealt(member.where("label <> main"), "parts", "blocks", True))
     rows = own.join(both.hint("merge"), "doc_id").select("key", "blocks", "parts", "doc_id", "text", "label", "expand")
     met = rows.repartition("key", "blocks", "parts").sortWithinPartitions("key", "blocks", "parts")
-    second = met.mapInArrow(lambda batches: _grouped_links(batches, percent), f"a {kind}, b {kind}")
+    second = map_texts(met, lambda batches: _grouped_links(batches, percent), f"a {kind}, b {kind}")
     return first.unionByName(second)
 
 

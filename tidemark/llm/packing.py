@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytebpe import ByteBPE
-from tidemark.llm.shared import table, written
+from tidemark.llm.shared import map_texts, table, written
 from tidemark.llm.words import pieces as text_pieces
 
 CAPACITY = 1024
@@ -47,7 +47,7 @@ def cut(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY
         bpe.forget()
 
     def pieces_of(bpe: ByteBPE, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for row, body, at in text_pieces(batch.column(1)):
+        for row, body, at in text_pieces(batch.column(1), 1 << 19):
             ids, edge = bpe.encode(body, at)
             out: list[tuple] = []
             kept = []
@@ -66,7 +66,7 @@ def cut(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
 
     shape = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(run, shape)
+    return map_texts(docs.select("doc_id", "text"), run, shape)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import table
+from tidemark.llm.shared import map_texts, table
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -139,7 +139,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, end_id: int | None =
                 ids = [[*map(int, own.encode(t or "").split()), *tail] for t in rows.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -171,7 +171,7 @@ def digests(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2) ->
                 texts.append(hashlib.sha256(own.library.decode(numbers).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ours), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytebpe import codepoints
-from tidemark.llm.shared import table, written
+from tidemark.llm.shared import map_texts, table, written
 from tidemark.llm.words import Words, grams, mix, per_text, pieces
 
 BITS = 18
@@ -218,7 +218,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int
 
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most train_rows ids
     chosen = texts.groupBy("doc_id", "quality", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    rows = chosen.mapInArrow(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, quality int, toxic int, buckets array<int>")
+    rows = map_texts(chosen, run, f"doc_id {dict(chosen.dtypes)['doc_id']}, quality int, toxic int, buckets array<int>")
     rows = written(rows.select(F.xxhash64("doc_id").alias("place"), "*", F.size("buckets").alias("n")), spark)
     grams_of = rows.select("place", "doc_id", "n").orderBy("place", "doc_id").toArrow()  # at most train_rows
     upto = np.searchsorted(np.cumsum(grams_of.column("n").to_numpy()), train_grams, "right")
@@ -260,7 +260,7 @@ def judged(docs: DataFrame, heads: tuple[Head, Head], keep: list[str]) -> DataFr
     own = docs.select(*keep, F.col("text").alias("whole_text"))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[:-1])
     shape += "".join(f", {c} long" for c in COUNTS) + ", base_failed boolean, p_quality double, p_toxic double, kept boolean"
-    return own.mapInArrow(run, shape)
+    return map_texts(own, run, shape)
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

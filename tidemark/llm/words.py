@@ -71,7 +71,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0] : at[-1]], at - at[0]
 
 
-def pieces(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Consecutive runs of whole texts of about ``most`` bytes (one text may be longer): first row, bytes, starts."""
     body, at = raw(column)
     row, rows = 0, len(at) - 1
