@@ -1,8 +1,14 @@
 """Every chunk adds trees to a boosted model."""
 
+import math
+
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
 
 from tidemark.operators import training
+from tidemark.streaming.chunks import train_on_stream
 
 
 def test_every_call_adds_trees(spark):
@@ -10,7 +16,7 @@ def test_every_call_adds_trees(spark):
     model = training.build_model("residual_boosting", "regression", ["a"], trees_per_call=1, max_depth=1)
     model.partial_fit(df)
     model.trees *= 200  # as many as 200 calls would leave; unscored here to keep the test short
-    model._scored = lambda vectors, trees, start: vectors.withColumn("score", start)
+    model._sum = lambda trees: F.lit(0.0)
     model.partial_fit(df)
     assert len(model.trees) == 201
     capped = training.build_model("residual_boosting", "regression", ["a"], trees_per_call=2, max_depth=1, max_trees=3)
@@ -18,3 +24,47 @@ def test_every_call_adds_trees(spark):
     with pytest.raises(ValueError, match="max_trees"):
         capped.partial_fit(df)
     assert len(capped.trees) == 2
+
+
+def test_expression_scores_as_the_trees_do(spark):
+    rows = [(float(i % 7) if i % 11 else None, math.nan if i % 13 == 0 else math.sin(i), float(i % 5), 1.0 + i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, label double, weight double").coalesce(1)
+    model = training.build_model("residual_boosting", "regression", ["a", "b"], trees_per_call=4, max_depth=4).partial_fit(df.where("a is not null and not isnan(b)"))
+    vectors = VectorAssembler(inputCols=["a", "b"], outputCol="f", handleInvalid="keep").transform(df)
+    for i, tree in enumerate(model.trees):
+        vectors = tree.setFeaturesCol("f").setPredictionCol(f"p{i}").transform(vectors)
+    want = [sum(r[f"p{i}"] for i in range(4)) * 0.1 for r in vectors.collect()]
+    assert [r.score for r in model.predict(df).collect()] == pytest.approx(want, abs=1e-12)
+
+
+def test_scores_by_probability(spark):
+    df = spark.createDataFrame([(float(i), float(i > 20), 1.0) for i in range(40)], "a double, label double, weight double")
+    model = training.ProbabilityModel(["a"], LogisticRegression()).partial_fit(df)
+    got = {r.a: r.score for r in model.predict_proba(df).collect()}
+    assert got[0.0] < 0.1 and got[39.0] > 0.9 and model.predict_proba(df).columns == [*df.columns, "score"]
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    source, place = str(tmp_path / "in"), str(tmp_path / "state")
+    df = spark.createDataFrame([(float(i % 7), float(i % 3), 1.0) for i in range(40)], "a double, label double, weight double").coalesce(1)
+
+    def run(model, repeated=False):
+        calls = []
+        real = model.partial_fit
+        model.partial_fit = lambda rows: calls.append(1) or real(rows)
+        if repeated:  # as if the stream had failed after training and before its own commit
+            (tmp_path / "state" / "commits" / "0").unlink()
+            (tmp_path / "state" / "commits" / ".0.crc").unlink(missing_ok=True)
+        query = train_on_stream(spark.readStream.schema(df.schema).parquet(source), lambda x: x, model, place)
+        query.processAllAvailable()
+        query.stop()
+        return len(calls)
+
+    def fresh():
+        return training.build_model("residual_boosting", "regression", ["a"], trees_per_call=1, max_depth=1)
+
+    df.write.mode("append").parquet(source)
+    assert run(first := fresh()) == 1 and first.epoch == 0
+    assert run(again := fresh(), repeated=True) == 0 and len(again.trees) == 1
+    df.write.mode("append").parquet(source)
+    assert run(more := fresh()) == 1 and len(more.trees) == 2

@@ -105,6 +105,9 @@ def test_golden_labels(golden):
             assert row[f"valid_{h}"] == (v is not None)
 
 
+# The inputs and results of the two label tests below must match.
+
+
 def test_pinned_labels(spark):
     trades = _trades(spark, [(0, 100, 1, "buy"), (30, 100, 2, "buy"), (60, 100, 1, "sell"), (120, 100, 1, "sell"), (300, 100, 1, "buy")])
     bid = [9, 14, 24, 99, 99, 200, 85, 145]

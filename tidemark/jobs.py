@@ -35,12 +35,6 @@ def evaluate(spark: SparkSession, pipeline: training.ModelPipeline, horizon_sec:
     return evaluation.evaluate_predictions(spark, predictions, evaluation.evaluation_days(catalog.start, catalog.end), experiment, horizon_sec)
 
 
-def _file_names(spark: SparkSession, folder: str) -> list[str]:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(x.getPath().getName() for x in files.listStatus(where))
-
-
 def _curves(spark: SparkSession, out: str, names: list[str], least: float) -> DataFrame:
     curves = [spark.read.option("header", True).option("inferSchema", True).csv(f"{out}/curves/{name}") for name in names]
     best = evaluation.summary(curves, least)
@@ -92,7 +86,7 @@ def infer(
     least_turnover: float = evaluation.MIN_TURNOVER_PER_DAY,
 ) -> DataFrame:
     """Curves of all models below ``models`` over ``period``, and their summary, which is returned; no models raise ValueError."""
-    names = [n for n in _file_names(spark, models) if not n.startswith((".", "_"))]
+    names = [n for n in sinks.file_names(spark, models) if not n.startswith((".", "_"))]
     if not names:
         raise ValueError(f"no models in {models}")
     for name in names:

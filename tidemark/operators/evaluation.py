@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import SECOND
 from tidemark.plans.prefix import running
+from tidemark.sources.scratch import written
 
 MAX_FRACTION = 0.30
 MIN_TURNOVER_PER_DAY = 500_000.0
@@ -32,30 +33,25 @@ def eligible(predictions: DataFrame) -> DataFrame:
     return out
 
 
-def _double_product(a: Column, b: Column) -> Column:
-    return (a * b).cast("double")
-
-
-def _weighted_sum(a: Column) -> Column:
-    return F.sum(a.cast("double"))
-
-
 def worst_first(spark: SparkSession, predictions: DataFrame, partitions: int | None = None) -> DataFrame:
     """``predictions`` with place (1 is the worst), cum_weight and cum_pnl; by score descending (NaN first), later rows first among equals."""
     order = [F.col("score").desc(), F.col("timestamp").desc(), F.col("seq").desc()]
-    pnl = _double_product(F.col("pnl"), F.col("weight"))
+    pnl = (F.col("pnl") * F.col("weight")).cast("double")
     return running(spark, predictions, order, {"place": F.lit(1), "cum_weight": F.col("weight").cast("double"), "cum_pnl": pnl}, partitions)
 
 
+def _error_columns() -> list[Column]:
+    w, off = F.col("weight"), F.col("score") + F.col("pnl")
+    total = F.sum(w.cast("double"))
+    return [
+        F.when(total > 0, F.sqrt(F.sum((w * off * off).cast("double")) / F.nullif(total, F.lit(0.0)))).alias("weighted_rmse"),
+        F.when(total > 0, F.sum((w * F.abs(off)).cast("double")) / F.nullif(total, F.lit(0.0))).alias("weighted_mae"),
+    ]
+
+
 def weighted_errors(predictions: DataFrame) -> DataFrame:
     """weighted_rmse, weighted_mae of the score against badness (-pnl); null without weight."""
-    w = F.col("weight")
-    off = F.col("score") + F.col("pnl")
-    total = _weighted_sum(w)
-    return predictions.agg(
-        F.when(total > 0, F.sqrt(_weighted_sum(w * off * off) / F.nullif(total, F.lit(0.0)))).alias("weighted_rmse"),
-        F.when(total > 0, _weighted_sum(w * F.abs(off)) / F.nullif(total, F.lit(0.0))).alias("weighted_mae"),
-    )
+    return predictions.agg(*_error_columns())
 
 
 def curve(
@@ -67,25 +63,22 @@ def curve(
     max_fraction: float = MAX_FRACTION,
     partitions: int | None = None,
 ) -> DataFrame:
-    """One row per share: what is kept and filtered when the int(n * share) worst rows go.
+    """One row per share: what is kept and filtered when the int(n * share) worst rows go; ValueError without rows.
 
-    ``predictions``: score, pnl, weight, timestamp, seq of valid rows. Only the rows at the cuts leave
-    the ranking; totals and cuts are a few dozen numbers.
+    ``predictions``: score, pnl, weight, timestamp, seq of valid rows, which are written once to the shared folder. Only the
+    rows at the cuts leave the ranking; totals, errors and cuts are a few dozen numbers.
     """
-    total = predictions.agg(F.count("*").alias("n"), _weighted_sum(F.col("weight")).alias("w"), F.sum(_double_product(F.col("pnl"), F.col("weight"))).alias("p"))
-    n = total.first().n
-    cuts = [(f, int(n * f)) for f in fractions(max_fraction)]
+    held = written(predictions.select("score", "pnl", "weight", "timestamp", "seq"), spark)
+    pnl = (F.col("pnl") * F.col("weight")).cast("double")
+    total = held.agg(F.count("*").alias("n"), F.sum(F.col("weight").cast("double")).alias("w"), F.sum(pnl).alias("p"), *_error_columns()).first()
+    if not total.n:
+        raise ValueError("no valid rows")
+    cuts = [(f, int(total.n * f)) for f in fractions(max_fraction)]
     points = spark.createDataFrame(cuts, "filter_fraction double, place long")
-    ranked = worst_first(spark, predictions, partitions).where(F.col("place").isin(sorted({k for _, k in cuts})))
-    errors = weighted_errors(predictions)
-    at = (
-        F.broadcast(points)
-        .join(ranked.select("place", "cum_weight", "cum_pnl"), "place", "left")
-        .withColumns({"cum_weight": F.coalesce("cum_weight", F.lit(0.0)), "cum_pnl": F.coalesce("cum_pnl", F.lit(0.0))})
-        .crossJoin(F.broadcast(total))  # one row
-        .crossJoin(F.broadcast(errors))  # one row
-    )
-    w, p, cw, cp = (F.col(c) for c in ("w", "p", "cum_weight", "cum_pnl"))
+    ranked = worst_first(spark, held, partitions).where(F.col("place").isin(sorted({k for _, k in cuts})))
+    at = F.broadcast(points).join(ranked.select("place", "cum_weight", "cum_pnl"), "place", "left")
+    w, p = F.lit(total.w).cast("double"), F.lit(total.p).cast("double")
+    cw, cp = (F.coalesce(c, F.lit(0.0)) for c in ("cum_weight", "cum_pnl"))
 
     def mean(num: Column, den: Column) -> Column:
         return F.when(den > 0, num / F.nullif(den, F.lit(0.0)))
@@ -101,14 +94,14 @@ def curve(
         mean(cp, cw).alias("pnl_filtered_bps"),
         (cw / days).alias("filtered_turnover_per_day"),
         ((w - cw) / days).alias("kept_turnover_per_day"),
-        F.col("weighted_rmse").alias("weighted_rmse_badness_bps"),
-        F.col("weighted_mae").alias("weighted_mae_badness_bps"),
+        F.lit(total.weighted_rmse).cast("double").alias("weighted_rmse_badness_bps"),
+        F.lit(total.weighted_mae).cast("double").alias("weighted_mae_badness_bps"),
     )
 
 
 def evaluate_predictions(spark: SparkSession, predictions: DataFrame, days: float, experiment: str = "core", horizon_sec: int = 0, max_fraction: float = MAX_FRACTION) -> DataFrame:
-    """The curve over the rows with valid labels."""
-    return curve(spark, eligible(predictions), days, experiment, horizon_sec, max_fraction)
+    """The curve over the rows with valid labels; ValueError if there are none."""
+    return curve(spark, predictions.where("valid"), days, experiment, horizon_sec, max_fraction)
 
 
 def enough_turnover(curves: DataFrame, least: float = MIN_TURNOVER_PER_DAY) -> DataFrame:

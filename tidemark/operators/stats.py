@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.prefix import running
@@ -31,8 +31,16 @@ def _ranks(spark: SparkSession, df: DataFrame, column: str, name: str) -> DataFr
 def spearman(spark: SparkSession, df: DataFrame, x: str, y: str) -> DataFrame:
     """Spearman's correlation with average ranks; rows with nulls take no part."""
     both = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.join(_ranks(spark, both, x, "rx"), x).join(_ranks(spark, both, y, "ry"), y)
-    return ranked.agg(F.corr("rx", "ry").alias("spearman"))
+    # a frequent value meets its rank once for each value beside it, not once a row
+    cells = both.groupBy(x, y).agg(F.count("*").alias("n"))
+    ranked = cells.join(_ranks(spark, both, x, "rx"), x).join(_ranks(spark, both, y, "ry"), y)
+    n, a, b = F.sum("n"), F.col("rx"), F.col("ry")
+
+    def mean(of: Column) -> Column:
+        return F.sum(F.col("n") * of) / n
+
+    spread = F.sqrt((mean(a * a) - mean(a) * mean(a)) * (mean(b * b) - mean(b) * mean(b)))
+    return ranked.agg(((mean(a * b) - mean(a) * mean(b)) / F.nullif(spread, F.lit(0.0))).alias("spearman"))
 
 
 def ks(spark: SparkSession, first: DataFrame, second: DataFrame, column: str) -> DataFrame:

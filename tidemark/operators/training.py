@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,19 @@ from tidemark.sources import sinks
 from tidemark.sources.catalog import Catalog
 
 
+def tree_value(tree: DecisionTreeRegressionModel, names: list[str]) -> Column:
+    """A fitted tree as an expression over its features' columns; null and NaN go to the right, as in the tree."""
+
+    def value(node) -> Column:
+        if node.subtreeDepth() == 0:
+            return F.lit(float(node.prediction()))
+        split = node.split()
+        below = F.col(f"`{names[split.featureIndex()]}`").cast("double") <= F.lit(float(split.threshold()))
+        return F.when(below, value(node.leftChild())).otherwise(value(node.rightChild()))
+
+    return value(tree._java_obj.rootNode())
+
+
 class ResidualBooster:
     """Boosted trees over named columns: ``trees_per_call`` per chunk; a call beyond ``max_trees``, if given, raises ValueError."""
 
@@ -29,28 +43,26 @@ class ResidualBooster:
         self.names, self.trees_per_call, self.max_depth = list(names), trees_per_call, max_depth
         self.learning_rate, self.max_trees, self.seed = learning_rate, max_trees, seed
         self.trees: list[DecisionTreeRegressionModel] = []
+        self.epoch = -1  # the last micro-batch trained on, of a stream
 
     def _vectors(self, df: DataFrame) -> DataFrame:
         return VectorAssembler(inputCols=self.names, outputCol="_features", handleInvalid="keep").transform(df)
 
-    def _scored(self, vectors: DataFrame, trees: Iterable[DecisionTreeRegressionModel], start: Column) -> DataFrame:
-        total = start
-        for i, tree in enumerate(trees):
-            vectors = tree.setFeaturesCol("_features").setPredictionCol(f"_p{i}").transform(vectors)
-            total = total + F.col(f"_p{i}") * self.learning_rate
-        return vectors.withColumn("score", total)
+    def _sum(self, trees: Iterable[DecisionTreeRegressionModel]) -> Column:
+        """What ``trees`` add to the score, as one expression over the named columns."""
+        values = [tree_value(tree, self.names) for tree in trees]
+        return F.aggregate(F.array(*values), F.lit(0.0), lambda a, x: a + x) * self.learning_rate if values else F.lit(0.0)
 
     def partial_fit(self, df: DataFrame, label: str = "label", weight: str = "weight") -> ResidualBooster:
         """Adds trees fitted to the residuals of ``df``; its columns are the named ones, label and weight."""
         if self.max_trees is not None and len(self.trees) + self.trees_per_call > self.max_trees:
             raise ValueError(f"{len(self.trees)} trees and {self.trees_per_call} more exceed max_trees = {self.max_trees}")
-        data = self._scored(self._vectors(df), self.trees, F.lit(0.0)).select("_features", F.col(label).cast("double").alias("_y"), F.col(weight).cast("double").alias("_w"), F.col("score").alias("_f")).persist()
+        data = self._vectors(df).select("_features", *self.names, (F.col(label).cast("double") - self._sum(self.trees)).alias("_y"), F.col(weight).cast("double").alias("_w")).persist()
         grower = DecisionTreeRegressor(featuresCol="_features", labelCol="_left", weightCol="_w", predictionCol="_p", maxDepth=self.max_depth, seed=self.seed)
         try:
             fresh: list[DecisionTreeRegressionModel] = []
             for _ in range(self.trees_per_call):
-                left = self._scored(data, fresh, F.col("_f")).withColumn("_left", F.col("_y") - F.col("score"))
-                fresh.append(grower.fit(left.select("_features", "_left", "_w")))
+                fresh.append(grower.fit(data.select("_features", (F.col("_y") - self._sum(fresh)).alias("_left"), "_w")))
             self.trees += fresh
         finally:
             data.unpersist()
@@ -58,7 +70,7 @@ class ResidualBooster:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with score; 0 before the first fit."""
-        return self._scored(self._vectors(df), self.trees, F.lit(0.0)).select(*df.columns, "score")
+        return df.withColumn("score", self._sum(self.trees))
 
     def importances(self, spark: SparkSession) -> DataFrame:
         """feature_name, importance (mean over trees), the most important first."""
@@ -72,16 +84,37 @@ class ResidualBooster:
         for i, tree in enumerate(self.trees):
             tree.write().overwrite().save(f"{path}/tree_{i:05d}")
         settings = {"names": self.names, "trees_per_call": self.trees_per_call, "max_depth": self.max_depth, "learning_rate": self.learning_rate, "max_trees": self.max_trees, "seed": self.seed}
-        sinks.write_json(spark, {"settings": settings, "trees": len(self.trees)}, f"{path}/metadata")
+        sinks.write_json(spark, {"settings": settings, "trees": len(self.trees), "epoch": self.epoch}, f"{path}/metadata")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ResidualBooster:
         about = sinks.read_json(spark, f"{path}/metadata")
         model = cls(**about["settings"])
         model.trees = [DecisionTreeRegressionModel.load(f"{path}/tree_{i:05d}") for i in range(about["trees"])]
+        model.epoch = about.get("epoch", -1)
         return model
 
 
+class ProbabilityModel:
+    """Any classifier of Spark's over named columns; scores are probabilities of class 1. A call fits on its rows alone."""
+
+    def __init__(self, names: list[str], estimator):
+        self.names, self.estimator, self.fitted = list(names), estimator, None
+
+    def _vectors(self, df: DataFrame) -> DataFrame:
+        return VectorAssembler(inputCols=self.names, outputCol="_features", handleInvalid="keep").transform(df)
+
+    def partial_fit(self, df: DataFrame, label: str = "label", weight: str = "weight") -> ProbabilityModel:
+        data = self._vectors(df).select("_features", F.col(label).cast("double").alias("_y"), F.col(weight).cast("double").alias("_w"))
+        own = {"featuresCol": "_features", "labelCol": "_y", "weightCol": "_w", "predictionCol": "_class", "rawPredictionCol": "_raw", "probabilityCol": "_p"}
+        self.fitted = self.estimator.copy({self.estimator.getParam(k): v for k, v in own.items()}).fit(data)
+        return self
+
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        """``df`` with score."""
+        return self.fitted.transform(self._vectors(df)).withColumn("score", vector_to_array("_p")[1]).select(*df.columns, "score")
+
+
 def build_model(kind: str, task: str, names: list[str], **params) -> ResidualBooster:
     """The only kind is ``residual_boosting`` for ``regression``; anything else raises ValueError."""
     if (kind, task) != ("residual_boosting", "regression"):
@@ -125,8 +158,14 @@ class ModelPipeline:
         trained = 0
         for i in range(self.catalog.n_chunks):
             rows = validation.guarded(self.rows(self.catalog.chunk(i)), self.names).where(is_finite(F.col("label").cast("double")) & is_finite(F.col("weight").cast("double")))
-            if not rows.isEmpty():
-                grow(self.model, rows)
+            rows = rows.persist()
+            try:
+                some = not rows.isEmpty()
+                if some:
+                    grow(self.model, rows)
+            finally:
+                rows.unpersist()
+            if some:
                 trained += 1
                 if trained % log_every == 0:
                     log(f"chunk {i + 1} of {self.catalog.n_chunks}: {trained} trained")
@@ -138,9 +177,10 @@ class ModelPipeline:
         return trained
 
     def predictions(self, pnl: Column, valid: Column) -> DataFrame:
-        """score, pnl, valid, weight of the trades of all chunks, in one plan."""
+        """score, pnl, valid, weight of the trades of all chunks, in one plan; the score is the probability of class 1 of a model that gives one."""
         rows = self.rows(keep=(pnl.cast("float").alias("pnl"), valid.alias("valid")))
-        return self.model.predict(rows).select("timestamp", "seq", F.col("score").cast("float").alias("score"), "pnl", "valid", F.col("weight").cast("float").alias("weight"))
+        predict = getattr(self.model, "predict_proba", None) or self.model.predict
+        return predict(rows).select("timestamp", "seq", F.col("score").cast("float").alias("score"), "pnl", "valid", F.col("weight").cast("float").alias("weight"))
 
 
 def model_file_parts(name: str) -> tuple[str, int]:

@@ -25,6 +25,7 @@ WINDOWS = {
 
 # The tables of a data folder.
 PATHS = {"quotes": "quotes", "trades": "trades", "first_feed": "liquidations_first", "second_feed": "liquidations_second"}
+# Fixed value: the experiments' names.
 EXPERIMENTS = ("core",)
 
 
@@ -38,7 +39,8 @@ def feature_specs(horizon_sec: int, scale: int = SECOND, first: str = "binance_l
     def over(name: str, feature: str, *seconds: int, feed: str | None = None) -> list[Spec]:
         return [Spec(f"{name}_{x}s", feature, x * scale, feed) for x in seconds]
 
-    flow = [(w, pair) for w, pair in zip(o, ((("bbo_ofi", "order_flow_imbalance"), ("bbo_ofi_norm", "order_flow_imbalance_norm")),) * 2, strict=True)]
+    ofi = (("bbo_ofi", "order_flow_imbalance"), ("bbo_ofi_norm", "order_flow_imbalance_norm"))
+    # The columns' names and their order.
     return [
         Spec("trade_side", "trade_side"),
         Spec("trade_signed_notional_log", "trade_signed_notional_log"),
@@ -50,7 +52,7 @@ def feature_specs(horizon_sec: int, scale: int = SECOND, first: str = "binance_l
         *over("trade_bbo_edge", "edge_bps", s, h),
         *over("bbo_mid_smooth_delta", "mid_smooth_delta_bps", s, h),
         *over("bbo_mid_delta_bps", "mid_delta_bps", *d),
-        *(x for w, pair in flow for name, feature in pair for x in over(name, feature, w)),
+        *(x for w in o for name, feature in ofi for x in over(name, feature, w)),
         *over("bbo_ofi", "order_flow_imbalance", v["ofi_long"]),
         *over("trade_flow_imbalance", "flow_imbalance", *f),
         *over("trade_flow_toxicity", "flow_toxicity", *f),

@@ -1,13 +1,10 @@
 """What every trade sees of the other tables, in one shuffle.
 
-Rows of all sources and trades meet in one union, hash-partitioned by chunk and ordered by
-
-    key = timestamp * 4096 + tie,
-
-where tie ranks rows of one source at equal timestamps and is 4095 for trades. Growing frames over
-that key give, for each trade at t, the rows up to t (closed), before t - w, and up to t + horizon;
-differences of two growing frames are the closed window [t - w, t]. So a window costs no join and
-no sliding frame, and the number of windows does not change the shuffle.
+Rows of all sources and trades meet in one union, hash-partitioned by chunk and ordered by timestamp.
+Growing frames over it give, for each trade at t, the rows up to t (closed), before t - w, and up to
+t + horizon; differences of two growing frames are the closed window [t - w, t]. The last quote of a
+frame is the greatest by (timestamp, seq), so any number of rows may share a timestamp. A window costs
+no join and no sliding frame, and the number of windows does not change the shuffle.
 
 A chunk is one task: its length bounds the rows of a task, and rows are spilled to disk as needed.
 """
@@ -22,7 +19,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import mid, notional, side_sign
 
-TIES = 4096
 QUOTE_FIELDS = ["timestamp", "bid_price", "bid_amount", "ask_price", "ask_amount"]
 
 
@@ -67,7 +63,7 @@ def market_state(
                 "timestamp",
                 "seq",
                 F.lit("quote").alias("kind"),
-                F.struct(F.col("timestamp"), *(F.col(c).cast("double").alias(c) for c in QUOTE_FIELDS[1:])).alias("quote"),
+                F.struct(F.col("timestamp"), F.col("seq"), *(F.col(c).cast("double").alias(c) for c in QUOTE_FIELDS[1:])).alias("quote"),
             ),
             allowMissingColumns=True,
         )
@@ -88,33 +84,30 @@ def market_state(
         )
     # one exchange: the windows below are all partitioned by chunk_id or finer
     rows = rows.repartition("chunk_id")
-    tie = F.row_number().over(Window.partitionBy("chunk_id", "timestamp", "kind").orderBy("seq")) - 1
-    tie = F.when(F.col("kind") == "trade", TIES - 1).when(F.col("kind") == "quote", F.when(tie < TIES - 1, tie).otherwise(F.raise_error(F.lit("too many quotes at one timestamp")).cast("int"))).otherwise(0)
-    rows = rows.withColumn("key", F.col("timestamp") * TIES + tie)
-    by_key = Window.partitionBy("chunk_id").orderBy("key")
+    by_time = Window.partitionBy("chunk_id").orderBy("timestamp")
 
-    def upto(key: int) -> Window:
-        return by_key.rangeBetween(Window.unboundedPreceding, key)
+    def upto(us: int) -> Window:
+        return by_time.rangeBetween(Window.unboundedPreceding, us)
 
     now, out = upto(0), {}
     if quotes is not None:
-        before = F.last("quote", ignorenulls=True).over(upto(-1))
+        before = F.last("quote", ignorenulls=True).over(Window.partitionBy("chunk_id").orderBy("timestamp", "seq").rowsBetween(Window.unboundedPreceding, -1))
         rows = rows.withColumn("ofi", F.when(F.col("quote").isNotNull(), _flow_step(F.col("quote"), before)))
         middle = mid(F.col("quote.bid_price"), F.col("quote.ask_price"))
         sums = {"n": F.count("quote"), "mid": F.sum(middle), "ofi": F.sum("ofi")}
-        out["q"] = F.last("quote", ignorenulls=True).over(now)
+        out["q"] = F.max("quote").over(now)
         out["q_last"] = F.max("quote.timestamp").over(Window.partitionBy("chunk_id"))
         for w in quote_windows:
-            past = upto(-(w + 1) * TIES)
-            out[f"q_past_{w}"] = F.last("quote", ignorenulls=True).over(past)
+            past = upto(-(w + 1))
+            out[f"q_past_{w}"] = F.max("quote").over(past)
             for what, total in sums.items():
                 out[f"q_{what}_{w}"] = _difference(total, now, past)
         for h in horizons:
-            out[f"q_exit_{h}"] = F.last("quote", ignorenulls=True).over(upto(h * TIES))
+            out[f"q_exit_{h}"] = F.max("quote").over(upto(h))
     for name in feeds:
         at = f"feed_{name}"
         for w in feed_windows:
-            past = upto(-(w + 1) * TIES)
+            past = upto(-(w + 1))
             for what, total in {"n": F.count(at), "buy": F.sum(f"{at}.buy"), "sell": F.sum(f"{at}.sell")}.items():
                 out[f"{name}_{what}_{w}"] = _difference(total, now, past)
         out[f"{name}_ts"] = F.max(F.when(F.col(at).isNotNull(), F.col("timestamp"))).over(now)

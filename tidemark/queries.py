@@ -432,8 +432,31 @@ def _sql_matrix(horizon: int) -> str:
     return sql
 
 
+def narrow_matrix(horizon: int) -> Callable[[SparkSession, str], DataFrame]:
+    """The matrix as models get it: every column narrowed to float, signed ones before the sign is taken in."""
+    specs = feature_specs(horizon, scale=SCALE)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        state = state_for(catalog(spark, sf_dir), specs, delays={"second_feed": SHIFT})
+        return feature_table(state, specs, keep=("seq",)).select("seq", *((F.round(F.col(s.name).cast("double"), 3) + 0.0).alias(s.name) for s in specs))
+
+    return run
+
+
 for _h in (30, 120, 300):
     Q[f"feature_matrix_{_h}"], SQL[f"feature_matrix_{_h}"] = feature_matrix(_h), _sql_matrix(_h)
+    Q[f"feature_matrix_{_h}_float"] = narrow_matrix(_h)
+    SQL[f"feature_matrix_{_h}_float"] = _sql_matrix(_h).replace(")::DOUBLE, 6) + 0.0 AS ", ")::FLOAT::DOUBLE, 3) + 0.0 AS ")
+
+
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and weight of every trade as models get them."""
+    weight = sample_weight(F.col("price"), F.col("amount")).cast("double")
+    return labelled(spark, sf_dir).select("seq", _out(F.coalesce(labels.target(H4).cast("double"), F.lit(-1e9))).alias("label"), weight.alias("weight"))
+
+
+Q["training_rows"] = training_rows
+SQL["training_rows"] = _sql_labels() + f" SELECT seq, {_r('coalesce((-pnl_4h)::FLOAT::DOUBLE, -1e9)', 'label')}, least((px * am)::FLOAT, 100000::FLOAT)::DOUBLE AS weight FROM lab"
 
 
 # --- evaluation -----------------------------------------------------------------------------------
@@ -487,6 +510,17 @@ def filter_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q["filter_fraction_curve"], SQL["filter_fraction_curve"] = filter_curve, _CURVE + f" SELECT {_CURVE_OUT} FROM curve"
 
 
+def filter_curve_own_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turnover by the days that the catalog spans."""
+    found = catalog(spark, sf_dir)
+    days = evaluation.evaluation_days(found.start, found.end)
+    return _curve_out(evaluation.evaluate_predictions(spark, predictions(spark, sf_dir), days, horizon_sec=300))
+
+
+_DAYS = f"greatest(1.0, (SELECT (e - s)::DOUBLE FROM bounds) / {DAY})"
+Q["filter_curve_own_days"], SQL["filter_curve_own_days"] = filter_curve_own_days, _CURVE.replace("cw / 30 AS ft, (w - cw) / 30 AS kt", f"cw / {_DAYS} AS ft, (w - cw) / {_DAYS} AS kt") + f" SELECT {_CURVE_OUT} FROM curve"
+
+
 def worst_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.worst_first(spark, predictions(spark, sf_dir)).select("seq", F.col("place").cast("long").alias("place"), F.round("cum_weight", 3).alias("cum_weight"), F.round("cum_pnl", 2).alias("cum_pnl"))
 
@@ -538,6 +572,16 @@ SQL["ks"] = _sql_tables() + ", v AS (SELECT DISTINCT px AS x FROM t0) SELECT rou
 Q["linear_r2"], SQL["linear_r2"] = _stat("r2", lambda _, t: stats.linear_r2(t, "price", "amount")), _sql_tables() + " SELECT round(regr_r2(am, px), 6) AS r2 FROM t0"
 Q["tree_r2"] = _stat("r2", lambda _, t: stats.tree_r2(t, ["price"], "amount"))
 Q["mutual_information"] = _stat("mutual_information", lambda _, t: stats.mutual_information(t, "price", "amount"))
+_SHARES = "[" + ", ".join(f"{i / 16}" for i in range(1, 16)) + "]"
+SQL["mutual_information"] = (
+    _sql_tables()
+    + f""",
+edges AS (SELECT quantile_disc(px, {_SHARES}) AS ex, quantile_disc(am, {_SHARES}) AS ey FROM t0),
+cells AS (SELECT len(list_filter(ex, lambda v: v < px)) AS i, len(list_filter(ey, lambda v: v < am)) AS j FROM t0, edges),
+joint AS (SELECT i, j, count(*) AS c FROM cells GROUP BY i, j),
+part AS (SELECT c / sum(c) OVER () * ln(c * sum(c) OVER () / (sum(c) OVER (PARTITION BY i) * sum(c) OVER (PARTITION BY j))) AS part FROM joint)
+SELECT round(greatest(sum(part), 0), 6) AS mutual_information FROM part"""
+)
 
 
 # --- models ------------------------------------------------------------------------------------------

@@ -30,3 +30,10 @@ def write_json(spark: SparkSession, value: dict, path: str) -> None:
 
 def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder of any store, by name; nothing if there is no such folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in files.listStatus(where)) if files.exists(where) else []
