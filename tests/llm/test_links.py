@@ -1,14 +1,18 @@
 """Search, quotation links, the pipeline, and queries against their SQL."""
 
+import re
 from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.fixtures import frame
-from tidemark.llm import covertree, quotes, registry
+from tests.llm.test_text import _cleaned, _components, _counts
+from tidemark.llm import boilerplate, covertree, packing, quotes, registry
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -177,18 +181,38 @@ def test_queries_match_sql(spark, name):
 
 
 def test_pipeline_stages(spark):
+    """Each stage over all rows of the one before, against plain versions of what it keeps and changes."""
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "MinHash near-dedup", "PII", "best-fit packing"]
     source = spark.read.parquet(f"{SMALL}/documents.parquet")
-    docs = source
-    counts = []
+    docs, seen = source, []
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
         if name != "best-fit packing":
             assert docs.columns == source.columns
         docs = docs.cache()
-        counts.append(docs.count())
-    assert source.count() > counts[0] >= counts[1] == counts[0] and counts[2] < counts[1] and counts[3] == counts[2]
-    assert docs.select("doc_id").distinct().count() == counts[3]
+        seen.append([r.asDict() for r in docs.collect()])
+    rows = [[(r["doc_id"], r["text"], r["source"]) for r in x] for x in seen[:4]]
+    raw = {r.doc_id: r.text for r in source.collect()}
+    # quality: counts by their definition; the classifier may drop more, but keeps most of the good
+    passed = {i for i, t in raw.items() if (c := _counts(t))[0] >= 50 and 2 * c[4] <= c[0]}
+    good = {r.doc_id for r in spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1 and toxic = 0").collect()} & passed
+    kept = {i for i, _, _ in rows[0]}
+    assert kept <= passed and len(good & kept) >= 0.95 * len(good) and all(raw[i] == t for i, t, _ in rows[0])
+    # lines and near copies
+    assert Counter(rows[1]) == Counter({(i, t, s): n for (i, s, t, *_), n in _cleaned(rows[0], boilerplate.MAX_RATIO, boilerplate.MIN_PAGES).items()})
+    assert {i for i, _, _ in rows[2]} == {i for i, _, _, k in _components(rows[1]) if k} and set(rows[2]) <= set(rows[1]) and len(rows[2]) < len(rows[1])
+    # personal data: what the patterns find is gone, and texts without entities stay as they are
+    before = {i: t for i, t, _ in rows[2]}
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    assert [i for i, _, _ in sorted(rows[3])] == sorted(before) and not any(email.search(t) for _, t, _ in rows[3])
+    assert any(email.search(t) for t in before.values())
+    assert all(t == before[i] for i, t, _ in rows[3] if not re.search("[0-9=:@]", before[i]))
+    # packing: all tokens of all texts, in sequences
+    library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    length = Counter()
+    for r in seen[4]:
+        length[r["doc_id"]] += r["length"]
+    assert length == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t, _ in rows[3]}
 
 
 def test_pipeline_keeps_what_stages_may_not_touch(spark):

@@ -1,21 +1,25 @@
 """Cases in which an operator once did less than its whole job."""
 
+import math
+import random
 import textwrap
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import regex
 
 from tests.llm.fixtures import frame
-from tidemark.llm import hyperminhash, licences, privacy
+from tidemark.llm import hyperminhash, licences, privacy, quality
 
 # --- 9: near duplicates ---
 
 
-@pytest.mark.parametrize(("union", "shared"), [(8, 6), (20, 15), (50, 38), (100, 75)])
-def test_bands_find_small_sets(union, shared):
+@pytest.mark.parametrize(("union", "shared"), [(4, 3), (6, 5), (8, 6), (12, 9), (20, 15), (50, 38), (100, 75), (400, 300), (1000, 750)])
+def test_bands_find_sets_of_all_sizes(union, shared):
     rng = np.random.default_rng(union)
-    for _ in range(500):
+    for _ in range(1000):
         x = rng.integers(0, 1 << 64, union, dtype=np.uint64)
         cut = shared + (union - shared) // 2
         a, b = np.sort(x[:cut]), np.sort(np.concatenate([x[:shared], x[cut:]]))
@@ -36,9 +40,117 @@ def test_short_near_duplicates_are_linked(spark):
     assert got == want
 
 
+# --- 2: quality ---
+
+
+def test_quality_on_held_out_labels(spark):
+    small = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    heads = quality.fit(spark, docs, labels.where("doc_id % 3 <> 0"))
+    got = quality.judged(docs, heads, ["doc_id"]).join(labels.where("doc_id % 3 = 0"), "doc_id").toPandas()
+    assert len(got) > 100
+    assert ((got.p_quality >= 0.5) == (got.quality == 1)).mean() > 0.9
+    assert ((got.p_toxic >= quality.MAX_TOXIC) == (got.toxic == 1)).mean() > 0.9
+
+
+def test_training_rows_are_bounded(spark):
+    rows = [(i % 20, f"word{i % 20} " * (i % 7 + 1) + ("good" if i % 2 else "bad"), "s") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    seen = []
+    real = quality.fit_head
+    quality.fit_head = lambda flat, edge, y, default: seen.append((len(flat), len(y))) or real(flat, edge, y, default)
+    try:
+        for grams in (quality.TRAIN_GRAMS, 200):
+            quality.fit(spark, frame(spark, rows), labels, train_grams=grams)
+        quality.fit(spark, frame(spark, rows), labels, train_rows=5)
+    finally:
+        quality.fit_head = real
+    whole, few, five = seen[0], seen[2], seen[4]
+    assert whole[1] == 20 and 0 < few[1] < 20 and few[0] <= 200 and five[1] == 5
+
+
 # --- 7: personal data ---
 
 
+def _plain_terms(rows):
+    """Spans of disclosing terms by their definition."""
+    texts = {t or "" for _, t, _ in rows}
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
+    named = regex.compile(r"(?<![\p{L}\p{N}_])(" + "|".join(privacy.NAMES) + r")[\x22\x27]?[\x20\t]*[=:]")
+
+    def keys(word):
+        word = word.lower()
+        mixed = len(word) >= 8 and regex.search("[0-9]", word) and regex.search(r"\p{L}", word)
+        return [word, ("#hex" if regex.fullmatch("[0-9a-f]+", word) else "#mix") + str(len(word))] if mixed else [word]
+
+    entities, places, words = {}, {}, {}
+    for text in texts:
+        found = [(k, m) for k, p in patterns.items() for m in regex.finditer(p, text)]
+        entities[text] = {f"{k}:{m[0].lower()}" for k, m in found} | {f"name:{m[1]}" for m in named.finditer(text.lower())}
+        masked = list(text)
+        for _, m in found:
+            masked[m.start() : m.end()] = "\uffff" * len(m[0])
+        runs = [m for m in regex.finditer(r"[\p{L}\p{N}\uffff]+", "".join(masked)) if len(m[0]) >= 3 and "\uffff" not in m[0]]
+        places[text] = [(m.start(), m.end(), m[0]) for m in runs]
+        words[text] = {k for _, _, w in places[text] for k in keys(w)}
+    n_t, n_e, n_te = Counter(), Counter(), Counter()
+    for text in texts:
+        n_t.update(words[text])
+        n_e.update(entities[text])
+        n_te.update((e, w) for e in entities[text] for w in words[text])
+    out = {}
+    for text in texts:
+        spans = []
+        for a, b, w in places[text]:
+            best = 0.0
+            for e in entities[text]:
+                for k in keys(w):
+                    n = n_te[e, k]
+                    if n >= privacy.SUPPORT:
+                        pmi = math.log2(len(texts) * n / (n_t[k] * n_e[e])) * n / (n + 1)
+                        best = max(best, pmi / max(math.log2(len(texts) / n_e[e]), 1e-9))
+            if best >= privacy.GENERALISE:
+                spans.append((a, b, best >= privacy.REMOVE))
+        out[text] = spans
+    return out
+
+
+def test_terms_match_their_definition(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        parts = [f"common{rng.randint(0, 30)}" for _ in range(rng.randint(3, 12))]
+        person = rng.randint(0, 40)
+        if person < 12:
+            parts += [f"p{person}@mail.example.com", f"nick{person}", f"Street{person % 5}"]
+        if person in (3, 13, 14, 15):
+            parts += ["token = " + "".join(rng.choice("0123456789abcdef") for _ in range(24)), "api_key: " + "".join(rng.choice("XYZ0123") for _ in range(12)) + "Q7"]
+        if person > 35:
+            parts += [f"10.0.0.{person}", f"host{person}"]
+        rng.shuffle(parts)
+        rows.append((i, " ".join(parts), "s"))
+    rows += [rows[3], (500, None, "s"), (501, "", "s")]
+    got = privacy.detected(spark, frame(spark, rows)).select("doc_id", "term").collect()
+    want = _plain_terms(rows)
+    texts = {i: t or "" for i, t, _ in rows}
+    assert len(got) == len(rows) and {r.doc_id for r in got} == set(texts)
+    for r in got:
+        assert [(x.start, x.end, x.removed) for x in r.term] == want[texts[r.doc_id]]
+    removed = {texts[r.doc_id][x.start : x.end] for r in got for x in r.term}
+    assert any(len(x) == 24 for x in removed) and any(x.startswith("nick") for x in removed) and not any(x.startswith("common") for x in removed)
+
+
+def test_long_texts_of_many_matches(spark):
+    text = " ".join(f"u{i}@x.org é 10.0.{i % 300}.1 +1 (456) 555-{i:04d}" for i in range(3000))
+    assert len(text) > 100_000
+    got = privacy.detected(spark, frame(spark, [(1, text, "s")])).select("email", "ip", "phone").first()
+    want = [(m.start(), m.end()) for m in regex.finditer(r"u[0-9]+@x\.org", text)]
+    assert [(x.start, x.end) for x in got.email] == want
+    assert len(got.ip) == sum(i % 300 <= 255 for i in range(3000)) and len(got.phone) == 3000
+    out = privacy.sanitised(spark, frame(spark, [(1, text, "s")])).first().text
+    assert out == " ".join(f"[EMAIL] é {'[IP]' if i % 300 <= 255 else f'10.0.{i % 300}.1'} [PHONE]" for i in range(3000))
+
+
 def test_terms_disclose_anywhere_in_a_text(spark):
     far = "plain filler words " * 40
     rows = [(i, f"Quibble {i} {far} joe@corp.org, 10.0.0.{i} {far} x quibble", "s") for i in range(2)]
