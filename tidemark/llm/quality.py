@@ -117,12 +117,12 @@ def _constant(p: float) -> Head:
     return Head(np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0, 50.0 if p else -50.0)
 
 
-def fit_head(flat: np.ndarray, edge: np.ndarray, y: np.ndarray, default: float, penalty: float = 1e-3, rounds: int = 12, steps: int = 60) -> Head:
+def fit_head(flat: np.ndarray, edge: np.ndarray, y: np.ndarray, default: float, penalty: float = 1e-3, rounds: int = 12, steps: int = 60, fresh: int = 1000) -> Head:
     """L1-penalised logistic regression, calibrated on every fourth row.
 
     ``flat`` holds the rows' buckets (int32), row i from ``edge[i]`` to ``edge[i + 1]``. Each round takes in
-    the buckets whose gradient exceeds the penalty, and fits all those taken in so far by accelerated
-    proximal steps, so a step passes over the few buckets that may get a weight.
+    the ``fresh`` buckets whose gradients exceed the penalty most, and fits all those that have a weight or were taken in by
+    accelerated proximal steps, so a step passes over few buckets.
     """
     rows = len(y)
     if rows < 8 or y.min() == y.max():
@@ -136,13 +136,14 @@ def fit_head(flat: np.ndarray, edge: np.ndarray, y: np.ndarray, default: float,
     z = np.zeros(rows)
     for _ in range(rounds):
         error = (1 / (1 + np.exp(-np.clip(z + b, -50, 50))) - y) * weight
-        over = np.abs(np.bincount(flat, np.repeat(error, size), BUCKETS)) > penalty
-        over[rare] = False
-        over[names] = False
-        fresh = np.flatnonzero(over)
-        if len(names) and not len(fresh):
+        pull = np.abs(np.bincount(flat, np.repeat(error, size), BUCKETS))
+        pull[rare] = 0
+        pull[names] = 0
+        new = np.argsort(-pull, kind="stable")[:fresh]
+        new = new[pull[new] > penalty]
+        if len(names) and not len(new):
             break
-        names, w = np.concatenate([names, fresh]), np.concatenate([w, np.zeros(len(fresh))])
+        names, w = np.concatenate([names, new]), np.concatenate([w, np.zeros(len(new))])
         place = np.full(BUCKETS, -1, np.int32)
         place[names] = np.arange(len(names), dtype=np.int32)
         mine = place[flat]
