@@ -67,18 +67,27 @@ def unpacked(data: bytes, n: int, width: int) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.uint64)
 
 
+def packed_sorted(values: np.ndarray, width: int) -> bytes:
+    """Sorted numbers, as the steps between them."""
+    return packed(np.diff(values, prepend=np.uint64(0)), width)
+
+
+def unpacked_sorted(data: bytes, n: int, width: int) -> np.ndarray:
+    return np.cumsum(unpacked(data, n, width), dtype=np.uint64)
+
+
 class Block:
     """Some texts as tokens: the distinct words' hashes, sorted; each token's word; where texts start; which texts are held out."""
 
     def __init__(self, names: np.ndarray, word: np.ndarray, begin: np.ndarray, held: np.ndarray):
         self.names, self.word, self.begin, self.held = names, word, begin, held
 
-    def distinct(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each order: sorted hashes of the n-grams, the place there of the n-gram ending at each token (-1: none), training counts."""
+    def distinct(self, orders: Iterable[int] = range(1, ORDER + 1)) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each of ``orders``: sorted hashes of the n-grams, the place there of the n-gram ending at each token (-1: none), training counts."""
         hashes = self.names[self.word]
         text = np.repeat(np.arange(len(self.held)), np.diff(self.begin))
         train = ~self.held[text]
-        for order in range(1, ORDER + 1):
+        for order in orders:
             if order == 1:
                 names, place = self.names, self.word
             else:
@@ -103,7 +112,7 @@ def encoded(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         ids, held, sizes = pa.concat_arrays(ids), pa.concat_arrays(held), pa.array(np.concatenate(sizes))
         one = pa.array([0, len(ids)], pa.int32())
         columns = [pa.array([number], pa.int64()), *(pa.ListArray.from_arrays(one, x) for x in (ids, held, sizes))]
-        columns += [pa.array([len(names)]), *(pa.array([x], pa.binary()) for x in (packed(names, 8), packed(small, 4), packed(small[word], 4)))]
+        columns += [pa.array([len(names)]), *(pa.array([x], pa.binary()) for x in (packed_sorted(names, 8), packed(small, 4), packed(small[word], 4)))]
         return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "held", "sizes", "n_words", "words", "ranks", "stream"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +146,7 @@ def _block(row: dict[str, pa.Array], i: int) -> Block:
     back[rank] = np.arange(n)
     word = back[unpacked(row["stream"][i].as_py(), int(begin[-1]), 4).astype(np.int64)]
     held = row["held"][i].values.to_numpy(zero_copy_only=False).astype(bool)
-    return Block(unpacked(row["words"][i].as_py(), n, 8), word, begin, held)
+    return Block(unpacked_sorted(row["words"][i].as_py(), n, 8), word, begin, held)
 
 
 def _cells(names: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
@@ -157,7 +166,7 @@ def _width(order: int) -> int:
     return 8 if order == 1 else KEY_BYTES
 
 
-def asked(blocks: DataFrame, bits: int) -> DataFrame:
+def asked(blocks: DataFrame, bits: int, orders: tuple[int, ...]) -> DataFrame:
     """part, block, order, n, keys, counts: each block's distinct n-grams of each part, with their training counts there."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +174,9 @@ def asked(blocks: DataFrame, bits: int) -> DataFrame:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             for i in range(len(batch)):
                 number = columns["block"][i].as_py()
-                for order, (names, _, count) in enumerate(_block(columns, i).distinct(), 1):
+                for order, (names, _, count) in zip(orders, _block(columns, i).distinct(orders), strict=True):
                     rows = [
-                        (part, number, order, at.stop - at.start, packed(_key(names[at], order, bits), _width(order)), packed(count[at], 4))
+                        (part, number, order, at.stop - at.start, packed_sorted(_key(names[at], order, bits), _width(order)), packed(count[at], 4))
                         for part, at in _cells(names, bits)
                     ]
                     if rows:
@@ -184,7 +193,7 @@ def _summed(group: pa.Table) -> pa.Table:
     distinct = 0
     for order in sorted(set(orders)):
         rows = [i for i, x in enumerate(orders) if x == order]
-        keys = np.concatenate([unpacked(group.column("keys")[i].as_py(), sizes[i], _width(order)) for i in rows])
+        keys = np.concatenate([unpacked_sorted(group.column("keys")[i].as_py(), sizes[i], _width(order)) for i in rows])
         counts = np.concatenate([unpacked(group.column("counts")[i].as_py(), sizes[i], 4) for i in rows]).astype(np.int64)
         by = np.argsort(keys, kind="stable")
         head = np.flatnonzero(np.append(True, keys[by][1:] != keys[by][:-1]))
@@ -235,11 +244,11 @@ class Automaton:
 
     def read(self, begin: np.ndarray) -> np.ndarray:
         """The log10 probability of each text (tokens ``begin[i]`` to ``begin[i + 1]``), read from left to right."""
-        gain, fail, ends = [x.tolist() for x in self.gain], [x.tolist() for x in self.fail], self.state.tolist()
         out = []
         for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            gain, fail, ends = [x[a:b].tolist() for x in self.gain], [x[a:b].tolist() for x in self.fail], self.state[a:b].tolist()
             sum_, state = 0.0, 0
-            for i in range(a, b):
+            for i in range(b - a):
                 arc = gain[state][i]
                 while arc != arc:  # no arc of this state reads the token
                     sum_ += fail[state][i]
@@ -277,8 +286,9 @@ def scored(spark: SparkSession, docs: DataFrame, block_tokens: int = BLOCK_TOKEN
     every = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
     sums = blocks.agg(F.coalesce(F.sum(train), F.lit(0)).alias("train"), F.coalesce(F.sum(every), F.lit(0)).alias("all")).first()
     bits = max(0, -(-ORDER * sums["all"] // part_grams) - 1).bit_length()
-    answers = written(answered(asked(blocks, bits)), spark)
-    distinct = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    single = written(answered(asked(blocks, bits, (1,))), spark)
+    distinct = single.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    answers = single.unionByName(answered(asked(blocks, bits, tuple(range(2, ORDER + 1)))))
     total = sums["train"]
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
