@@ -14,7 +14,7 @@ n-gram h w seen in training is an arc of state h that adds log10 p(w | h) and le
 that ends in h w; the failure arc of h adds log10 (1 - t(h)) and leads to h less its first
 token. Each text is read once from left to right with the state carried along.
 
-No task holds the automaton. Texts are encoded once, in blocks of about ``BLOCK_TOKENS`` tokens (a
+No task holds the automaton. Texts are encoded in blocks of about ``BLOCK_TOKENS`` tokens (a
 text is never cut). A block asks for the counts of its distinct n-grams; the requests are dealt by
 the leading bits of the n-grams' hashes, so that each of ``parts`` tasks sums and answers about
 ``PART_GRAMS`` of them at a time, however large the corpus is; then each block meets its answers, which are
@@ -187,10 +187,10 @@ def asked(blocks: DataFrame, bits: int, orders: tuple[int, ...]) -> DataFrame:
 
 
 def _summed(group: pa.Table) -> pa.Table:
-    """The training counts, over all blocks, of what each block asked; and the distinct training tokens, on the first row."""
+    """The training counts, over all blocks, of what each block asked; and the distinct and all training tokens, on the first row."""
     orders, sizes = group.column("order").to_pylist(), group.column("n").to_pylist()
     answers: list[bytes] = [b""] * len(orders)
-    distinct = 0
+    distinct = tokens_ = 0
     for order in sorted(set(orders)):
         rows = [i for i, x in enumerate(orders) if x == order]
         keys = np.concatenate([unpacked_sorted(group.column("keys")[i].as_py(), sizes[i], _width(order)) for i in rows])
@@ -199,7 +199,7 @@ def _summed(group: pa.Table) -> pa.Table:
         head = np.flatnonzero(np.append(True, keys[by][1:] != keys[by][:-1]))
         total = np.add.reduceat(counts[by], head)
         if order == 1:
-            distinct = int((total > 0).sum())
+            distinct, tokens_ = int((total > 0).sum()), int(total.sum())
         out = np.empty(len(keys), np.int64)
         out[by] = np.repeat(total, np.diff(np.append(head, len(keys))))
         edge = np.concatenate([[0], np.cumsum([sizes[i] for i in rows])])
@@ -213,13 +213,14 @@ def _summed(group: pa.Table) -> pa.Table:
             "n": group.column("n"),
             "totals": pa.array(answers, pa.binary()),
             "distinct": pa.array([distinct] + [0] * (len(orders) - 1), pa.int64()),
+            "tokens": pa.array([tokens_] + [0] * (len(orders) - 1), pa.int64()),
         }
     )
 
 
 def answered(requests: DataFrame) -> DataFrame:
-    """block, part, order, n, totals (packed, in the order of the request), distinct."""
-    return requests.groupBy("part").applyInArrow(_summed, "block long, part long, order int, n long, totals binary, distinct long")
+    """block, part, order, n, totals (packed, in the order of the request), distinct, tokens."""
+    return requests.groupBy("part").applyInArrow(_summed, "block long, part long, order int, n long, totals binary, distinct long, tokens long")
 
 
 class Automaton:
@@ -277,19 +278,21 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def scored(spark: SparkSession, docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_grams: int = PART_GRAMS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
+def scored(spark: SparkSession, docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_grams: int = PART_GRAMS, from_files: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``.
+
+    Blocks are made anew for each pass, so the rows must come in the same partitions each time. Those of a table that is
+    read ``from_files`` do; others are written first.
+    """
     kind = dict(docs.dtypes)["doc_id"]
-    blocks = written(encoded(docs, block_tokens), spark)
-    texts = F.arrays_zip("sizes", "held")
-    train = F.aggregate(F.filter(texts, lambda x: ~x["held"]), F.lit(0).cast("long"), lambda a, x: a + x["sizes"])
-    every = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    sums = blocks.agg(F.coalesce(F.sum(train), F.lit(0)).alias("train"), F.coalesce(F.sum(every), F.lit(0)).alias("all")).first()
-    bits = max(0, -(-ORDER * sums["all"] // part_grams) - 1).bit_length()
+    docs = docs.select("doc_id", "text") if from_files else written(docs.select("doc_id", "text"), spark)
+    blocks = encoded(docs, block_tokens)
+    # about two bytes of text for each n-gram that is asked for
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(0, -(-size // (2 * part_grams)) - 1).bit_length()
     single = written(answered(asked(blocks, bits, (1,))), spark)
-    distinct = single.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    distinct, total = single.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     answers = single.unionByName(answered(asked(blocks, bits, tuple(range(2, ORDER + 1)))))
-    total = sums["train"]
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
         columns = {c: left.column(c).combine_chunks() for c in left.column_names}
@@ -315,4 +318,4 @@ def scored(spark: SparkSession, docs: DataFrame, block_tokens: int = BLOCK_TOKEN
 
 
 def op5_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, table(spark, sf_dir, "documents"))
+    return scored(spark, table(spark, sf_dir, "documents"), from_files=True)
