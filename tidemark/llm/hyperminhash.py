@@ -23,7 +23,8 @@ so that the empty buckets of a small set draw from its shingles independently.
    band's other classes in several components, those outside the largest with all others, in blocks of both.
 4. Components of the verified links give the result.
 
-Null texts and texts without words have an empty set and are linked with nothing. Rows that share a
+A text of any length is taken whole: its set is 8 bytes for each distinct shingle. Null texts and texts
+without words have an empty set and are linked with nothing. Rows that share a
 doc_id are one document with the links of all their texts, and stay separate rows of the result.
 Rows without a doc_id get the component of equal sets, link nothing, and are kept. Other columns
 are ignored. An empty table gives an empty result.
