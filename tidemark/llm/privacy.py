@@ -139,7 +139,8 @@ def detected(spark: SparkSession, docs: DataFrame, support: int = SUPPORT, gener
     placed = held.select("tid", F.posexplode(sized).alias("place", "t")).select("tid", F.lower("t.value").alias("term"), (end - F.length("t.value")).alias("start"), end.alias("end"))
     placed = placed.select("tid", "start", "end", F.explode(F.when(_mixed(F.col("term")), F.array("term", _shape(F.col("term")))).otherwise(F.array("term"))).alias("word"))
     once = placed.join(hits, ["tid", "word"]).groupBy("tid", "start", "end").agg(F.max("removed").alias("removed"))
-    terms = once.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("term"))
+    # written, so that the join with many copies of one text is one of two shuffles, which adaptive execution splits
+    terms = written(once.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("term")), spark)
     none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
     return base.select("doc_id", "rid", "tid", *KINDS).join(terms, "tid", "left").withColumn("term", F.coalesce("term", none)).drop("tid")
 
