@@ -9,6 +9,7 @@ has it by default; the text on either side of one is split by itself.
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 
 import numpy as np
@@ -19,12 +20,13 @@ from tidemark.llm.words import _Powers, mix
 LETTER, NUMBER, SPACE = 1, 2, 3
 #: White_Space of Unicode, as \s in the pattern (fixed values).
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-MOST_KEPT = 400_000  # pieces remembered at a time, of 24 bytes and 4 for each id
+MOST_KEPT = 1_000_000  # pieces remembered at a time, of 24 bytes and 4 for each id
 
 
 def _classes() -> np.ndarray:
     kind = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kind.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000)
+    out = np.zeros(0x110000, np.uint8)  # no letters or numbers lie from plane 4 on
+    out[:0x40000] = np.fromiter((kind.get(unicodedata.category(chr(c))[0], 0) for c in range(0x40000)), np.uint8, 0x40000)
     out[SPACES] = SPACE
     return out
 
@@ -133,9 +135,11 @@ class ByteBPE:
         names, first, back = np.unique(key, return_index=True, return_inverse=True)
         if len(self.names) > MOST_KEPT:
             self.forget()
-        new = np.flatnonzero(~np.isin(names, self.names, assume_unique=True))
+        place = np.searchsorted(self.names, names)
+        new = np.flatnonzero(np.append(self.names, np.uint64(0))[place] != names) if len(self.names) else np.arange(len(names))
         if len(new):
-            texts = [chars[start[i] : end[i]].tobytes().decode("utf-32-le") for i in first[new].tolist()]
+            whole, some = chars.tobytes().decode("utf-32-le"), first[new]
+            texts = [whole[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]
             self._keep(names[new], [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)])
         piece = np.searchsorted(self.names, names)[back]
         length = self.length[piece]
@@ -150,7 +154,7 @@ class ByteBPE:
         end = self.used + np.cumsum(length)
         while end[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : end[-1]] = np.concatenate([np.array(x, np.uint32) for x in ids])
+        self.flat[self.used : end[-1]] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(length.sum()))
         place = np.searchsorted(self.names, names)
         self.names = np.insert(self.names, place, names)
         self.where = np.insert(self.where, place, end - length)
