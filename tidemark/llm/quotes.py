@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import table, written
+from tidemark.llm.spans import let
 
 MARKS = r"^[ \t]*(?:>[ \t]*)+"
 SPAN = 1024
@@ -55,18 +56,21 @@ def passages(text: Column) -> Column:
     """array<struct<level, hashes>>: what is hashed of each passage."""
     lines = F.transform(_lines(F.translate(text, "\x01\x02\x03", "   ")), lambda x: F.struct(_level(x).alias("level"), _normal(x).alias("line")))
 
-    def lead(x: Column, i: Column) -> Column:
-        # what a line adds: itself behind the last one of its passage, or the start of a new passage
-        last = F.get(lines, i - 1)
-        goes_on = (i > 0) & (last["level"] == x["level"]) & (last["line"] != "")
-        return F.when(x["line"] == "", "").otherwise(F.concat(F.when(goes_on, "\x03").otherwise(F.concat(F.lit("\x01"), x["level"].cast("string"), F.lit("\x02"))), x["line"]))
+    def led(lines: Column) -> Column:
+        def lead(x: Column, i: Column) -> Column:
+            # what a line adds: itself behind the last one of its passage, or the start of a new passage
+            last = F.get(lines, i - 1)
+            goes_on = (i > 0) & (last["level"] == x["level"]) & (last["line"] != "")
+            return F.when(x["line"] == "", "").otherwise(F.concat(F.when(goes_on, "\x03").otherwise(F.concat(F.lit("\x01"), x["level"].cast("string"), F.lit("\x02"))), x["line"]))
 
-    runs = F.filter(F.split(F.array_join(F.transform(lines, lead), ""), "\x01", -1), lambda x: x != "")
+        return F.array_join(F.transform(lines, lead), "")
+
+    runs = F.filter(F.split(let(lines, led), "\x01", -1), lambda x: x != "")
 
     def one(run: Column) -> Column:
-        rows = F.split(F.substring_index(run, "\x02", -1), "\x03", -1)
-        whole = F.array_join(rows, " ")
-        parts = F.array_distinct(F.concat(F.array(whole), F.split(whole, r"(?<=[.!?])\x20", -1), rows))
+        body = F.substring_index(run, "\x02", -1)
+        whole = F.translate(body, "\x03", " ")
+        parts = F.array_distinct(F.concat(F.array(whole), F.split(whole, r"(?<=[.!?])\x20", -1), F.split(body, "\x03", -1)))
         return F.struct(F.substring_index(run, "\x02", 1).cast("int").alias("level"), F.transform(parts, lambda x: F.xxhash64(x)).alias("hashes"))
 
     return F.transform(runs, one)

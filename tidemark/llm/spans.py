@@ -19,8 +19,8 @@ def found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; inside a lambda, an expression would be computed again for each element."""
     return F.transform(F.array(value), body)[0]
 
 
@@ -55,8 +55,8 @@ def places(text: Column, pattern: str, matches: Column) -> Column:
         return F.transform(chunk, lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["value"].alias("value")))
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    parts = F.transform(_chunks(sized), lambda chunk: F.aggregate(chunk, first, add))
-    whole = _let(parts, lambda p: F.flatten(F.zip_with(F.transform(p, lambda x: x["out"]), _before(F.transform(p, lambda x: x["at"]), _sum), moved)))
+    parts = let(sized, lambda items: F.transform(_chunks(items), lambda chunk: F.aggregate(chunk, first, add)))
+    whole = let(parts, lambda p: F.flatten(F.zip_with(F.transform(p, lambda x: x["out"]), _before(F.transform(p, lambda x: x["at"]), _sum), moved)))
     return F.when(F.size(matches) > 0, whole.cast(kind)).otherwise(F.array().cast(kind))
 
 
@@ -84,10 +84,10 @@ def rewritten(text: Column, marks: Column, by: Callable[[Column, Column, Column]
             def at(chunk: Column, i: Column) -> Column:
                 base = begins[i]
                 upto = F.when(i + 1 < F.size(begins), F.element_at(begins, F.least(i + 2, F.size(begins)))).otherwise(F.length(text))
-                return _let(F.struct(F.substring(text, base + 1, upto - base).alias("text"), base.alias("base")), lambda s: one(s["text"], s["base"], chunk))
+                return let(F.struct(F.substring(text, base + 1, upto - base).alias("text"), base.alias("base")), lambda s: one(s["text"], s["base"], chunk))
 
             return F.array_join(F.transform(chunks, at), "")
 
-        return _let(starts, rest)
+        return let(starts, rest)
 
-    return F.when(F.size(marks) > 0, _let(_chunks(marks), joined)).otherwise(text)
+    return F.when(F.size(marks) > 0, let(marks, lambda items: let(_chunks(items), joined))).otherwise(text)
