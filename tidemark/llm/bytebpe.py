@@ -2,7 +2,9 @@
 
 The library splits a text by one pattern and encodes every piece of it by itself. Here the split
 is computed for whole Arrow batches from a table of character classes, each distinct piece is
-encoded by the library once per task, and the ids of all pieces are gathered with NumPy. Strings
+encoded by the library once per task, and the ids of all pieces are gathered with NumPy. The class of
+a character (letter, number or neither) is asked of the library's own splitter when the character is first met, since tables
+of Unicode differ between versions. Strings
 of added tokens in a text (such as an end-of-text mark) become those tokens, as the library's call
 has it by default; the text on either side of one is split by itself.
 """
@@ -10,27 +12,18 @@ has it by default; the text on either side of one is split by itself.
 from __future__ import annotations
 
 import itertools
-import unicodedata
 
 import numpy as np
 from tokenizers import Tokenizer
 
 from tidemark.llm.words import _Powers, mix
 
-LETTER, NUMBER, SPACE = 1, 2, 3
+LETTER, NUMBER, SPACE, UNKNOWN = 1, 2, 3, 255
 #: White_Space of Unicode, as \s in the pattern (fixed values).
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 MOST_KEPT = 1_000_000  # pieces remembered at a time, of 24 bytes and 4 for each id
 
 
-def _classes() -> np.ndarray:
-    kind = {"L": LETTER, "N": NUMBER}
-    out = np.zeros(0x110000, np.uint8)  # no letters or numbers lie from plane 4 on
-    out[:0x40000] = np.fromiter((kind.get(unicodedata.category(chr(c))[0], 0) for c in range(0x40000)), np.uint8, 0x40000)
-    out[SPACES] = SPACE
-    return out
-
-
 def codepoints(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of UTF-8 texts and where each text starts; bytes that are not UTF-8 become U+FFFD."""
     try:
@@ -57,9 +50,23 @@ class ByteBPE:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.kind = _classes()
+        self.kind = np.full(0x110000, UNKNOWN, np.uint8)
+        self.kind[SPACES] = SPACE
         self.forget()
 
+    def classes(self, chars: np.ndarray) -> np.ndarray:
+        """The class of each character."""
+        kind = self.kind[chars]
+        new = np.unique(chars[kind == UNKNOWN])
+        if not len(new):
+            return kind
+        # between a letter and a number, a letter joins the one and a number the other
+        asked = "".join(f"a{chr(c)}1" for c in new.tolist())
+        head = np.zeros(len(asked) + 1, bool)
+        head[[at for _, (at, _) in self.library.pre_tokenizer.pre_tokenize_str(asked)]] = True
+        self.kind[new] = np.where(~head[1:-1:3], LETTER, np.where(~head[2::3], NUMBER, 0))
+        return self.kind[chars]
+
     def forget(self) -> None:
         """Drops the pieces encoded so far; called at the end of a task, as workers live on."""
         self.names = np.zeros(0, np.uint64)  # hashes of the known pieces, sorted
@@ -82,7 +89,7 @@ class ByteBPE:
     def split(self, chars: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where the pieces of the pattern start, in all texts."""
         n = len(chars)
-        kind = self.kind[np.minimum(chars, 0x10FFFF)]
+        kind = self.classes(chars)
         begin = np.zeros(n + 1, bool)
         begin[at] = True
         space = kind == SPACE
@@ -114,10 +121,8 @@ class ByteBPE:
             # white space before keeps its own pieces, as a space after the contraction still leads the next word
         return np.flatnonzero(start)
 
-    def encode(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, one after the other, and where each text's ids start."""
-        if not len(body):
-            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+    def pieces(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The characters of the texts, where each text starts there, and where each piece does; pieces leave nothing out."""
         marks = self.marks(body, at)
         cuts = np.unique(np.concatenate([at, marks.ravel()]))
         chars, edges = codepoints(body, cuts)
@@ -127,6 +132,13 @@ class ByteBPE:
             begins, ends = edges[np.searchsorted(cuts, marks[:, 0])], edges[np.searchsorted(cuts, marks[:, 1])]
             last = np.searchsorted(begins, start, "right") - 1
             start = start[(last < 0) | (start == begins[last]) | (start >= ends[last])]
+        return chars, at, start
+
+    def encode(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and where each text's ids start."""
+        if not len(body):
+            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        chars, at, start = self.pieces(body, at)
         end = np.append(start[1:], len(chars))
         up, down = _Powers.of(len(chars))
         total = np.zeros(len(chars) + 1, np.uint64)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import backoff, boilerplate, covertree, hyperminhash, licences, packing, piecebpe, privacy, quality, quotes
+from tidemark.llm import backoff, boilerplate, covertree, exponion, fillmiddle, hyperminhash, lexicon, licences, packing, piecebpe, privacy, quality, quotes
 
 QUERIES = {
     "op1_cover_tree": covertree.op1_cover_tree,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sentencepiece": piecebpe.op8_sentencepiece,
     "op9_hyperminhash": hyperminhash.op9_hyperminhash,
     "op10_sum_of_squares_packing": packing.op10_sum_of_squares_packing,
+    "op11_fill_in_middle": fillmiddle.op11_fill_in_middle,
+    "op12_transducer_lexicon": lexicon.op12_transducer_lexicon,
+    "op13_exponion": exponion.op13_exponion,
 }
 ORACLES = {
     "op4_licence_sentences": licences.ORACLE,
@@ -22,4 +25,6 @@ ORACLES = {
     "op3_site_lines": boilerplate.ORACLE,
     "op1_cover_tree": covertree.ORACLE,
     "op9_hyperminhash": hyperminhash.ORACLE,
+    "op11_fill_in_middle": fillmiddle.ORACLE,
+    "op13_exponion": exponion.ORACLE,
 }

@@ -17,11 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_texts(rows: DataFrame, run, schema: str) -> DataFrame:
-    """``rows.mapInArrow(run, schema)`` for long texts: in batches of at most 1,000 rows, unless the session sets a number of its own.
+    """``rows.mapInArrow(run, schema)`` for long texts: the session's batches get at most 1,000 rows from then on, unless it sets a number of its own.
 
     Spark's default of 10,000 rows would hold tens of megabytes of text several times in each worker and executor.
     """
     conf = rows.sparkSession.conf
-    if conf.get(ROWS) == "10000":
+    if conf.get(ROWS, "-7") == "-7":  # not set, whatever the default
         conf.set(ROWS, "1000")
     return rows.mapInArrow(run, schema)
