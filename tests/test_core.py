@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 import __spark_entry__ as entry
 from tidemark.functions import exprs
 from tidemark.functions.exprs import SECOND
-from tidemark.operators import evaluation, stats, training, validation
+from tidemark.operators import boosting, evaluation, stats, training, validation
 from tidemark.operators.features import Spec
 from tidemark.plans.prefix import running
 from tidemark.sources import sinks
@@ -150,27 +150,34 @@ def test_statistics(spark):
 
 
 class _Warm:
-    warm_start, n_estimators, step = True, 5, 5
+    warm_start = True
+
+    def __init__(self, n_estimators):
+        self.n_estimators, self.history = n_estimators, []
 
     def fit(self, rows):
-        self.seen = rows
+        self.history.append(self.n_estimators)
 
 
 def test_incremental_models(spark):
-    warm = _Warm()
-    training.grow(warm, None)
-    assert warm.n_estimators == 5
-    training.grow(warm, None)
-    assert warm.n_estimators == 10
+    for came_with in (1, 5):
+        warm = _Warm(came_with)
+        assert training.grow(warm, spark.range(3), 5) and training.grow(warm, spark.range(3), 5)
+        assert not training.grow(warm, spark.range(0), 5)
+        assert warm.history == [5, 10]
+    pipeline = _pipeline(spark, _Warm(1))
+    pipeline.step = 5
+    pipeline.fit(log=lambda _: None)
+    assert pipeline.model.history == [5, 10, 15, 20]
     with pytest.raises(ValueError):
-        training.grow(object(), None)
+        training.grow(object(), spark.range(3))
     with pytest.raises(ValueError):
         training.build_model("other", "regression", [])
 
 
 def test_booster_learns_and_reloads(spark, tmp_path):
     df = spark.createDataFrame([(float(i % 10), float(i % 3), 3.0 * (i % 10), 1.0) for i in range(300)], "a double, b double, label double, weight double")
-    model = training.ResidualBooster(["a", "b"], trees_per_call=8, learning_rate=0.3)
+    model = boosting.HistogramBooster(["a", "b"], trees_per_call=8, learning_rate=0.3)
     assert model.predict(df).agg(F.max(F.abs("score"))).first()[0] == 0
     before = None
     for _ in range(2):
@@ -181,7 +188,7 @@ def test_booster_learns_and_reloads(spark, tmp_path):
     assert len(model.trees) == 16 and before < 2
     assert model.importances(spark).first().feature_name == "a"
     model.save(spark, f"{tmp_path}/m")
-    again = training.ResidualBooster.load(spark, f"{tmp_path}/m")
+    again = boosting.HistogramBooster.load(spark, f"{tmp_path}/m")
     assert [r.score for r in again.predict(df).collect()] == [r.score for r in model.predict(df).collect()]
     assert training.model_file_parts("core_30s") == ("core", 30)
 

@@ -9,13 +9,26 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import SECOND, sample_weight
 from tidemark.operators import evaluation, labels, training
-from tidemark.plans.specs import EXPERIMENTS, HORIZONS_SEC, feature_specs, market_catalog
+from tidemark.operators.boosting import HistogramBooster
+from tidemark.plans.specs import EXPERIMENTS, HORIZONS_SEC, feature_specs, market_catalog, state_for
 from tidemark.sources import sinks
 from tidemark.sources.catalog import Catalog
+from tidemark.sources.scratch import written
 
 
-def horizon_pipeline(model, catalog: Catalog, horizon_sec: int, scale: int = SECOND) -> training.ModelPipeline:
-    """The 36 features of a horizon against its badness, weighted by capped notional."""
+# What a model gets from each chunk.
+PARAMS = {"trees_per_call": 300, "max_depth": 5, "learning_rate": 0.01}
+
+
+def stored_state(spark: SparkSession, catalog: Catalog, horizons_sec: Iterable[int], scale: int = SECOND) -> DataFrame:
+    """The market state of all chunks with the windows of all horizons, written once, a partition for each chunk."""
+    horizons = sorted(set(horizons_sec))
+    specs = [spec for horizon in horizons for spec in feature_specs(horizon, scale)]
+    return written(state_for(catalog, specs, tuple(h * scale for h in horizons)), spark, by="chunk_id")
+
+
+def horizon_pipeline(model, catalog: Catalog, horizon_sec: int, scale: int = SECOND, state: DataFrame | None = None) -> training.ModelPipeline:
+    """The 36 features of a horizon against its badness, weighted by capped notional; out of a stored ``state`` if there is one."""
     h = horizon_sec * scale
     return training.ModelPipeline(
         model,
@@ -25,6 +38,7 @@ def horizon_pipeline(model, catalog: Catalog, horizon_sec: int, scale: int = SEC
         sample_weight(F.col("price"), F.col("amount")),
         lambda state: labels.with_pnl(state, [h]),
         (h,),
+        state,
     )
 
 
@@ -56,15 +70,18 @@ def train(
 ) -> DataFrame:
     """Per horizon: models/, curves/ and importances/ below ``out``, and metadata/ with the best row; returns the summary.
 
-    Periods are microseconds, end exclusive. ``scale`` is the length of a window's second.
+    Periods are microseconds, end exclusive. ``scale`` is the length of a window's second. The market state of a period is
+    computed once for all horizons. ``params`` are those of the model, in place of ``PARAMS``.
     """
-    names = []
-    for horizon in horizons_sec:
+    names, horizons, params = [], list(horizons_sec), PARAMS | params
+    catalogs = [market_catalog(tables, chunk_sec, *period) for period in (train_period, validation_period)]
+    states = [stored_state(spark, catalog, horizons, scale) for catalog in catalogs]
+    for horizon in horizons:
         name = f"{EXPERIMENTS[0]}_{horizon}s"
         columns = [s.name for s in feature_specs(horizon, scale)]
         model = training.build_model("residual_boosting", "regression", columns, **params)
-        trained = horizon_pipeline(model, market_catalog(tables, chunk_sec, *train_period), horizon, scale).fit()
-        judged = horizon_pipeline(model, market_catalog(tables, chunk_sec, *validation_period), horizon, scale)
+        trained = horizon_pipeline(model, catalogs[0], horizon, scale, states[0]).fit()
+        judged = horizon_pipeline(model, catalogs[1], horizon, scale, states[1])
         sinks.write_csv(evaluate(spark, judged, horizon, scale=scale), f"{out}/curves/{name}")
         model.save(spark, f"{out}/models/{name}")
         sinks.write_csv(model.importances(spark), f"{out}/importances/{name}")
@@ -89,9 +106,11 @@ def infer(
     names = [n for n in sinks.file_names(spark, models) if not n.startswith((".", "_"))]
     if not names:
         raise ValueError(f"no models in {models}")
-    for name in names:
-        experiment, horizon = training.model_file_parts(name)
-        model = training.ResidualBooster.load(spark, f"{models}/{name}")
-        pipeline = horizon_pipeline(model, market_catalog(tables, chunk_sec, *period), horizon, scale)
+    parts = [training.model_file_parts(name) for name in names]
+    catalog = market_catalog(tables, chunk_sec, *period)
+    state = stored_state(spark, catalog, [horizon for _, horizon in parts], scale)
+    for name, (experiment, horizon) in zip(names, parts, strict=True):
+        model = HistogramBooster.load(spark, f"{models}/{name}")
+        pipeline = horizon_pipeline(model, catalog, horizon, scale, state)
         sinks.write_csv(evaluate(spark, pipeline, horizon, experiment, scale), f"{out}/curves/{name}")
     return _curves(spark, out, names, least_turnover)

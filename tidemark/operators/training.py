@@ -1,100 +1,26 @@
-"""Regressors that grow chunk by chunk, and the pipeline that feeds them.
+"""Models that grow chunk by chunk, and the pipeline that feeds them.
 
-With squared loss, continuing a boosted model on new rows is fitting more trees to what the model
-so far leaves unexplained. Each call of ``partial_fit`` adds shrunken trees fitted by Spark to the
-residuals of its chunk.
+With squared loss, continuing a boosted model on new rows is growing more trees on what the model so far leaves
+unexplained (``boosting``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import is_finite
 from tidemark.operators import validation
+from tidemark.operators.boosting import HistogramBooster
 from tidemark.operators.features import Spec
 from tidemark.plans.specs import feature_table, state_for
-from tidemark.sources import sinks
 from tidemark.sources.catalog import Catalog
 
 
-def tree_value(tree: DecisionTreeRegressionModel, names: list[str]) -> Column:
-    """A fitted tree as an expression over its features' columns; null and NaN go to the right, as in the tree."""
-
-    def value(node) -> Column:
-        if node.subtreeDepth() == 0:
-            return F.lit(float(node.prediction()))
-        split = node.split()
-        below = F.col(f"`{names[split.featureIndex()]}`").cast("double") <= F.lit(float(split.threshold()))
-        return F.when(below, value(node.leftChild())).otherwise(value(node.rightChild()))
-
-    return value(tree._java_obj.rootNode())
-
-
-class ResidualBooster:
-    """Boosted trees over named columns: ``trees_per_call`` per chunk; a call beyond ``max_trees``, if given, raises ValueError."""
-
-    def __init__(self, names: list[str], trees_per_call: int = 5, max_depth: int = 5, learning_rate: float = 0.1, max_trees: int | None = None, seed: int = 42):
-        self.names, self.trees_per_call, self.max_depth = list(names), trees_per_call, max_depth
-        self.learning_rate, self.max_trees, self.seed = learning_rate, max_trees, seed
-        self.trees: list[DecisionTreeRegressionModel] = []
-        self.epoch = -1  # the last micro-batch trained on, of a stream
-
-    def _vectors(self, df: DataFrame) -> DataFrame:
-        return VectorAssembler(inputCols=self.names, outputCol="_features", handleInvalid="keep").transform(df)
-
-    def _sum(self, trees: Iterable[DecisionTreeRegressionModel]) -> Column:
-        """What ``trees`` add to the score, as one expression over the named columns."""
-        values = [tree_value(tree, self.names) for tree in trees]
-        return F.aggregate(F.array(*values), F.lit(0.0), lambda a, x: a + x) * self.learning_rate if values else F.lit(0.0)
-
-    def partial_fit(self, df: DataFrame, label: str = "label", weight: str = "weight") -> ResidualBooster:
-        """Adds trees fitted to the residuals of ``df``; its columns are the named ones, label and weight."""
-        if self.max_trees is not None and len(self.trees) + self.trees_per_call > self.max_trees:
-            raise ValueError(f"{len(self.trees)} trees and {self.trees_per_call} more exceed max_trees = {self.max_trees}")
-        data = self._vectors(df).select("_features", *self.names, (F.col(label).cast("double") - self._sum(self.trees)).alias("_y"), F.col(weight).cast("double").alias("_w")).persist()
-        grower = DecisionTreeRegressor(featuresCol="_features", labelCol="_left", weightCol="_w", predictionCol="_p", maxDepth=self.max_depth, seed=self.seed)
-        try:
-            fresh: list[DecisionTreeRegressionModel] = []
-            for _ in range(self.trees_per_call):
-                fresh.append(grower.fit(data.select("_features", (F.col("_y") - self._sum(fresh)).alias("_left"), "_w")))
-            self.trees += fresh
-        finally:
-            data.unpersist()
-        return self
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        """``df`` with score; 0 before the first fit."""
-        return df.withColumn("score", self._sum(self.trees))
-
-    def importances(self, spark: SparkSession) -> DataFrame:
-        """feature_name, importance (mean over trees), the most important first."""
-        sums = [0.0] * len(self.names)
-        for tree in self.trees:
-            sums = [a + float(b) for a, b in zip(sums, tree.featureImportances.toArray(), strict=True)]
-        rows = [(name, s / max(1, len(self.trees))) for name, s in zip(self.names, sums, strict=True)]
-        return spark.createDataFrame(rows, "feature_name string, importance double").orderBy(F.desc("importance"), "feature_name")
-
-    def save(self, spark: SparkSession, path: str) -> None:
-        for i, tree in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/tree_{i:05d}")
-        settings = {"names": self.names, "trees_per_call": self.trees_per_call, "max_depth": self.max_depth, "learning_rate": self.learning_rate, "max_trees": self.max_trees, "seed": self.seed}
-        sinks.write_json(spark, {"settings": settings, "trees": len(self.trees), "epoch": self.epoch}, f"{path}/metadata")
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> ResidualBooster:
-        about = sinks.read_json(spark, f"{path}/metadata")
-        model = cls(**about["settings"])
-        model.trees = [DecisionTreeRegressionModel.load(f"{path}/tree_{i:05d}") for i in range(about["trees"])]
-        model.epoch = about.get("epoch", -1)
-        return model
-
-
 class ProbabilityModel:
     """Any classifier of Spark's over named columns; scores are probabilities of class 1. A call fits on its rows alone."""
 
@@ -115,41 +41,55 @@ class ProbabilityModel:
         return self.fitted.transform(self._vectors(df)).withColumn("score", vector_to_array("_p")[1]).select(*df.columns, "score")
 
 
-def build_model(kind: str, task: str, names: list[str], **params) -> ResidualBooster:
+def build_model(kind: str, task: str, names: list[str], **params) -> HistogramBooster:
     """The only kind is ``residual_boosting`` for ``regression``; anything else raises ValueError."""
     if (kind, task) != ("residual_boosting", "regression"):
         raise ValueError(f"no model {kind} for {task}")
-    return ResidualBooster(names, **params)
+    return HistogramBooster(names, **params)
 
 
-def grow(model, rows: DataFrame) -> None:
-    """Another call of an incremental model: warm start (more estimators, fitted again) if it has one, else partial_fit."""
-    if getattr(model, "warm_start", False) and hasattr(model, "n_estimators"):
-        if getattr(model, "started", False):
-            model.n_estimators += getattr(model, "step", model.n_estimators)
+def grow(model, rows: DataFrame, step: int = 1) -> bool:
+    """Another call of an incremental model, if there are rows; says whether there were.
+
+    A model with a warm start is fitted again with ``step`` more estimators, counted from 0 whatever it came with;
+    others take the rows by ``partial_fit``.
+    """
+    warm = getattr(model, "warm_start", False) and hasattr(model, "fit")
+    if not warm and not hasattr(model, "partial_fit"):
+        raise ValueError("the model can't be fitted chunk by chunk")
+    if isinstance(model, HistogramBooster):  # counts the rows itself
+        return model.partial_fit(rows)
+    if rows is not None and rows.isEmpty():
+        return False
+    if warm:
+        model.grown = model.n_estimators = getattr(model, "grown", 0) + step
         model.fit(rows)
-        model.started = True
-    elif hasattr(model, "partial_fit"):
-        model.partial_fit(rows)
     else:
-        raise ValueError("the model can't be fitted chunk by chunk")
+        model.partial_fit(rows)
+    return True
 
 
 class ModelPipeline:
     """Features, targets and weights of each chunk into a model, and scores out of it.
 
-    ``target`` and ``weight`` are columns over the labelled state, ``prepare`` adds what they need to it.
+    ``target`` and ``weight`` are columns over the labelled state, ``prepare`` adds what they need to it. ``state`` is a stored
+    market state of the catalog with at least the windows and horizons that are needed, partitioned by chunk; without one, each
+    chunk's state is computed when it is read. ``step`` is what a model with a warm start grows by.
     """
 
-    def __init__(self, model, specs: list[Spec], catalog: Catalog, target: Column, weight: Column, prepare: Callable[[DataFrame], DataFrame] = lambda state: state, horizons_us: tuple[int, ...] = ()):
+    def __init__(self, model, specs: list[Spec], catalog: Catalog, target: Column, weight: Column, prepare: Callable[[DataFrame], DataFrame] = lambda state: state, horizons_us: tuple[int, ...] = (), state: DataFrame | None = None, step: int = 1):
         self.model, self.specs, self.catalog = model, specs, catalog
         self.target, self.weight, self.prepare, self.horizons_us = target, weight, prepare, horizons_us
+        self.state, self.step = state, step
         self.names = [s.name for s in specs]
 
-    def rows(self, tables=None, keep: tuple[Column | str, ...] = ()) -> DataFrame:
-        """timestamp, seq, the features, label, weight, and ``keep``, of the given chunk tables or of all chunks."""
-        state = self.prepare(state_for(self.catalog, self.specs, self.horizons_us, tables=tables))
-        return feature_table(state, self.specs, keep=("timestamp", "seq", self.target.alias("label"), self.weight.alias("weight"), *keep))
+    def rows(self, chunk: int | None = None, keep: tuple[Column | str, ...] = ()) -> DataFrame:
+        """timestamp, seq, the features, label, weight, and ``keep``, of one chunk or of all."""
+        if self.state is not None:
+            state = self.state if chunk is None else self.state.where(F.col("chunk_id") == chunk)
+        else:
+            state = state_for(self.catalog, self.specs, self.horizons_us, tables=None if chunk is None else self.catalog.chunk(chunk))
+        return feature_table(self.prepare(state), self.specs, keep=("timestamp", "seq", self.target.alias("label"), self.weight.alias("weight"), *keep))
 
     def fit(self, log_every: int = 1, on_chunk: Callable[[int, object], None] | None = None, log: Callable[[str], None] = print) -> int:
         """Grows the model by every chunk with usable rows and returns their number; none raises ValueError."""
@@ -157,12 +97,10 @@ class ModelPipeline:
             raise ValueError("log_every must be positive")
         trained = 0
         for i in range(self.catalog.n_chunks):
-            rows = validation.guarded(self.rows(self.catalog.chunk(i)), self.names).where(is_finite(F.col("label").cast("double")) & is_finite(F.col("weight").cast("double")))
+            rows = validation.guarded(self.rows(i), self.names).where(is_finite(F.col("label").cast("double")) & is_finite(F.col("weight").cast("double")))
             rows = rows.persist()
             try:
-                some = not rows.isEmpty()
-                if some:
-                    grow(self.model, rows)
+                some = grow(self.model, rows, self.step)
             finally:
                 rows.unpersist()
             if some:
@@ -179,8 +117,13 @@ class ModelPipeline:
     def predictions(self, pnl: Column, valid: Column) -> DataFrame:
         """score, pnl, valid, weight of the trades of all chunks, in one plan; the score is the probability of class 1 of a model that gives one."""
         rows = self.rows(keep=(pnl.cast("float").alias("pnl"), valid.alias("valid")))
-        predict = getattr(self.model, "predict_proba", None) or self.model.predict
-        return predict(rows).select("timestamp", "seq", F.col("score").cast("float").alias("score"), "pnl", "valid", F.col("weight").cast("float").alias("weight"))
+        if hasattr(self.model, "predict_proba"):
+            scored = self.model.predict_proba(rows)
+        elif isinstance(self.model, HistogramBooster):
+            scored = self.model.predict(rows, ["timestamp", "seq", "pnl", "valid", "weight"])
+        else:
+            scored = self.model.predict(rows)
+        return scored.select("timestamp", "seq", F.col("score").cast("float").alias("score"), "pnl", "valid", F.col("weight").cast("float").alias("weight"))
 
 
 def model_file_parts(name: str) -> tuple[str, int]:

@@ -29,11 +29,12 @@ def _tables(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, and no executor's loss brings it back."""
+def written(df: DataFrame, spark: SparkSession, by: str | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and no executor's loss brings it back. ``by`` names a column to partition it by."""
     path = f"{_tables(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return out.select(*(f"`{c}`" for c in df.columns)) if by else out
 
 
 def clear(spark: SparkSession) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.exprs import notional, side_sign
+from tidemark.operators.boosting import HistogramBooster
 from tidemark.operators.training import grow
 from tidemark.sources import sinks
 
@@ -29,17 +30,17 @@ def flow_per_window(trades: DataFrame, seconds: int, late_seconds: int = 60) ->
 def train_on_stream(rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], model, checkpoint: str) -> StreamingQuery:
     """Grows ``model`` by every non-empty micro-batch of prepared rows. A batch that is repeated after a failure trains once.
 
-    A model that can be saved is, after each batch, with the batch's number below ``checkpoint``; a stream that starts again from
-    there goes on with the newest one that was saved whole. Other models remember their batches while the process lives.
+    A model that can be saved leaves, after each batch, what the batch has added, with the batch's number below ``checkpoint``; a stream
+    that starts again from there goes on with all parts that were saved whole. Other models remember their batches while the process lives.
     """
     spark, folder = rows.sparkSession, f"{checkpoint}/models"
-    keeps = hasattr(model, "save") and hasattr(model, "epoch")
+    keeps = isinstance(model, HistogramBooster)
     done = -1
     if keeps:
-        whole = [name for name in sinks.file_names(spark, folder) if "_SUCCESS" in sinks.file_names(spark, f"{folder}/{name}/metadata")]
-        if whole:
-            saved = type(model).load(spark, f"{folder}/{whole[-1]}")
-            model.trees, model.epoch = saved.trees, saved.epoch
+        parts = [f"{folder}/{name}" for name in sinks.file_names(spark, folder) if "_SUCCESS" in sinks.file_names(spark, f"{folder}/{name}/metadata")]
+        if parts:
+            saved = HistogramBooster.load(spark, *parts)
+            model.trees, model.start, model.epoch = saved.trees, saved.start, saved.epoch
             done = saved.epoch
 
     def step(batch: DataFrame, epoch: int) -> None:
@@ -47,15 +48,14 @@ def train_on_stream(rows: DataFrame, prepare: Callable[[DataFrame], DataFrame],
         if epoch <= done:
             return
         ready = prepare(batch).persist()
+        since = len(model.trees) if keeps else 0
         try:
-            some = not ready.isEmpty()
-            if some:
-                grow(model, ready)
+            some = grow(model, ready)
         finally:
             ready.unpersist()
         done = epoch
         if keeps and some:
             model.epoch = epoch
-            model.save(spark, f"{folder}/{epoch:012d}")
+            model.save(spark, f"{folder}/{epoch:012d}", since)
 
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
