@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 import regex
 
-from tests.llm.fixtures import frame
-from tidemark.llm import hyperminhash, licences, privacy, quality
+from tests.llm.fixtures import frame, sentence
+from tidemark.llm import backoff, hyperminhash, licences, privacy, quality
 
 # --- 9: near duplicates ---
 
@@ -208,3 +208,33 @@ def test_licence_files(spark, mark, width):
     db.executemany("insert into documents values (?, ?, ?)", rows)
     sql = {i: x for i, x in db.execute("select doc_id, licences from (" + licences.ORACLE + ")").fetchall()}
     assert sql == want
+
+
+# --- 5: language model ---
+
+
+def test_scores_do_not_depend_on_how_files_are_split(spark, tmp_path):
+    rows = [(i, f"{sentence(random.Random(i % 40), 30 + i % 50)} only{i}", "s") for i in range(3000)]
+    frame(spark, rows).coalesce(2).write.option("parquet.block.size", 20_000).option("parquet.page.size", 2_000).option("parquet.page.row.count.limit", 100).parquet(f"{tmp_path}/docs")
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.leafNodeDefaultParallelism")
+    before = {c: spark.conf.get(c, None) for c in sizes}
+
+    def split(most, parallelism):
+        for c, value in zip(sizes, (most, "1k", parallelism), strict=True):
+            spark.conf.set(c, value)
+        return spark.read.parquet(f"{tmp_path}/docs").rdd.getNumPartitions()
+
+    try:
+        want = None
+        for first, then in ((("1g", "1"), ("1g", "1")), (("1g", "1"), ("11k", "8")), (("11k", "8"), ("1g", "1")), (("17k", "3"), ("29k", "2"))):
+            before_call = split(*first)
+            found = backoff.scored(spark, spark.read.parquet(f"{tmp_path}/docs"), 20_000, 4000, from_files=True)
+            assert (split(*then) == before_call) == (first == then)
+            got = sorted(tuple(r) for r in found.collect())
+            assert want is None or [r[:5] for r in got] == [r[:5] for r in want]
+            assert want is None or np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=0, atol=1e-9)
+            want = got
+    finally:
+        for c, value in before.items():
+            spark.conf.unset(c) if value is None else spark.conf.set(c, value)
+    assert len(want) == 3000

@@ -15,13 +15,17 @@ that ends in h w; the failure arc of h adds log10 (1 - t(h)) and leads to h less
 token. Each text is read once from left to right with the state carried along.
 
 No task holds the automaton. Texts are encoded in blocks of about ``BLOCK_TOKENS`` tokens (a
-text is never cut). A block asks for the counts of its distinct n-grams; the requests are dealt by
+text is never cut), which are ranges of rows of a file. A block asks for the counts of its distinct n-grams; the requests are dealt by
 the leading bits of the n-grams' hashes, so that each of ``parts`` tasks sums and answers about
 ``PART_GRAMS`` of them at a time, however large the corpus is; then each block meets its answers, which are
 the part of the automaton that its texts can reach, and reads them. A frequent n-gram is asked
 for once a block, so no task is hot. Keys of n-grams of 2 and 3 tokens have 40 bits besides the part's:
 two n-grams of a part share one with a probability of about 4e-6; those of single tokens have all 64.
 
+Blocks are not stored but made anew for each pass. A pass may deal the files' row groups out otherwise than the one before (as it
+does when executors have come or gone), and then sees a block in other pieces. So each request names its rows, and the answers are
+read against the same rows, put together from whatever pieces there are.
+
 Null texts are empty: the end token alone. Rows are scored one by one, so ties, repeated rows and null
 ids (which count as the empty text for the split) need no rule. A text longer than a block is a block of
 its own. Without training tokens, every token has the same probability. Other columns are ignored; an
@@ -99,11 +103,14 @@ class Block:
             yield names, place, np.bincount(place[ends & train], minlength=len(names))
 
 
-def encoded(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per block: block (its number), ids and held (arrays, by text), sizes (tokens of each text), n_words, words and stream (packed)."""
+def encoded(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, block_rows: int = 1 << 10) -> DataFrame:
+    """One row for each piece of a block: file and block (its place there), first (row) and ids, held, sizes (arrays, by text), n_words, words, ranks and stream (packed).
+
+    ``docs`` are read from Parquet files; a block is ``block_rows`` rows of one, and a piece as many of them as come together, but at most about ``block_tokens`` tokens.
+    """
     kind = dict(docs.dtypes)["doc_id"]
 
-    def block(number: int, ids: list, held: list, hashes: list, sizes: list) -> pa.RecordBatch:
+    def piece(name: tuple[int, int, int], ids: list, held: list, hashes: list, sizes: list) -> pa.RecordBatch:
         names, word = np.unique(np.concatenate(hashes), return_inverse=True)
         # frequent words get small numbers, which pack well
         rank = np.argsort(-np.bincount(word), kind="stable")
@@ -111,29 +118,40 @@ def encoded(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         small[rank] = np.arange(len(rank))
         ids, held, sizes = pa.concat_arrays(ids), pa.concat_arrays(held), pa.array(np.concatenate(sizes))
         one = pa.array([0, len(ids)], pa.int32())
-        columns = [pa.array([number], pa.int64()), *(pa.ListArray.from_arrays(one, x) for x in (ids, held, sizes))]
+        columns = [*(pa.array([x], pa.int64()) for x in name), *(pa.ListArray.from_arrays(one, x) for x in (ids, held, sizes))]
         columns += [pa.array([len(names)]), *(pa.array([x], pa.binary()) for x in (packed_sorted(names, 8), packed(small, 4), packed(small[word], 4)))]
-        return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "held", "sizes", "n_words", "words", "ranks", "stream"])
+        return pa.RecordBatch.from_arrays(columns, names=["file", "block", "first", "ids", "held", "sizes", "n_words", "words", "ranks", "stream"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, held = None, 0, ([], [], [], [])
-        size = 0
+        name, upto, size = (0, 0, 0), -1, 0
+        held: tuple[list, ...] = ([], [], [], [])
         for batch in batches:
-            for row, body, at in pieces(batch.column(3)):
-                hashes, begin = tokens(body, at)
-                n = len(at) - 1
-                part = batch.column(2)[0].as_py()
-                for kept, x in zip(held, (batch.column(0).slice(row, n), batch.column(1).slice(row, n), hashes, np.diff(begin)), strict=True):
-                    kept.append(x)
-                size += len(hashes)
-                if size >= block_tokens:
-                    yield block(part << 32 | number, *held)
-                    number, held, size = number + 1, ([], [], [], []), 0
+            file, row = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            block = row // block_rows
+            cuts = np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1]) | (row[1:] != row[:-1] + 1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+                if a == b:
+                    continue
+                if size and (name[:2] != (file[a], block[a]) or upto != row[a]):
+                    yield piece(name, *held)
+                    held, size = ([], [], [], []), 0
+                for begin, body, at in pieces(batch.column(4).slice(a, b - a)):
+                    if not size:
+                        name = (int(file[a]), int(block[a]), int(row[a]) + begin)
+                    hashes, starts = tokens(body, at)
+                    n = len(at) - 1
+                    for kept, x in zip(held, (batch.column(0).slice(a + begin, n), batch.column(1).slice(a + begin, n), hashes, np.diff(starts)), strict=True):
+                        kept.append(x)
+                    upto, size = int(row[a]) + begin + n, size + len(hashes)
+                    if size >= block_tokens:
+                        yield piece(name, *held)
+                        held, size = ([], [], [], []), 0
         if size:
-            yield block(part << 32 | number, *held)
+            yield piece(name, *held)
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), F.spark_partition_id().cast("long").alias("part"), "text")
-    return map_texts(rows, run, f"block long, ids array<{kind}>, held array<boolean>, sizes array<long>, n_words long, words binary, ranks binary, stream binary")
+    place = (F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), *place, "text")
+    return map_texts(rows, run, f"file long, block long, first long, ids array<{kind}>, held array<boolean>, sizes array<long>, n_words long, words binary, ranks binary, stream binary")
 
 
 def _block(row: dict[str, pa.Array], i: int) -> Block:
@@ -166,24 +184,28 @@ def _width(order: int) -> int:
     return 8 if order == 1 else KEY_BYTES
 
 
+_NAME = ["file", "block", "first", "rows"]
+
+
 def asked(blocks: DataFrame, bits: int, orders: tuple[int, ...]) -> DataFrame:
-    """part, block, order, n, keys, counts: each block's distinct n-grams of each part, with their training counts there."""
+    """part, the piece (file, block, first row, rows), order, n, keys, counts: each piece's distinct n-grams of each part, with their training counts there."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             for i in range(len(batch)):
-                number = columns["block"][i].as_py()
-                for order, (names, _, count) in zip(orders, _block(columns, i).distinct(orders), strict=True):
+                block = _block(columns, i)
+                name = (*(columns[c][i].as_py() for c in _NAME[:3]), len(block.held))
+                for order, (names, _, count) in zip(orders, block.distinct(orders), strict=True):
                     rows = [
-                        (part, number, order, at.stop - at.start, packed_sorted(_key(names[at], order, bits), _width(order)), packed(count[at], 4))
+                        (part, *name, order, at.stop - at.start, packed_sorted(_key(names[at], order, bits), _width(order)), packed(count[at], 4))
                         for part, at in _cells(names, bits)
                     ]
                     if rows:
-                        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "block", "order", "n", "keys", "counts"])
+                        kinds = (*[pa.int64()] * 5, pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", *_NAME, "order", "n", "keys", "counts"])
 
-    return blocks.mapInArrow(run, "part long, block long, order int, n long, keys binary, counts binary")
+    return blocks.mapInArrow(run, "part long, file long, block long, first long, rows long, order int, n long, keys binary, counts binary")
 
 
 def _summed(group: pa.Table) -> pa.Table:
@@ -207,7 +229,7 @@ def _summed(group: pa.Table) -> pa.Table:
             answers[i] = packed(out[a:b], 5)
     return pa.table(
         {
-            "block": group.column("block"),
+            **{c: group.column(c) for c in _NAME},
             "part": group.column("part"),
             "order": group.column("order"),
             "n": group.column("n"),
@@ -219,8 +241,8 @@ def _summed(group: pa.Table) -> pa.Table:
 
 
 def answered(requests: DataFrame) -> DataFrame:
-    """block, part, order, n, totals (packed, in the order of the request), distinct, tokens."""
-    return requests.groupBy("part").applyInArrow(_summed, "block long, part long, order int, n long, totals binary, distinct long, tokens long")
+    """The piece, part, order, n, totals (packed, in the order of the request), distinct, tokens."""
+    return requests.groupBy("part").applyInArrow(_summed, "file long, block long, first long, rows long, part long, order int, n long, totals binary, distinct long, tokens long")
 
 
 class Automaton:
@@ -261,16 +283,51 @@ class Automaton:
         return np.array(out)
 
 
-def _counts(block: Block, answers: pa.Table, bits: int) -> list[np.ndarray]:
+class Joined:
+    """The pieces of one block, in the order of their rows: ids, held and sizes of all texts, and any run of them as a Block."""
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by("first").combine_chunks()
+        columns = {c: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for c, x in zip(table.column_names, table.columns, strict=True)}
+        self.parts = [_block(columns, i) for i in range(len(table))]
+        self.row = columns["first"][0].as_py()
+        self.ids = pa.concat_arrays([x.values for x in columns["ids"]])
+        self.held = np.concatenate([p.held for p in self.parts])
+        self.begin = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.begin) for p in self.parts]))])
+        self.found = {}
+        row = 0
+        for p in self.parts:
+            self.found[self.row + row, len(p.held)] = p
+            row += len(p.held)
+        self._hashes: np.ndarray | None = None
+
+    def block(self, first: int, rows: int) -> Block:
+        """The texts from row ``first`` on, which need not be a piece."""
+        if (first, rows) in self.found:
+            return self.found[first, rows]
+        if self._hashes is None:
+            self._hashes = np.concatenate([p.names[p.word] for p in self.parts])
+        a = first - self.row
+        begin = self.begin[a : a + rows + 1]
+        names, word = np.unique(self._hashes[begin[0] : begin[-1]], return_inverse=True)
+        return Block(names, word, begin - begin[0], self.held[a : a + rows])
+
+
+def _counts(texts: Joined, answers: pa.Table, bits: int) -> list[np.ndarray]:
     """The training counts of the n-grams that end at each token, by order; 0 where there is none."""
-    rows = {(o, p): (n, t) for o, p, n, t in zip(*(answers.column(c).to_pylist() for c in ("order", "part", "n", "totals")), strict=True)}
-    out = []
-    for order, (names, place, _) in enumerate(block.distinct(), 1):
-        total = np.zeros(len(names) + 1, np.int64)  # the last entry is for tokens without an n-gram
-        for part, at in _cells(names, bits):
-            n, data = rows[order, part]
-            total[at] = unpacked(data, n, 5).astype(np.int64)
-        out.append(total[place])
+    rows = {(o, f, r, p): (n, t) for o, f, r, p, n, t in zip(*(answers.column(c).to_pylist() for c in ("order", "first", "rows", "part", "n", "totals")), strict=True)}
+    asked_by: dict[tuple[int, int], list[int]] = {}
+    for order, first, count in sorted({x[:3] for x in rows}):
+        asked_by.setdefault((first, count), []).append(order)
+    out = [np.zeros(texts.begin[-1], np.int64) for _ in range(ORDER)]
+    for (first, count), orders in asked_by.items():
+        start = texts.begin[first - texts.row]
+        for order, (names, place, _) in zip(orders, texts.block(first, count).distinct(orders), strict=True):
+            total = np.zeros(len(names) + 1, np.int64)  # the last entry is for tokens without an n-gram
+            for part, at in _cells(names, bits):
+                n, data = rows[order, first, count, part]
+                total[at] = unpacked(data, n, 5).astype(np.int64)
+            out[order - 1][start : start + len(place)] = total[place]
     return out
 
 
@@ -281,40 +338,38 @@ def held_out(doc_id):
 def scored(spark: SparkSession, docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_grams: int = PART_GRAMS, from_files: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``.
 
-    Blocks are made anew for each pass, so the rows must come in the same partitions each time. Those of a table that is
-    read ``from_files`` do; others are written first.
+    ``from_files`` says that ``docs`` is a Parquet table as it is read; other rows are written first.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    docs = docs.select("doc_id", "text") if from_files else written(docs.select("doc_id", "text"), spark)
-    blocks = encoded(docs, block_tokens)
+    docs = docs if from_files else written(docs.select("doc_id", "text"), spark)
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    # a token has about four bytes of text
+    blocks = encoded(docs, block_tokens, max(1, min(1 << 16, block_tokens * 4 * rows // max(1, size))))
     # about two bytes of text for each n-gram that is asked for
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(0, -(-size // (2 * part_grams)) - 1).bit_length()
     single = written(answered(asked(blocks, bits, (1,))), spark)
     distinct, total = single.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     answers = single.unionByName(answered(asked(blocks, bits, tuple(range(2, ORDER + 1)))))
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = {c: left.column(c).combine_chunks() for c in left.column_names}
-        columns = {c: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for c, x in columns.items()}
-        block = _block(columns, 0)
-        count = _counts(block, right, bits)
+        texts = Joined(left)
+        count = _counts(texts, right, bits)
         model = Automaton(count, total, distinct)
-        edges = block.begin[:-1]
+        edges = texts.begin[:-1]
         return pa.table(
             {
-                "doc_id": columns["ids"][0].values,
-                "held_out": pa.array(block.held),
-                "n_tokens": pa.array(np.diff(block.begin)),
+                "doc_id": texts.ids,
+                "held_out": pa.array(texts.held),
+                "n_tokens": pa.array(np.diff(texts.begin)),
                 "n_known": pa.array(np.add.reduceat((count[0] > 0).astype(np.int64), edges)),
                 "train_tokens": pa.array(np.full(len(edges), total, np.int64)),
                 "base_score": pa.array(np.add.reduceat(model.base, edges)),
-                "score": pa.array(model.read(block.begin)),
+                "score": pa.array(model.read(texts.begin)),
             }
         )
 
     shape = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(read, shape)
+    return blocks.groupBy("file", "block").cogroup(answers.groupBy("file", "block")).applyInArrow(read, shape)
 
 
 def op5_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
