@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -219,3 +220,20 @@ def test_pipeline_keeps_what_stages_may_not_touch(spark):
     df = frame(spark, extra=True)
     for stage in (corpus_pipeline.line_dedup, corpus_pipeline.pii, corpus_pipeline.near_dedup):
         assert stage(spark, df, SMALL).columns == df.columns
+
+
+def test_pipeline_takes_columns_of_any_name_and_empty_tables(spark, tmp_path):
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for name, docs in (("odd", small.withColumns({"odd name": F.lit(1), "a.b": F.lit("x"), "x:y": F.struct(F.lit(2).alias("p.q"))})), ("none", small.where("false"))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        columns = docs.columns
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, f"{tmp_path}/{name}")
+            assert docs.columns == columns
+            docs.write.parquet(f"{tmp_path}/{name}/{_}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}/{_}")
+        assert (docs.count() > 20) == (name == "odd")
+        packed = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}

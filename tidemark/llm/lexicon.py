@@ -1,7 +1,7 @@
 """Byte-level BPE by a minimal acyclic transducer of frequent words, and exact merges for all others.
 
 Texts are split into words (the pieces of the vocabulary's own splitter, see ``bytebpe``). Words are counted over all
-documents, and the ``words`` most frequent ones, with the ids that their merges give, are compiled into a transducer: an acyclic
+documents, and the most frequent ones, at most ``words``, with the ids that their merges give, are compiled into a transducer: an acyclic
 automaton over bytes in which equal suffixes share their states, so that it is minimal, and whose arcs carry numbers that add up to the
 word's place in a list of ids. States and arcs lie in flat arrays, arcs in one table at places (state's base + byte) where no others lie. The file
 is written to the shared folder, handed to every executor by Spark, and mapped into memory by its workers, so that
@@ -16,7 +16,7 @@ Decoding joins the bytes of ids; bytes that are not UTF-8 become U+FFFD as in th
 
 Null texts are empty and have no ids. Strings of added tokens in a text are those tokens, as the library's call has it. Texts of
 any length, also without spaces, take n log n steps. Rows are encoded one by one, so ties, repeats and null ids need no
-rule; words of equal counts enter the list in the order of their bytes. Other columns are ignored, whatever their names; an empty table gives an
+rule; words of equal counts enter the list together or not at all. Other columns are ignored, whatever their names; an empty table gives an
 empty result.
 """
 
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytebpe import ByteBPE
-from tidemark.llm.shared import map_texts, shared_folder, table
+from tidemark.llm.shared import map_texts, shared_folder, table, written
 from tidemark.llm.words import pieces
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -273,8 +273,12 @@ def _words(split: ByteBPE, body: np.ndarray, at: np.ndarray) -> tuple[pa.Array,
     return words, np.searchsorted(start, edges)
 
 
-def frequent_words(docs: DataFrame, words: int = WORDS, vocabulary: str | None = None) -> list[bytes]:
-    """The ``words`` most frequent words of at most ``WORD_BYTES`` in all texts that occur twice or more."""
+def frequent_words(spark: SparkSession, docs: DataFrame, words: int = WORDS, vocabulary: str | None = None) -> list[bytes]:
+    """The most frequent words of at most ``WORD_BYTES`` in all texts, sorted: all that occur more often than a limit, which is the least of 2 or more that leaves at most ``words``.
+
+    The limit comes from two small histograms of the counts, so no task ranks words of the whole corpus. Counts from 8192 on are told apart by their
+    leading 13 bits.
+    """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def summed(tables: list[pa.Table]) -> pa.Table:
@@ -298,8 +302,22 @@ def frequent_words(docs: DataFrame, words: int = WORDS, vocabulary: str | None =
             yield from summed(held).to_batches()
 
     counts = map_texts(docs.select("text"), run, "word binary, n long").where(F.length("word") <= WORD_BYTES)
-    total = counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(words)
-    return [bytes(w) for w in total.select("word").toArrow().column("word").to_pylist()]  # at most ``words``
+    counts = written(counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), spark)
+    bits = F.length(F.bin("n"))
+    room, limit = words, 2
+    for level in sorted(counts.groupBy(bits.alias("bits")).count().collect(), reverse=True):  # at most 63 rows
+        if level["count"] > room:
+            step = 1 << max(0, level.bits - 13)
+            cells = counts.where(bits == level.bits).groupBy(F.floor(F.col("n") / step).alias("cell")).count()
+            for cell in sorted(cells.collect(), reverse=True):  # at most 4096 rows
+                if cell["count"] > room:
+                    limit = (cell.cell + 1) * step
+                    break
+                room -= cell["count"]
+            break
+        room -= level["count"]
+    kept = counts.where(F.col("n") >= limit)
+    return sorted(bytes(w) for w in kept.select("word").toArrow().column("word").to_pylist())  # at most ``words``
 
 
 def published(spark: SparkSession, lexicon: Transducer) -> str:
@@ -321,7 +339,7 @@ def published(spark: SparkSession, lexicon: Transducer) -> str:
 def lexicon(spark: SparkSession, docs: DataFrame, words: int = WORDS, vocabulary: str | None = None) -> str:
     """The name of the published transducer of the frequent words of ``docs``."""
     merges = Merges.of(vocabulary or public_tokenizers.path(VOCABULARY))
-    return published(spark, Transducer.compiled({w: merges.merge(w) for w in frequent_words(docs, words, vocabulary)}))
+    return published(spark, Transducer.compiled({w: merges.merge(w) for w in frequent_words(spark, docs, words, vocabulary)}))
 
 
 class Encoder:

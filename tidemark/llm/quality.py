@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.bytebpe import codepoints
 from tidemark.llm.shared import map_texts, table, written
@@ -259,9 +260,8 @@ def judged(docs: DataFrame, heads: tuple[Head, Head], keep: list[str]) -> DataFr
                 yield pa.RecordBatch.from_arrays([*batch.slice(row, n).columns[: len(keep)], *values], names=[*keep, *COUNTS, "base_failed", "p_quality", "p_toxic", "kept"])
 
     own = docs.select(*keep, F.col("text").alias("whole_text"))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[:-1])
-    shape += "".join(f", {c} long" for c in COUNTS) + ", base_failed boolean, p_quality double, p_toxic double, kept boolean"
-    return map_texts(own, run, shape)
+    more = [(c, T.LongType()) for c in COUNTS] + [("base_failed", T.BooleanType()), ("p_quality", T.DoubleType()), ("p_toxic", T.DoubleType()), ("kept", T.BooleanType())]
+    return map_texts(own, run, T.StructType([*own.schema.fields[:-1], *(T.StructField(*x) for x in more)]))
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tidemark.sources.scratch import shared_folder, written
 
@@ -16,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def map_texts(rows: DataFrame, run, schema: str) -> DataFrame:
+def map_texts(rows: DataFrame, run, schema: str | T.StructType) -> DataFrame:
     """``rows.mapInArrow(run, schema)`` for long texts: the session's batches get at most 1,000 rows from then on, unless it sets a number of its own.
 
     Spark's default of 10,000 rows would hold tens of megabytes of text several times in each worker and executor.
