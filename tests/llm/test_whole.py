@@ -238,3 +238,18 @@ def test_scores_do_not_depend_on_how_files_are_split(spark, tmp_path):
         for c, value in before.items():
             spark.conf.unset(c) if value is None else spark.conf.set(c, value)
     assert len(want) == 3000
+
+
+def test_common_entities_and_words_are_paired_as_classes(spark):
+    """Two logs with 300 common addresses and 500 common words, and others with different overlaps, against the definition."""
+    rng = random.Random(8)
+    ips = [f"10.{i // 200}.7.{i % 200 + 1}" for i in range(320)]
+    names = [f"host{i}" for i in range(520)]
+    rows = [(i, " ".join([*ips[:300], *names[:500], f"own{i}"]), "s") for i in range(2)]
+    rows += [(10 + i, " ".join([*rng.sample(ips[300:], 3), *rng.sample(names[490:], 6), "shared words of all"]), "s") for i in range(12)]
+    rows += [(40 + i, sentence(rng, 30) + " shared", "s") for i in range(60)]
+    want, texts = _plain_terms(rows), {i: t for i, t, _ in rows}
+    got = privacy.detected(spark, frame(spark, rows)).select("doc_id", "term").collect()
+    assert len(got) == len(rows) and sum(len(r.term) for r in got) > 900
+    for r in got:
+        assert [(x.start, x.end, x.removed) for x in r.term] == want[texts[r.doc_id]]

@@ -18,7 +18,9 @@ keep the term, as they hold no value that it could disclose; and ``support`` is
 tells a link from chance, because in a single text each of its rare words would have the full IC.
 
 Everything is DataFrame functions: words are counted over one text of each group of copies, and only
-texts that hold entities meet the telling terms. Patterns start only where a run of their characters starts (or where
+texts that hold entities meet the telling terms. Entities that stand in exactly the same texts have the same counts with every
+term, and so have terms that do: they are counted as one, so that texts with thousands of common entities and words
+do not pair each with each; and a pair that could not reach the threshold even if the rarer one never stood alone is not counted. Patterns start only where a run of their characters starts (or where
 the last match ended), which finds the same matches as the plain patterns in linear time on long
 runs, and texts are rewritten in chunks of matches, so very long texts with many of them are no special case.
 Null texts are empty: no spans. Rows with equal doc_id and text get equal spans, null ids
@@ -103,6 +105,15 @@ def _shape(word: Column) -> Column:
     return F.concat(F.when(word.rlike("^[0-9a-f]+$"), "#hex").otherwise("#mix"), F.length(word).cast("string"))
 
 
+#: Classes of entities and of terms: how many texts, and two fingerprints of which; of terms only those texts that hold entities.
+_ENTITY, _TERM = ["e1", "e2", "n_e"], ["w1", "w2", "n_t"]
+
+
+def _set(key: str, name: str) -> list[Column]:
+    """Two fingerprints of a group's set of distinct keys, whatever their order."""
+    return [F.bit_xor(F.xxhash64(F.lit(i), key)).alias(f"{name}{i}") for i in (1, 2)]
+
+
 def detected(spark: SparkSession, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """rid, doc_id, a span array for each base kind, and ``term``: array of (start, end, removed)."""
     own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), "text")
@@ -121,18 +132,31 @@ def detected(spark: SparkSession, docs: DataFrame, support: int = SUPPORT, gener
     base = written(base.select("doc_id", "rid", "tid", *KINDS, "entities", "masked", hidden.alias("hidden")), spark)
     held = base.where("masked is not null").dropDuplicates(["tid"]).select("tid", "entities", "masked", "hidden").withColumn("matches", found(F.col("masked"), RUN))
     values = held.select("tid", F.explode("entities").alias("entity"))
-    alone = values.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    pairs = values.join(alone, "entity").join(held.select("tid", F.explode(_words(F.col("matches"))).alias("word")), "tid")
-    joint = pairs.groupBy("entity", "word").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e")).where(F.col("n_te") >= support)
+    words = held.select("tid", F.explode(_words(F.col("matches"))).alias("word"))
     texts = own.select("tid", F.coalesce("text", F.lit("")).alias("whole")).dropDuplicates(["tid"])
     seen = texts.select(F.explode(_words(found(F.col("whole"), TERM))).alias("word"), F.lit(1).alias("n"))
     unseen = held.select(F.explode("hidden").alias("word"), F.lit(-1).alias("n"))
     spread = seen.unionByName(unseen).groupBy("word").agg(F.sum("n").alias("n_t"))
     total = F.lit(float(own.select("tid").distinct().count()))
-    pmi = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) * F.col("n_te") / (F.col("n_te") + 1)
-    ratio = pmi / F.greatest(F.log2(total / F.col("n_e")), F.lit(1e-9))
-    telling = joint.join(spread, "word").withColumn("ratio", ratio).where(F.col("ratio") >= generalise).select("entity", "word", "ratio")
-    hits = pairs.join(telling, ["entity", "word"]).groupBy("tid", "word").agg((F.max("ratio") >= remove).alias("removed"))
+    # entities that stand in the same texts, and terms that do, share all counts: each such class is paired once
+    entities = values.groupBy("entity").agg(F.count("*").alias("n_e"), *_set("tid", "e")).where(F.col("n_e") >= support)
+    terms_ = words.groupBy("word").agg(F.count("*").alias("n_h"), *_set("tid", "w")).where(F.col("n_h") >= support)
+    terms_ = terms_.join(spread, "word").select("word", *_TERM)
+    one = terms_.groupBy(*_TERM).agg(F.min("word").alias("word"))
+    held_entities = values.join(entities.groupBy(*_ENTITY).agg(F.min("entity").alias("entity")), "entity").select("tid", *_ENTITY)
+    pairs = held_entities.join(words.join(one, "word").select("tid", *_TERM), "tid")
+    evidence = F.log2(total / F.col("n_e"))
+
+    def pmi(joint: Column) -> Column:
+        return F.log2(total * joint / (F.col("n_t") * F.col("n_e"))) * joint / (joint + 1)
+
+    # no more texts can hold both than hold the rarer one; most pairs of an entity and a frequent word end here
+    pairs = pairs.where(pmi(F.least("n_t", "n_e")) >= generalise * evidence - 1e-9)
+    joint = pairs.groupBy(*_ENTITY, *_TERM).agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    ratio = pmi(F.col("n_te")) / F.greatest(evidence, F.lit(1e-9))
+    telling = joint.withColumn("ratio", ratio).where(F.col("ratio") >= generalise).select(*_ENTITY, *_TERM, "ratio")
+    hits = pairs.join(telling, [*_ENTITY, *_TERM]).groupBy("tid", *_TERM).agg((F.max("ratio") >= remove).alias("removed"))
+    hits = hits.join(terms_, _TERM).select("tid", "word", "removed")
     gaps = F.slice(F.split("masked", RUN, -1), F.lit(1), F.size("matches"))
     sized = F.zip_with(gaps, "matches", lambda gap, value: F.struct((F.length(gap) + F.length(value)).alias("step"), value.alias("value")))
     end = F.sum("t.step").over(Window.partitionBy("tid").orderBy("place")).cast("int")
