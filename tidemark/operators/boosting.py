@@ -173,7 +173,10 @@ def _left(bins: np.ndarray, residual: np.ndarray, fresh: list[tuple[list[tuple[i
 
 
 def _cached(chunk_blocks: DataFrame, rows: int, edges: list[np.ndarray], spark: SparkSession) -> Chunk:
-    held = written(chunk_blocks, spark).persist()
+    held = written(chunk_blocks, spark)
+    if rows <= BLOCK_ROWS:  # one block, whose sums need no exchange
+        held = held.coalesce(1)
+    held = held.persist()
     most = held.agg(F.max("most_residual").alias("r"), F.max("most_weight").alias("w")).first()
     return Chunk(held, rows, edges, most.r or 0.0, most.w or 0.0)
 
@@ -260,10 +263,8 @@ def histogram(chunk: Chunk, fresh: list[tuple[list[tuple[int, int]], np.ndarray]
         lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bins), pa.array(flat[k, some].ravel())) for k in (0, 1)]
         yield pa.RecordBatch.from_arrays([pa.array(some), *lists], names=["cell", "g", "w"])
 
-    def added(c: str):
-        return F.aggregate(F.collect_list(c), F.array_repeat(F.lit(0).cast("long"), bins), lambda a, x: F.zip_with(a, x, lambda p, q: p + q)).alias(c)
-
-    sums = chunk.blocks.mapInArrow(run, "cell long, g array<long>, w array<long>").groupBy("cell").agg(added("g"), added("w")).toArrow()
+    added = [F.expr(f"aggregate(collect_list({c}), array_repeat(0L, {bins}), (a, x) -> zip_with(a, x, (p, q) -> p + q)) as {c}") for c in ("g", "w")]
+    sums = chunk.blocks.mapInArrow(run, "cell long, g array<long>, w array<long>").groupBy("cell").agg(*added).toArrow()
     out = np.zeros((2, leaves * width, bins))
     cell = sums.column("cell").to_numpy()
     for k, (name, unit) in enumerate((("g", up), ("w", up_w))):

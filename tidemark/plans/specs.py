@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import SECOND
 from tidemark.operators.features import FEATURES, FEED, QUOTE, TRADE, Spec
-from tidemark.plans.state import Feed, market_state
+from tidemark.plans.state import Feed, carried_state, market_state
 from tidemark.sources.catalog import LIQUIDATIONS, QUOTES, TRADES, Catalog, Source, sources
 
 HORIZONS_SEC = (30, 120, 300)
@@ -88,18 +89,20 @@ def market_catalog(tables: Mapping[str, DataFrame], chunk_sec: float = 3600, sin
     return Catalog(tables, chunk_sec, "sec", since, until, back, {"quotes": LOOKAHEAD_SEC} if "quotes" in tables else {})
 
 
-def state_for(catalog: Catalog, specs: list[Spec], horizons_us: tuple[int, ...] = (), chunked: bool = True, delays: Mapping[str, int] | None = None, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
+def state_for(catalog: Catalog, specs: list[Spec], horizons_us: tuple[int, ...] = (), chunked: bool = True, delays: Mapping[str, int] | None = None, tables: Mapping[str, DataFrame] | None = None, partitions: int | None = None) -> DataFrame:
     """The market state that ``specs`` and ``horizons_us`` need.
 
     ``chunked``: windows and look-ups see what their time chunk sees; otherwise the whole tables are one chunk
     (for small data). ``tables`` are chunked tables to use instead, such as those of one chunk.
+    With ``partitions`` the rows are dealt over so many tasks, whatever the chunks; without, a chunk is one task.
     """
     delays = {"second_feed": SECOND_FEED_DELAY_US} if delays is None else delays
     read = (tables.__getitem__) if tables is not None else catalog.chunked if chunked else catalog.whole
     by = {kind: {s.window_us for s in specs if FEATURES[s.feature].source == kind and FEATURES[s.feature].windowed} for kind in (QUOTE, TRADE, FEED)}
     feeds = sorted({s.feed for s in specs if s.feed})
     quotes = horizons_us or any(FEATURES[s.feature].source == QUOTE for s in specs)
-    return market_state(
+    made = market_state if partitions is None else partial(carried_state, partitions=partitions)
+    return made(
         read("trades"),
         read("quotes") if quotes else None,
         {name: Feed(read(name), delays.get(name, 0)) for name in feeds},

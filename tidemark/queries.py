@@ -48,10 +48,10 @@ def tables(spark: SparkSession, sf_dir: str, bucketed: bool = False) -> dict[str
     return {"trades": trades, "quotes": quotes, "first_feed": liquidations, "second_feed": liquidations}
 
 
-def catalog(spark: SparkSession, sf_dir: str, bucketed: bool = False, back: int = 2 * DAY, ahead: int = 1 * DAY) -> Catalog:
+def catalog(spark: SparkSession, sf_dir: str, bucketed: bool = False, back: int = 2 * DAY, ahead: int = 1 * DAY, chunk: int = 5 * DAY) -> Catalog:
     """Chunks of five days; quotes look back and ahead, feeds back, trades neither."""
     found = tables(spark, sf_dir, bucketed)
-    return Catalog(found, 5 * DAY, "us", lookback={k: back for k in found if k != "trades"}, lookahead={"quotes": ahead})
+    return Catalog(found, chunk, "us", lookback={k: back for k in found if k != "trades"}, lookahead={"quotes": ahead})
 
 
 def _out(c) -> object:
@@ -59,11 +59,11 @@ def _out(c) -> object:
     return F.round(c, 6) + 0.0
 
 
-def _features(specs: list[tuple[str, str, int] | tuple[str, str, int, str]], bucketed: bool = False, delays: dict[str, int] | None = None) -> Callable[[SparkSession, str], DataFrame]:
+def _features(specs: list[tuple[str, str, int] | tuple[str, str, int, str]], bucketed: bool = False, delays: dict[str, int] | None = None, chunk: int = 5 * DAY, partitions: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
     made = [Spec(*s) for s in specs]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        state = state_for(catalog(spark, sf_dir, bucketed), made, delays=delays or {})
+        state = state_for(catalog(spark, sf_dir, bucketed, chunk=chunk), made, delays=delays or {}, partitions=partitions)
         return feature_table(state, made, narrow=False, keep=("seq",)).select("seq", *(_out(F.col(s.name)).alias(s.name) for s in made))
 
     return run
@@ -215,8 +215,8 @@ _feature_query("liquidation_shifted", _liq_specs, _feed_window(W6, SHIFT) + _liq
 HORIZONS = (H1, H4, H12)
 
 
-def labelled(spark: SparkSession, sf_dir: str, bucketed: bool = False, extra: list[Spec] | None = None) -> DataFrame:
-    state = state_for(catalog(spark, sf_dir, bucketed), [*(extra or []), Spec("spread", "spread_bps")], HORIZONS)
+def labelled(spark: SparkSession, sf_dir: str, bucketed: bool = False, chunk: int = 5 * DAY, partitions: int | None = None) -> DataFrame:
+    state = state_for(catalog(spark, sf_dir, bucketed, chunk=chunk), [Spec("spread", "spread_bps")], HORIZONS, partitions=partitions)
     return labels.with_pnl(state, HORIZONS)
 
 
@@ -224,9 +224,9 @@ def _hours(h: int) -> str:
     return f"{h // HOUR}h"
 
 
-def labels_pnl(bucketed: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+def labels_pnl(bucketed: bool = False, chunk: int = 5 * DAY, partitions: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = labelled(spark, sf_dir, bucketed)
+        df = labelled(spark, sf_dir, bucketed, chunk, partitions)
         marks = labels.marks(df, HORIZONS)
         return df.select(
             "seq",
@@ -381,11 +381,11 @@ SQL["validation_report"] = "SELECT * FROM (VALUES ('snap', 'OK'), ('smooth', 'OK
 # --- feature sets --------------------------------------------------------------------------------
 
 
-def feature_matrix(horizon: int) -> Callable[[SparkSession, str], DataFrame]:
+def feature_matrix(horizon: int, chunk: int = 5 * DAY, partitions: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
     specs = feature_specs(horizon, scale=SCALE)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        state = state_for(catalog(spark, sf_dir), specs, delays={"second_feed": SHIFT})
+        state = state_for(catalog(spark, sf_dir, chunk=chunk), specs, delays={"second_feed": SHIFT}, partitions=partitions)
         return feature_table(state, specs, narrow=False, keep=("seq",)).select("seq", *(_out(F.col(s.name)).alias(s.name) for s in specs))
 
     return run
@@ -449,6 +449,22 @@ for _h in (30, 120, 300):
     SQL[f"feature_matrix_{_h}_float"] = _sql_matrix(_h).replace(")::DOUBLE, 6) + 0.0 AS ", ")::FLOAT::DOUBLE, 3) + 0.0 AS ")
 
 
+# --- one busy chunk: the whole table as one chunk, dealt over tasks by ranges of time ------------------
+
+ONE_CHUNK, RANGES = 10_000 * DAY, 8
+
+
+def _in_one_chunk(sql: str) -> str:
+    return sql.replace(str(5 * DAY), str(ONE_CHUNK))
+
+
+for _name, _specs in (("asof_ties", _SNAPSHOT_SPECS), ("mid_delta_ties", [("delta", "mid_delta_bps", W6), ("side_delta", "side_mid_delta_bps", W6)]), ("ofi_ties", _ofi_specs), ("trade_flow_ties", _flow_specs), ("liquidation_ties", _liq_specs)):
+    Q[f"{_name}_one_chunk"] = _features(_specs, bucketed=True, chunk=ONE_CHUNK, partitions=RANGES)
+    SQL[f"{_name}_one_chunk"] = _in_one_chunk(SQL[_name])
+Q["labels_ties_one_chunk"], SQL["labels_ties_one_chunk"] = labels_pnl(True, ONE_CHUNK, RANGES), _in_one_chunk(SQL["labels_ties"])
+Q["feature_matrix_120_one_chunk"], SQL["feature_matrix_120_one_chunk"] = feature_matrix(120, ONE_CHUNK, RANGES), _in_one_chunk(SQL["feature_matrix_120"])
+
+
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and weight of every trade as models get them."""
     weight = sample_weight(F.col("price"), F.col("amount")).cast("double")
