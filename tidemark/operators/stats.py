@@ -10,6 +10,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.neighbours import neighbour_information
 from tidemark.plans.prefix import running
 
 
@@ -62,8 +63,7 @@ def linear_r2(df: DataFrame, x: str, y: str) -> DataFrame:
 def mutual_information(df: DataFrame, x: str, y: str, bins: int = 16) -> DataFrame:
     """Mutual information in nats of quantile bins of x and y.
 
-    A neighbour-based estimator with random jitter gives no repeatable figure; bins do, and their
-    edges come from one approximate-quantile pass.
+    One approximate-quantile pass and a small table; ``neighbours.neighbour_information`` estimates without bins.
     """
     clean = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
     shares = [i / bins for i in range(1, bins)]
@@ -95,6 +95,7 @@ ANALYZERS: dict[str, Callable[..., DataFrame]] = {
     "spearman": spearman,
     "ks": ks,
     "linear_r2": linear_r2,
-    "mutual_information": mutual_information,
+    "mutual_information": neighbour_information,
+    "mutual_information_bins": mutual_information,
     "tree_r2": tree_r2,
 }

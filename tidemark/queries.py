@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import SECOND, finite_rows, label_weight, microseconds, sample_weight, side_sign, us_to_utc_text
-from tidemark.operators import evaluation, labels, stats, training, validation
+from tidemark.operators import evaluation, labels, neighbours, stats, training, validation
 from tidemark.operators.features import Spec
 from tidemark.plans.specs import feature_specs, feature_table, market_catalog, state_for
 from tidemark.sources.catalog import Catalog, bounds_by_source
@@ -599,6 +599,23 @@ part AS (SELECT c / sum(c) OVER () * ln(c * sum(c) OVER () / (sum(c) OVER (PARTI
 SELECT round(greatest(sum(part), 0), 6) AS mutual_information FROM part"""
 )
 
+# the time of day, moved by the price, against the price: all pairs in SQL, and harmonic sums for psi (its constant cancels out)
+Q["mutual_information_neighbours"] = _stat("mutual_information", lambda _, t: neighbours.neighbour_information(t.select((F.col("timestamp") % DAY + F.col("price") * HOUR).alias("time"), "price"), "time", "price"))
+SQL["mutual_information_neighbours"] = (
+    _sql_tables()
+    + f""",
+v AS (SELECT row_number() OVER () AS i, (ts % {DAY})::DOUBLE + px * {HOUR} AS x, px AS y FROM t0),
+s AS (SELECT stddev_pop(x)::FLOAT::DOUBLE AS sx, stddev_pop(y)::FLOAT::DOUBLE AS sy, min(x)::FLOAT::DOUBLE AS mx, min(y)::FLOAT::DOUBLE AS my FROM v),
+p AS MATERIALIZED (SELECT i, CAST(round((x - mx) / sx * 4294967296) AS BIGINT) AS x, CAST(round((y - my) / sy * 4294967296) AS BIGINT) AS y FROM v, s),
+r AS MATERIALIZED (SELECT a.i, a.x, a.y, min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3)[3] AS r FROM p a JOIN p b ON a.i <> b.i GROUP BY a.i, a.x, a.y),
+near AS (
+  SELECT r.i, r.r, count(*) FILTER (p.x = r.x AND p.y = r.y) AS n, count(*) FILTER (abs(p.x - r.x) < greatest(r.r, 1)) AS nx, count(*) FILTER (abs(p.y - r.y) < greatest(r.r, 1)) AS ny
+  FROM r, p GROUP BY r.i, r.r),
+h AS (SELECT m, coalesce(sum(1.0::DOUBLE / (m - 1)) OVER (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS psi FROM (SELECT unnest(range(2, (SELECT count(*) + 1 FROM p))) AS m) UNION ALL SELECT 1, 0.0),
+f AS (SELECT avg(a.psi - b.psi - d.psi) AS part FROM near JOIN h a ON a.m = CASE WHEN r = 0 THEN n ELSE 3 END JOIN h b ON b.m = nx JOIN h d ON d.m = ny)
+SELECT round(greatest(part + (SELECT psi FROM h WHERE m = (SELECT count(*) FROM p)), 0), 6) AS mutual_information FROM f"""
+)
+
 
 # --- models ------------------------------------------------------------------------------------------
 
