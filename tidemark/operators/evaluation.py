@@ -54,6 +54,41 @@ def weighted_errors(predictions: DataFrame) -> DataFrame:
     return predictions.agg(*_error_columns())
 
 
+ACCURACY = 10_000
+
+
+def _at_places(spark: SparkSession, rows: DataFrame, places: list[int], brackets: list[float], partitions: int | None) -> DataFrame:
+    """place, cum_weight, cum_pnl (as of ``worst_first``) of the rows of ``rows`` at some ``places``, without ranking the others.
+
+    ``brackets`` are scores, close above and below those at the places for the fewest rows to be ranked; any others give the same
+    result. They cut the scores into points and the gaps between them. Counts and sums of each tell where the places lie, and only
+    points and gaps with a place are ranked, on top of what lies above them.
+    """
+    score = F.when(F.isnan("score"), float("inf")).otherwise(F.col("score").cast("double"))
+    ends = sorted({0.0 if e == 0 else e for e in brackets})
+    # 2 i: the gap below the i-th end, 2 i + 1: the end itself
+    below = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < score)) if ends else F.lit(0)
+    region = 2 * below + (F.array_contains(F.array(*map(F.lit, ends)), score).cast("int") if ends else F.lit(0))
+    rows = rows.withColumn("region", region)
+    weight, pnl = F.col("weight").cast("double"), (F.col("pnl") * F.col("weight")).cast("double")
+    sums = rows.groupBy("region").agg(F.count("*").alias("n"), F.sum(weight).alias("w"), F.sum(pnl).alias("p")).collect()  # at most 2 * ends + 1 rows
+    asked, above = sorted(places), 0
+    met: list[tuple[int, int, float, float]] = []  # region, and what the regions above it that are not ranked add
+    left = [0, 0.0, 0.0]
+    for r in sorted(sums, key=lambda r: -r.region):
+        if any(above < k <= above + r.n for k in asked):
+            met.append((r.region, *left))
+        else:
+            left = [left[0] + r.n, left[1] + (r.w or 0.0), left[2] + (r.p or 0.0)]
+        above += r.n
+    if not met:
+        return spark.createDataFrame([], "place long, cum_weight double, cum_pnl double")
+    add = F.broadcast(spark.createDataFrame(met, "region int, add_n long, add_w double, add_p double"))  # at most a row for each place
+    ranked = worst_first(spark, rows.where(F.col("region").isin([m[0] for m in met])), partitions).join(add, "region")
+    ranked = ranked.select((F.col("place") + F.col("add_n")).alias("place"), (F.col("cum_weight") + F.col("add_w")).alias("cum_weight"), (F.col("cum_pnl") + F.col("add_p")).alias("cum_pnl"))
+    return ranked.where(F.col("place").isin(asked))
+
+
 def curve(
     spark: SparkSession,
     predictions: DataFrame,
@@ -65,18 +100,21 @@ def curve(
 ) -> DataFrame:
     """One row per share: what is kept and filtered when the int(n * share) worst rows go; ValueError without rows.
 
-    ``predictions``: score, pnl, weight, timestamp, seq of valid rows, which are written once to the shared folder. Only the
-    rows at the cuts leave the ranking; totals, errors and cuts are a few dozen numbers.
+    ``predictions``: score, pnl, weight, timestamp, seq of valid rows, which are written once to the shared folder. One pass gives totals, errors and
+    approximate quantiles close to each cut, a second one what lies between these; only the rows close to a cut, and those that share
+    its score, are ranked.
     """
     held = written(predictions.select("score", "pnl", "weight", "timestamp", "seq"), spark)
     pnl = (F.col("pnl") * F.col("weight")).cast("double")
-    total = held.agg(F.count("*").alias("n"), F.sum(F.col("weight").cast("double")).alias("w"), F.sum(pnl).alias("p"), *_error_columns()).first()
+    near = sorted({min(1.0, max(0.0, 1 - f + side * 3 / ACCURACY)) for f in fractions(max_fraction)[1:] for side in (-1, 1)})
+    quantiles = F.percentile_approx(F.when(~F.isnan("score"), F.col("score").cast("double")), near, ACCURACY).alias("near")
+    total = held.agg(F.count("*").alias("n"), F.sum(F.col("weight").cast("double")).alias("w"), F.sum(pnl).alias("p"), quantiles, *_error_columns()).first()
     if not total.n:
         raise ValueError("no valid rows")
     cuts = [(f, int(total.n * f)) for f in fractions(max_fraction)]
     points = spark.createDataFrame(cuts, "filter_fraction double, place long")
-    ranked = worst_first(spark, held, partitions).where(F.col("place").isin(sorted({k for _, k in cuts})))
-    at = F.broadcast(points).join(ranked.select("place", "cum_weight", "cum_pnl"), "place", "left")
+    ranked = _at_places(spark, held, sorted({k for _, k in cuts}), total.near or [], partitions)
+    at = F.broadcast(points).join(ranked, "place", "left")
     w, p = F.lit(total.w).cast("double"), F.lit(total.p).cast("double")
     cw, cp = (F.coalesce(c, F.lit(0.0)) for c in ("cum_weight", "cum_pnl"))
 
