@@ -12,7 +12,7 @@ from tidemark.operators import evaluation, labels, training
 from tidemark.operators.boosting import HistogramBooster
 from tidemark.plans.specs import EXPERIMENTS, HORIZONS_SEC, feature_specs, market_catalog, state_for
 from tidemark.sources import sinks
-from tidemark.sources.catalog import Catalog
+from tidemark.sources.catalog import Catalog, bounds_by_source, known_bounds
 from tidemark.sources.scratch import written
 
 
@@ -20,11 +20,11 @@ from tidemark.sources.scratch import written
 PARAMS = {"trees_per_call": 300, "max_depth": 5, "learning_rate": 0.01}
 
 
-def stored_state(spark: SparkSession, catalog: Catalog, horizons_sec: Iterable[int], scale: int = SECOND) -> DataFrame:
+def stored_state(spark: SparkSession, catalog: Catalog, horizons_sec: Iterable[int], scale: int = SECOND, partitions: int | None = None) -> DataFrame:
     """The market state of all chunks with the windows of all horizons, written once, a partition for each chunk."""
     horizons = sorted(set(horizons_sec))
     specs = [spec for horizon in horizons for spec in feature_specs(horizon, scale)]
-    return written(state_for(catalog, specs, tuple(h * scale for h in horizons)), spark, by="chunk_id")
+    return written(state_for(catalog, specs, tuple(h * scale for h in horizons), partitions=partitions), spark, by="chunk_id")
 
 
 def horizon_pipeline(model, catalog: Catalog, horizon_sec: int, scale: int = SECOND, state: DataFrame | None = None) -> training.ModelPipeline:
@@ -66,16 +66,20 @@ def train(
     chunk_sec: float = 3600,
     scale: int = SECOND,
     least_turnover: float = evaluation.MIN_TURNOVER_PER_DAY,
+    bounds: Mapping[str, tuple[int | None, int | None]] | None = None,
+    partitions: int | None = None,
     **params,
 ) -> DataFrame:
     """Per horizon: models/, curves/ and importances/ below ``out``, and metadata/ with the best row; returns the summary.
 
     Periods are microseconds, end exclusive. ``scale`` is the length of a window's second. The market state of a period is
-    computed once for all horizons. ``params`` are those of the model, in place of ``PARAMS``.
+    computed once for all horizons, over ``partitions`` tasks if given, or one for each chunk. ``bounds`` are the tables' (see
+    ``footer_bounds``), if known. ``params`` are those of the model, in place of ``PARAMS``.
     """
     names, horizons, params = [], list(horizons_sec), PARAMS | params
-    catalogs = [market_catalog(tables, chunk_sec, *period) for period in (train_period, validation_period)]
-    states = [stored_state(spark, catalog, horizons, scale) for catalog in catalogs]
+    bounds = known_bounds(bounds_by_source(tables)) if bounds is None else bounds
+    catalogs = [market_catalog(tables, chunk_sec, *period, bounds) for period in (train_period, validation_period)]
+    states = [stored_state(spark, catalog, horizons, scale, partitions) for catalog in catalogs]
     for horizon in horizons:
         name = f"{EXPERIMENTS[0]}_{horizon}s"
         columns = [s.name for s in feature_specs(horizon, scale)]

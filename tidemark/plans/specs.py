@@ -83,10 +83,10 @@ def first_existing(spark, candidates: list[str]) -> str:
     raise FileNotFoundError(f"none of {candidates}")
 
 
-def market_catalog(tables: Mapping[str, DataFrame], chunk_sec: float = 3600, since: int | None = None, until: int | None = None) -> Catalog:
-    """The catalog with the default lookback and lookahead: quotes both, feeds lookback, trades neither."""
+def market_catalog(tables: Mapping[str, DataFrame], chunk_sec: float = 3600, since: int | None = None, until: int | None = None, bounds: Mapping[str, tuple[int | None, int | None]] | None = None) -> Catalog:
+    """The catalog with the default lookback and lookahead: quotes both, feeds lookback, trades neither. ``bounds`` as of ``Catalog``."""
     back = {name: LOOKBACK_SEC for name in tables if name != "trades"}
-    return Catalog(tables, chunk_sec, "sec", since, until, back, {"quotes": LOOKAHEAD_SEC} if "quotes" in tables else {})
+    return Catalog(tables, chunk_sec, "sec", since, until, back, {"quotes": LOOKAHEAD_SEC} if "quotes" in tables else {}, bounds)
 
 
 def state_for(catalog: Catalog, specs: list[Spec], horizons_us: tuple[int, ...] = (), chunked: bool = True, delays: Mapping[str, int] | None = None, tables: Mapping[str, DataFrame] | None = None, partitions: int | None = None) -> DataFrame:

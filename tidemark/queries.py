@@ -17,7 +17,7 @@ from tidemark.functions.exprs import SECOND, finite_rows, label_weight, microsec
 from tidemark.operators import evaluation, labels, neighbours, stats, training, validation
 from tidemark.operators.features import Spec
 from tidemark.plans.specs import feature_specs, feature_table, market_catalog, state_for
-from tidemark.sources.catalog import Catalog, bounds_by_source
+from tidemark.sources.catalog import Catalog, Source, bounds_by_source, footer_bounds
 
 HOUR, DAY = 3600 * SECOND, 86_400 * SECOND
 BUCKET = 600 * SECOND
@@ -310,6 +310,10 @@ SQL["chunk_assignment"] = _sql_tables() + " " + " UNION ALL ".join(f"SELECT chun
 Q["source_bounds"] = lambda spark, sf_dir: bounds_by_source({k: v for k, v in tables(spark, sf_dir).items() if k != "second_feed"})
 SQL["source_bounds"] = _sql_tables() + " " + " UNION ALL ".join(f"SELECT '{name}' AS source, min(ts) AS first_ts, max(ts) AS last_ts FROM {t}" for name, t in (("trades", "t0"), ("quotes", "q0"), ("first_feed", "l0")))
 
+_KEYS = {"events": "event_id", "orders": "o_orderkey", "lineitem": "l_orderkey"}
+Q["footer_bounds"] = lambda spark, sf_dir: footer_bounds(spark, [Source(name, f"{sf_dir.rstrip('/')}/{name}.parquet") for name in _KEYS], _KEYS)
+SQL["footer_bounds"] = " UNION ALL ".join(f"SELECT '{name}' AS source, min({key}) AS first_ts, max({key}) AS last_ts FROM {name}" for name, key in _KEYS.items())
+
 for _name, _method, _len in (("first_hour", "first_hour", HOUR), ("first_day", "first_day", DAY), ("first_two_weeks", "first_two_weeks", 14 * DAY)):
     Q[_name] = lambda spark, sf_dir, method=_method: getattr(catalog(spark, sf_dir), method)()["trades"]
     SQL[_name] = _sql_tables() + f" SELECT ts AS timestamp, seq, CASE WHEN sign > 0 THEN 'buy' ELSE 'sell' END AS side, px AS price, am AS amount FROM t0, bounds WHERE ts >= s AND ts < s + {_len}"

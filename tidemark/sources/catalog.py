@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,12 +67,44 @@ def bounds_by_source(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def _aggregating(spark: SparkSession) -> SparkSession:
+    """A session beside the given one whose Parquet reader answers minima and maxima from the files' footers."""
+    session = spark.newSession()
+    listed = session.conf.get("spark.sql.sources.useV1SourceList")
+    session.conf.set("spark.sql.sources.useV1SourceList", ",".join(name for name in listed.split(",") if name != "parquet"))
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return session
+
+
+def footer_bounds(spark: SparkSession, named: list[Source], column: str | Mapping[str, str] = "timestamp") -> DataFrame:
+    """As ``bounds_by_source`` of Parquet sources, from the footers of their files: no data is read.
+
+    ``column`` is a whole number, or a date, of all sources or of each by name. Reading the result raises if a file has no statistics.
+    """
+    session = _aggregating(spark)
+    out = None
+    for s in named:
+        at = column if isinstance(column, str) else column[s.name]
+        reader = session.read if s.schema is None else session.read.schema(s.schema)
+        one = reader.parquet(s.path).agg(F.min(f"`{at}`").alias("first_ts"), F.max(f"`{at}`").alias("last_ts")).select(F.lit(s.name).alias("source"), "first_ts", "last_ts")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no tables")
+    return out
+
+
+def known_bounds(rows: DataFrame) -> dict[str, tuple[int | None, int | None]]:
+    """First and last timestamp by source."""
+    return {r.source: (r.first_ts, r.last_ts) for r in rows.collect()}  # one row per source
+
+
 @dataclass
 class Catalog:
     """Tables by name, cut into chunks of ``window`` from ``start`` to ``end``.
 
     ``start`` is the first timestamp of all tables, or ``since`` if that is later; ``end`` the last one
-    plus 1, or ``until`` if that is earlier. ``since`` and ``until`` are microseconds.
+    plus 1, or ``until`` if that is earlier. ``since`` and ``until`` are microseconds. ``bounds`` are the tables' first and last
+    timestamps where they are known; otherwise they are looked up by reading the tables.
     """
 
     tables: Mapping[str, DataFrame]
@@ -80,6 +114,7 @@ class Catalog:
     until: int | None = None
     lookback: Mapping[str, float] = field(default_factory=dict)
     lookahead: Mapping[str, float] = field(default_factory=dict)
+    bounds: Mapping[str, tuple[int | None, int | None]] | None = None
 
     def __post_init__(self) -> None:
         self.chunk_us = to_us(self.window, self.timescale)
@@ -87,8 +122,10 @@ class Catalog:
             raise ValueError("the window must be positive")
         self.lookback_us = {k: to_us(v, self.timescale) for k, v in self.lookback.items()}
         self.lookahead_us = {k: to_us(v, self.timescale) for k, v in self.lookahead.items()}
-        rows = bounds_by_source(self.tables).collect()  # one row per source
-        firsts, lasts = [r.first_ts for r in rows if r.first_ts is not None], [r.last_ts for r in rows if r.last_ts is not None]
+        if self.bounds is None:
+            self.bounds = known_bounds(bounds_by_source(self.tables))
+        found = [self.bounds[name] for name in self.tables]
+        firsts, lasts = ([pair[i] for pair in found if pair[i] is not None] for i in (0, 1))
         if not firsts:
             raise ValueError("all tables are empty")
         self.start = min(firsts) if self.since is None else max(min(firsts), self.since)
@@ -96,7 +133,14 @@ class Catalog:
 
     @classmethod
     def of(cls, spark: SparkSession, named: list[Source], **options) -> Catalog:
-        return cls({s.name: s.read(spark) for s in named}, **options)
+        """Of Parquet sources, whose bounds come from their files' footers; or from the rows where a file has no statistics."""
+        try:
+            bounds = known_bounds(footer_bounds(spark, named))
+        except (PySparkException, Py4JJavaError) as problem:
+            if "aggregatePushdown" not in str(problem):
+                raise
+            bounds = None
+        return cls({s.name: s.read(spark) for s in named}, bounds=bounds, **options)
 
     @property
     def n_chunks(self) -> int:
