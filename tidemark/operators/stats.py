@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.neighbours import neighbour_information
 from tidemark.plans.prefix import running
+from tidemark.sources.scratch import written
 
 
 def entropy(df: DataFrame, column: str) -> DataFrame:
@@ -55,6 +56,58 @@ def ks(spark: SparkSession, first: DataFrame, second: DataFrame, column: str) ->
     return share.agg(F.max(F.abs(F.col("ca") / F.nullif(F.col("na"), F.lit(0)) - F.col("cb") / F.nullif(F.col("nb"), F.lit(0)))).alias("ks"))
 
 
+def _long(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
+    """``keep``, feature and value (double): a row for each of ``columns`` where it is not null."""
+    items = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns))
+    return df.select(*keep, F.explode(items).alias("f")).select(*keep, "f.feature", "f.value").where("value is not null")
+
+
+def _running_by_feature(spark: SparkSession, counts: DataFrame, value: str, sums: list[str]) -> DataFrame:
+    """``counts`` (feature, ``value``, numbers to add up) with upto_name: the sum of each of ``sums`` over its feature's values up to this one.
+
+    One running sum over ranges of (feature, value), so that a feature of many values is cut and small ones share a task; what the
+    features before have added is taken off.
+    """
+    upto = running(spark, counts, [F.col("feature"), F.col(value)], {f"upto_{name}": F.col(name) for name in sums})
+    base = upto.groupBy("feature").agg(*(F.min(F.col(f"upto_{name}") - F.col(name)).alias(f"base_{name}") for name in sums))
+    out = upto.join(base, "feature")
+    return out.withColumns({f"upto_{name}": F.col(f"upto_{name}") - F.col(f"base_{name}") for name in sums}).drop(*(f"base_{name}" for name in sums))
+
+
+def entropies(df: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, entropy (bits) of each of ``columns``, in one pass; nulls take no part."""
+    c = F.col("count")
+    counts = _long(df, columns, []).groupBy("feature", "value").count()
+    return counts.groupBy("feature").agg((F.log2(F.sum(c)) - F.sum(c * F.log2(c)) / F.sum(c)).alias("entropy"))
+
+
+def spearmans(spark: SparkSession, df: DataFrame, columns: list[str], y: str) -> DataFrame:
+    """feature, spearman of each of ``columns`` against ``y``, in one ranking of all; as ``spearman`` of each."""
+    rows = _long(df.select(*(F.col(f"`{c}`") for c in dict.fromkeys(columns)), F.col(f"`{y}`").alias("_y")).where("_y is not null"), columns, ["_y"])
+    cells = written(rows.groupBy("feature", "value", "_y").agg(F.count("*").alias("n")), spark)
+    ranked = cells
+    for column, name in (("value", "rx"), ("_y", "ry")):
+        upto = _running_by_feature(spark, cells.groupBy("feature", column).agg(F.sum("n").alias("n")), column, ["n"])
+        ranked = ranked.join(upto.select("feature", column, (F.col("upto_n") - (F.col("n") - 1) / 2.0).alias(name)), ["feature", column])
+    n, a, b = F.sum("n"), F.col("rx"), F.col("ry")
+
+    def mean(of: Column) -> Column:
+        return F.sum(F.col("n") * of) / n
+
+    spread = F.sqrt((mean(a * a) - mean(a) * mean(a)) * (mean(b * b) - mean(b) * mean(b)))
+    return ranked.groupBy("feature").agg(((mean(a * b) - mean(a) * mean(b)) / F.nullif(spread, F.lit(0.0))).alias("spearman"))
+
+
+def ks_statistics(spark: SparkSession, first: DataFrame, second: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, ks of each of ``columns`` between the two tables, in one pass; as ``ks`` of each."""
+    both = _long(first, columns, []).withColumns({"a": F.lit(1), "b": F.lit(0)}).unionByName(_long(second, columns, []).withColumns({"a": F.lit(0), "b": F.lit(1)}))
+    counts = both.groupBy("feature", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    upto = written(_running_by_feature(spark, counts, "value", ["a", "b"]), spark)
+    total = upto.groupBy("feature").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    gap = F.abs(F.col("upto_a") / F.nullif(F.col("na"), F.lit(0)) - F.col("upto_b") / F.nullif(F.col("nb"), F.lit(0)))
+    return upto.join(total, "feature").groupBy("feature").agg(F.max(gap).alias("ks"))
+
+
 def linear_r2(df: DataFrame, x: str, y: str) -> DataFrame:
     """In-sample R2 of a line."""
     return df.agg(F.regr_r2(F.col(y), F.col(x)).alias("r2"))

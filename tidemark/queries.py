@@ -603,6 +603,39 @@ part AS (SELECT c / sum(c) OVER () * ln(c * sum(c) OVER () / (sum(c) OVER (PARTI
 SELECT round(greatest(sum(part), 0), 6) AS mutual_information FROM part"""
 )
 
+# all columns of a feature matrix at once
+_ALL = [s.name for s in feature_specs(120, scale=SCALE)]
+_Y = "trade_signed_notional_log"
+_LONG = f", m AS MATERIALIZED ({{}}), u AS (SELECT seq, feature, v, y FROM (UNPIVOT (SELECT *, {_Y} AS y FROM m) ON {', '.join(_ALL)} INTO NAME feature VALUE v))"
+
+
+def _sql_long(rest: str) -> str:
+    with_, select = _sql_matrix(120).rsplit("\nSELECT ", 1)
+    return with_ + _LONG.format("SELECT " + select) + rest
+
+
+def _all_columns(run: Callable[[SparkSession, DataFrame], DataFrame], name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run(spark, feature_matrix(120)(spark, sf_dir)).select("feature", F.coalesce(F.round(name, 6) + 0.0, F.lit(-9.0)).alias(name))
+
+
+Q["entropies"] = _all_columns(lambda _, m: stats.entropies(m, _ALL), "entropy")
+SQL["entropies"] = _sql_long(" SELECT feature, round(entropy(v), 6) + 0.0 AS entropy FROM u GROUP BY feature")
+Q["spearmans"] = _all_columns(lambda spark, m: stats.spearmans(spark, m, _ALL, _Y), "spearman")
+SQL["spearmans"] = _sql_long(
+    """,
+k AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS rx,
+        rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry FROM u),
+g AS (SELECT feature, CASE WHEN var_pop(rx) > 0 AND var_pop(ry) > 0 THEN corr(rx, ry) END AS rho FROM k GROUP BY feature)
+SELECT feature, coalesce(round(rho, 6) + 0.0, -9.0) AS spearman FROM g"""
+)
+Q["ks_statistics"] = _all_columns(lambda spark, m: stats.ks_statistics(spark, m.where("trade_side > 0"), m.where("trade_side < 0"), _ALL), "ks")
+SQL["ks_statistics"] = _sql_long(
+    """,
+d AS (SELECT u.feature, u.v, m.trade_side > 0 AS buys FROM u JOIN m USING (seq)),
+e AS (SELECT feature, v, sum(count(*) FILTER (buys)) OVER w AS ca, sum(count(*) FILTER (NOT buys)) OVER w AS cb FROM d GROUP BY feature, v WINDOW w AS (PARTITION BY feature ORDER BY v))
+SELECT feature, round(max(abs(ca / (SELECT count(*) FROM m WHERE trade_side > 0) - cb / (SELECT count(*) FROM m WHERE trade_side < 0))), 6) + 0.0 AS ks FROM e GROUP BY feature"""
+)
+
 # the time of day, moved by the price, against the price: all pairs in SQL, and harmonic sums for psi (its constant cancels out)
 Q["mutual_information_neighbours"] = _stat("mutual_information", lambda _, t: neighbours.neighbour_information(t.select((F.col("timestamp") % DAY + F.col("price") * HOUR).alias("time"), "price"), "time", "price"))
 SQL["mutual_information_neighbours"] = (
