@@ -141,7 +141,8 @@ def detected(spark: SparkSession, docs: DataFrame, support: int = SUPPORT, gener
     # entities that stand in the same texts, and terms that do, share all counts: each such class is paired once
     entities = values.groupBy("entity").agg(F.count("*").alias("n_e"), *_set("tid", "e")).where(F.col("n_e") >= support)
     terms_ = words.groupBy("word").agg(F.count("*").alias("n_h"), *_set("tid", "w")).where(F.col("n_h") >= support)
-    terms_ = terms_.join(spread, "word").select("word", *_TERM)
+    # written, so that all texts are counted once for its two uses below
+    terms_ = written(terms_.join(spread, "word").select("word", *_TERM), spark)
     one = terms_.groupBy(*_TERM).agg(F.min("word").alias("word"))
     held_entities = values.join(entities.groupBy(*_ENTITY).agg(F.min("entity").alias("entity")), "entity").select("tid", *_ENTITY)
     pairs = held_entities.join(words.join(one, "word").select("tid", *_TERM), "tid")
