@@ -96,16 +96,21 @@ def state_for(catalog: Catalog, specs: list[Spec], horizons_us: tuple[int, ...]
     (for small data). ``tables`` are chunked tables to use instead, such as those of one chunk.
     With ``partitions`` the rows are dealt over so many tasks, whatever the chunks; without, a chunk is one task.
     """
-    delays = {"second_feed": SECOND_FEED_DELAY_US} if delays is None else delays
     read = (tables.__getitem__) if tables is not None else catalog.chunked if chunked else catalog.whole
-    by = {kind: {s.window_us for s in specs if FEATURES[s.feature].source == kind and FEATURES[s.feature].windowed} for kind in (QUOTE, TRADE, FEED)}
-    feeds = sorted({s.feed for s in specs if s.feed})
     quotes = horizons_us or any(FEATURES[s.feature].source == QUOTE for s in specs)
+    needed = ["trades", *(["quotes"] if quotes else []), *sorted({s.feed for s in specs if s.feed})]
+    return state_of({name: read(name) for name in needed}, specs, horizons_us, delays, partitions)
+
+
+def state_of(tables: Mapping[str, DataFrame], specs: list[Spec], horizons_us: tuple[int, ...] = (), delays: Mapping[str, int] | None = None, partitions: int | None = None) -> DataFrame:
+    """The market state that ``specs`` and ``horizons_us`` need of tables with chunk_id: trades, quotes, and feeds by name."""
+    delays = {"second_feed": SECOND_FEED_DELAY_US} if delays is None else delays
+    by = {kind: {s.window_us for s in specs if FEATURES[s.feature].source == kind and FEATURES[s.feature].windowed} for kind in (QUOTE, TRADE, FEED)}
     made = market_state if partitions is None else partial(carried_state, partitions=partitions)
     return made(
-        read("trades"),
-        read("quotes") if quotes else None,
-        {name: Feed(read(name), delays.get(name, 0)) for name in feeds},
+        tables["trades"],
+        tables.get("quotes"),
+        {name: Feed(tables[name], delays.get(name, 0)) for name in sorted({s.feed for s in specs if s.feed})},
         by[QUOTE],
         by[FEED],
         by[TRADE],

@@ -37,3 +37,9 @@ def file_names(spark: SparkSession, folder: str) -> list[str]:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return sorted(x.getPath().getName() for x in files.listStatus(where)) if files.exists(where) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file of any store, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
