@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import textwrap
 from collections import Counter
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 import regex
 
-from tests.llm.fixtures import frame, sentence
+from tests.llm.fixtures import frame, lower, sentence
 from tidemark.llm import backoff, hyperminhash, licences, privacy, quality
 
 # --- 9: near duplicates ---
@@ -253,3 +254,68 @@ def test_common_entities_and_words_are_paired_as_classes(spark):
     assert len(got) == len(rows) and sum(len(r.term) for r in got) > 900
     for r in got:
         assert [(x.start, x.end, x.removed) for x in r.term] == want[texts[r.doc_id]]
+
+
+def _plain_buckets(text):
+    """The buckets of a text's n-grams, in whole-number arithmetic."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def word(w):
+        base, power, total = 0x9E3779B97F4A7C15 | 5, 1, 0
+        for b in w.encode():
+            total, power = total + mix((b + 1) * 0xD1342543DE82EF95 & mask) * power & mask, power * base & mask
+        return mix(total)
+
+    def triple(a, b, c):
+        start = a * 0x9E3779B97F4A7C15 & mask
+        key = (start ^ (start >> 29)) * 0xBF58476D1CE4E5B9 + b * 0x9E3779B97F4A7C15 & mask
+        key = (key ^ (key >> 29)) * 0x94D049BB133111EB + c * 0x9E3779B97F4A7C15 & mask
+        return (key ^ (key >> 32)) * 0x94D049BB133111EB & mask
+
+    text = lower(text)
+    hashes = [word(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    out = {mix(h + 1 & mask) >> 46 for h in hashes}
+    for pair in zip(hashes, hashes[1:], strict=False):
+        g = 0
+        for h in pair:
+            g = (g ^ h) * 0x9FB21C651E98DF25 & mask
+            g ^= g >> 32
+        out.add(mix(g + 2 & mask) >> 46)
+    chars = [*map(ord, text)]
+    return out | {triple(*t) >> 46 for t in zip(chars, chars[1:], chars[2:], strict=False)}
+
+
+def test_verdicts_equal_a_plain_version(spark):
+    rng = random.Random(6)
+    good, bad = "sound careful measured clear prose", "buy now cheap click win"
+    rows = [(i, " ".join(rng.choice((good if i % 3 else bad).split()) if rng.random() < 0.3 else sentence(rng, 1) for _ in range(rng.randint(20, 120))) + (" vile insult" if i % 7 == 0 else ""), "s") for i in range(240)]
+    rows += [(900, None, "s"), (901, "", "s"), (902, "é ﬁ 日本語 \U0001f600 " * 30, "s")]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(0, 240, 2)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    heads = quality.fit(spark, docs, labels)
+    assert all(len(h.buckets) > 1 for h in heads)
+    got = {r.doc_id: r for r in quality.judged(docs, heads, ["doc_id"]).collect()}
+    for i, text, _ in rows:
+        found = _plain_buckets(text or "")
+        p = []
+        for head in heads:
+            z = head.bias + sum(w for b, w in zip(head.buckets.tolist(), head.weights.tolist(), strict=True) if b in found)
+            p.append(1 / (1 + math.exp(-max(-50, min(50, head.slope * z + head.offset)))))
+        assert (got[i].p_quality, got[i].p_toxic) == pytest.approx(tuple(p), abs=1e-9)
+        assert got[i].kept == (not got[i].base_failed and p[0] >= 0.5 and p[1] < 0.3)
+    assert {r.kept for r in got.values()} == {True, False}
+    # the heads themselves, from the plain buckets
+    known = {r.doc_id: r for r in labels.collect()}
+    order = [r.doc_id for r in labels.selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h", "doc_id").collect()]
+    texts = {i: t for i, t, _ in rows}
+    each = [sorted(_plain_buckets(texts[i])) for i in order]
+    flat, edge = np.concatenate(each).astype(np.int32), np.cumsum([0, *map(len, each)])
+    again = quality.fit_head(flat, edge, np.array([known[i].quality for i in order]), 1.0)
+    assert (again.buckets == heads[0].buckets).all() and np.allclose(again.weights, heads[0].weights)
