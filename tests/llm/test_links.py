@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -67,6 +68,30 @@ def test_top_k_of_repeated_ids(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("kind", ["clusters", "one vector", "one id", "one row"])
+def test_two_levels_of_centres(spark, kind):
+    """Cells of more than a block get centres of their own; a third of all rows with one vector, one vec_id or both."""
+    rng = np.random.default_rng(11)
+    n = 1500
+    x = (rng.normal(size=(12, 8))[rng.integers(0, 12, n)] * 3 + 0.2 * rng.normal(size=(n, 8))).astype(np.float32)
+    ids = np.arange(n)
+    if kind in ("one vector", "one row"):
+        x[:500] = x[7]
+    if kind in ("one id", "one row"):
+        ids[:500] = 77
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    vectors = covertree.integer_vectors(df.repartition(3))
+    got = Counter(tuple(r) for r in covertree.top_k(spark, vectors, vectors.where("vec_id % 50 = 0"), pivots=8, block_rows=(16, 24)).collect())
+    assert got == _plain_top(ids, x, [i for i in range(n) if ids[i] % 50 == 0], 5)
+
+
+def test_equal_rows_beyond_k_are_left_out():
+    ids, v = [1, 2] * 6 + [3], [[1, 2], [3, 4]] * 5 + [[1, 2], [9, 9], [5, 6]]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(v, pa.list_(pa.int64()))], names=["vec_id", "v"])
+    got = Counter((i, tuple(x)) for b in covertree._thinned([batch, batch], 3) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    assert got == {(1, (1, 2)): 3, (2, (3, 4)): 3, (2, (9, 9)): 2, (3, (5, 6)): 2}
+
+
 def test_search_prunes():
     rng = np.random.default_rng(1)
     centres = rng.integers(-4000, 4000, (20, 6))

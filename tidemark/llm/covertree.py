@@ -1,11 +1,14 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Rows are dealt to cells around pivots (the rows with the smallest hashes of vec_id, at most
-``pivots``), which are the upper level of the data's tree: a cell has its pivot as centre and its
-greatest distance as covering radius. A cell of many rows is cut into blocks by a hash, so a common
-vector never fills one task. A query's scores with the pivots, which are rows themselves, give a
-first k-th score, and only blocks of cells whose bound reaches it see the query. In each pair of a
-block and a group of queries, both sides are indexed by cover trees; the search descends node pairs
+The upper levels of the data's tree are centres, which are rows themselves: the vectors with the smallest
+hashes, at most ``pivots`` over all rows, and below each whose cell (the rows nearest to it) is more than a block at most
+``pivots`` more out of that cell, with cells of their own. Each cell of each level has its greatest distance as covering radius. Small
+cells share blocks. A lower cell that is still more than a block, such as the copies of one vector, is cut by a hash of its rows, so
+no cell fills one task. Of rows that are equal in vec_id and vector a task keeps k: more cannot be in a result.
+
+A query's scores with the centres of the first level and with those of its best cell give a first k-th score. Only
+cells whose bound reaches it are looked at, then only the cells below them whose bound does, and only their blocks see the query. In each
+pair of a block and a group of queries, both sides are indexed by cover trees; the search descends node pairs
 best bound first and prunes a pair as soon as
 
     <cq, cr> + |cq| * rr + rq * |cr| + rq * rr
@@ -13,7 +16,8 @@ best bound first and prunes a pair as soon as
 (centres c, covering radii r) is below the worst k-th score in the query node. Ties are never
 pruned. The k best of each block meet in a last ranking. Scores are exact integers.
 
-A block is sent to a group of queries only if one of the group asked for it.
+A block is sent to a group of queries only if one of the group asked for it. All tasks get the centres: at most ``pivots`` and
+``CENTRE_BYTES`` together.
 
 Vectors that are null, or hold null or non-finite components, and rows without vec_id take no
 part. A query meets vectors of its own length only. Query rows that share a vec_id are one query, the least
@@ -28,7 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import table, written
@@ -38,6 +42,7 @@ PIVOTS = 256
 BLOCK_ROWS = (512, 8192)
 QUERY_ROWS = 4096
 LEAF = 24
+CENTRE_BYTES = 64 << 20
 
 
 class Node:
@@ -126,95 +131,193 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.int64).reshape(len(column), dim)
 
 
-def top_k(spark: SparkSession, data: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS) -> DataFrame:
+def _thinned(batches, k: int):
+    """The same batches of (vec_id, v) without what is equal to ``k`` or more earlier rows of one batch."""
+    full: dict[int, set[bytes]] = {}
+    for batch in batches:
+        ids, back, counts = np.unique(batch.column(0).to_numpy(), return_inverse=True, return_counts=True)
+        many = np.flatnonzero((counts > k)[back] | (np.isin(ids, list(full))[back] if full else False))
+        if len(many):
+            drop, seen = [], {}
+            for i in many.tolist():
+                name, value = batch.column(0)[i].as_py(), batch.column(1)[i].values.to_numpy().tobytes()
+                seen[name, value] = times = seen.get((name, value), 0) + 1
+                if times > k or value in full.get(name, ()):
+                    drop.append(i)
+            for (name, value), times in seen.items():
+                if times >= k:
+                    full.setdefault(name, set()).add(value)
+            batch = batch.take(pa.array(np.setdiff1d(np.arange(len(batch)), drop)))
+        yield batch
+
+
+def _spread(ids: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A number of each row that depends on its vec_id and its vector."""
+    odd = np.arange(1, 2 * v.shape[1] + 1, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    mixed = (v.astype(np.uint64) * odd).sum(axis=1, dtype=np.uint64) + ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (mixed ^ (mixed >> np.uint64(29))) >> np.uint64(7)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row and the distance to it."""
+    at = ((centres * centres).sum(1) - 2 * x @ centres.T).argmin(axis=1)
+    return at, np.sqrt(((x - centres[at]) ** 2).sum(axis=1))
+
+
+def _reaches(score: np.ndarray, norm: np.ndarray, radii: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether rows with these radii around centres with these scores can reach a score."""
+    most = score + norm[:, None] * radii
+    return most + 1e-9 * np.abs(most) + 1e-6 >= least[:, None]
+
+
+def _kth(score: np.ndarray, names: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th score among centres that aren't its own; none if there are fewer."""
+    if len(names) < k:
+        return np.full(len(ids), -np.inf)
+    others = np.where(names == ids[:, None], -np.inf, score)
+    return -np.partition(-others, k - 1, axis=1)[:, k - 1]
+
+
+def _by_dim(batch: pa.RecordBatch):
+    """(length, rows, vec_ids, matrix) for each length of vectors."""
+    ids, dims = batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy()
+    for dim in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == dim)
+        yield dim, at, ids[at], _matrix(batch.column(1).take(pa.array(at)), dim)
+
+
+def _share(column: Column) -> Column:
+    """A hash as a number from 0 to 1."""
+    return F.shiftrightunsigned(column, 1) / float(1 << 63)
+
+
+def top_k(spark: SparkSession, data: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, block_rows: tuple[int, int] = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of ``data`` for each vec_id of ``queries`` (both as of ``integer_vectors``)."""
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    centres: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).toArrow()
-    for dim in {len(v) for v in chosen.column("v")}:
-        some = chosen.filter(pa.array([len(v) == dim for v in chosen.column("v")]))
-        centres[dim] = (some.column("vec_id").to_numpy(), _matrix(some.column("v"), dim))
+    # first level: the distinct vectors with the smallest hashes; only about eight times as many are grouped
+    mark = F.xxhash64("v")
+    distinct = max(1, data.agg(F.approx_count_distinct(mark)).first()[0])
+    some = data.where(_share(mark) < 8.0 * pivots / distinct).groupBy("v").agg(F.min("vec_id").alias("vec_id"))
+    chosen = some.orderBy(mark, "v").limit(pivots).select("vec_id", "v").toArrow().combine_chunks()
+    tops: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in chosen.to_batches():
+        tops |= {dim: (ids, x.astype(float)) for dim, _, ids, x in _by_dim(batch) if dim}
+    below: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     def celled(batches):
-        for batch in batches:
-            dims = np.array([len(v) for v in batch.column(1)], np.int64)
-            cell, away = np.full(len(dims), -1, np.int64), np.zeros(len(dims))
-            for dim in np.unique(dims):
-                if int(dim) in centres and dim:
-                    at = np.flatnonzero(dims == dim)
-                    x, c = _matrix(batch.column(1).take(pa.array(at)), int(dim)).astype(float), centres[int(dim)][1].astype(float)
-                    square = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
-                    cell[at] = square.argmin(axis=1)
-                    away[at] = np.sqrt(((x - c[cell[at]]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(away)], names=["vec_id", "v", "dim", "cell", "away"])
-
-    near = data.mapInArrow(celled, "vec_id long, v array<long>, dim int, cell int, away double")
-    stats = near.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()  # at most pivots + lengths
-    rows = sum(s.n for s in stats)
-    wide = min(BLOCK_ROWS[1], max(BLOCK_ROWS[0], rows // 64))
-    cuts = {(s.dim, s.cell): -(-s.n // wide) for s in stats}
-    by_dim: dict[int, list] = {}
-    for s in stats:
-        by_dim.setdefault(s.dim, []).append((s.cell, s.radius, cuts[s.dim, s.cell]))
-    groups = max(1, -(-queries.count() // QUERY_ROWS))
+        """Rows with length, cell, the cell below (0 where there is none), and the distances to both centres."""
+        for batch in _thinned(batches, k):
+            out = [np.zeros(len(batch), np.int64), np.full(len(batch), -1, np.int64), np.zeros(len(batch), np.int64), np.zeros(len(batch)), np.zeros(len(batch))]
+            for dim, at, _, v in _by_dim(batch):
+                out[0][at] = dim
+                if dim not in tops:
+                    continue
+                x = v.astype(float)
+                out[1][at], out[3][at] = cell, away = _nearest(x, tops[dim][1])
+                low, near = np.zeros(len(at), np.int64), away.copy()
+                for c in np.unique(cell).tolist():
+                    if (dim, c) in below:
+                        rows = np.flatnonzero(cell == c)
+                        low[rows], near[rows] = _nearest(x[rows], below[dim, c][1])
+                out[2][at], out[4][at] = low, near
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(o) for o in out)], names=["vec_id", "v", "dim", "cell", "low", "away", "near"])
+
+    cells_shape = "vec_id long, v array<long>, dim long, cell long, low long, away double, near double"
+    first = data.mapInArrow(celled, cells_shape)
+    top_stats = first.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.approx_count_distinct(mark).alias("distinct")).collect()  # at most pivots + lengths
+    wide = min(block_rows[1], max(block_rows[0], sum(s.n for s in top_stats) // 64))
+    stats = [(s.dim, s.cell, 0, s.n, s.radius) for s in top_stats]
+    reach = {(s.dim, s.cell): s.radius for s in top_stats}
+
+    # second level: centres out of the cells that are more than a block
+    wanted = {(s.dim, s.cell): min(pivots, 2 * -(-s.n // wide)) for s in top_stats if s.n > wide and s.cell >= 0 and s.radius > 0}
+    fit = min(1.0, CENTRE_BYTES / max(1, sum(8 * dim * m for (dim, _), m in wanted.items())))
+    plans = [(dim, cell, max(1, int(m * fit))) for (dim, cell), m in wanted.items()]
+    if plans:
+        sizes = {(s.dim, s.cell): s.distinct for s in top_stats}
+        aim = spark.createDataFrame([(d, c, m, 8.0 * m / sizes[d, c]) for d, c, m in plans], "dim long, cell long, m long, part double")
+        each = Window.partitionBy("dim", "cell").orderBy("mark", "v")  # some 8 m rows each
+        centres = (
+            first.join(F.broadcast(aim), ["dim", "cell"])  # at most one row for each pivot
+            .withColumn("mark", mark)
+            .where(_share(F.col("mark")) < F.col("part"))
+            .groupBy("dim", "cell", "m", "mark", "v")
+            .agg(F.min("vec_id").alias("vec_id"))
+            .withColumn("i", F.row_number().over(each))
+            .where("i <= m")
+        )
+        found = centres.select("dim", "cell", "vec_id", "v").orderBy("dim", "cell", "mark", "v").toArrow().combine_chunks()
+        keys = np.stack([found.column("dim").to_numpy(), found.column("cell").to_numpy()], axis=1)
+        for dim, cell in np.unique(keys, axis=0).tolist():
+            at = np.flatnonzero((keys == (dim, cell)).all(axis=1))
+            own = found.take(pa.array(at))
+            below[dim, cell] = (own.column("vec_id").to_numpy(), _matrix(own.column("v"), dim).astype(float))
+        second = data.mapInArrow(celled, cells_shape).groupBy("dim", "cell", "low").agg(F.count("*").alias("n"), F.max("near").alias("radius"))
+        stats = [tuple(s) for s in second.collect()]  # at most one row for each centre
 
     # small cells share a block: blocks are numbered over the cells, about ``wide`` rows each
-    block_of: dict[tuple[int, int], tuple[int, int]] = {}
-    number, filled = 0, 0
-    for s in sorted(stats, key=lambda s: (s.dim, s.cell)):
-        if cuts[s.dim, s.cell] > 1:
+    block_of: dict[tuple[int, int, int], tuple[int, int]] = {}
+    number, filled, last = 0, 0, None
+    for dim, cell, low, n, _ in sorted(stats):
+        cut = -(-n // wide)
+        if cut > 1 or last != dim or filled + n > wide:
             number, filled = number + 1, 0
-            block_of[s.dim, s.cell] = (number, cuts[s.dim, s.cell])
-            number += cuts[s.dim, s.cell]
-        else:
-            if filled + s.n > wide or not block_of or list(block_of)[-1][0] != s.dim:
-                number, filled = number + 1, 0
-            block_of[s.dim, s.cell] = (number, 1)
-            filled += s.n
+        block_of[dim, cell, low] = (number, cut)
+        filled, last = filled + n, dim
+        if cut > 1:
+            number, last = number + cut - 1, None
+    # by length and cell: the cells below it with their radii, first blocks and numbers of blocks
+    leaves: dict[int, dict[int, list[np.ndarray]]] = {}
+    for dim, cell, low, _, radius in sorted(stats):
+        leaves.setdefault(dim, {}).setdefault(cell, []).append((low, radius, *block_of[dim, cell, low]))
+    leaves = {dim: {cell: [np.array(x) for x in zip(*rows, strict=True)] for cell, rows in cells.items()} for dim, cells in leaves.items()}
+    groups = max(1, -(-queries.count() // QUERY_ROWS))
 
     def placed(batches):
         for batch in celled(batches):
-            keys = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
-            ids = batch.column(0).to_numpy()
-            spread = (ids * 0x9E3779B1) >> 7
-            block = np.array([block_of[key][0] for key in keys], np.int64) + spread % np.array([block_of[key][1] for key in keys], np.int64)
+            block = np.zeros(len(batch), np.int64)
+            cell, low = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            for dim, at, ids, v in _by_dim(batch):
+                put = np.array([block_of[dim, c, w] for c, w in zip(cell[at].tolist(), low[at].tolist(), strict=True)], np.int64)
+                block[at] = put[:, 0] + (_spread(ids, v) % put[:, 1].astype(np.uint64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(block)], names=["vec_id", "v", "block"])
 
-    # by length: blocks as (first block, their number), and the cells and radii of each
-    plan: dict[int, list[tuple[int, int, list[int], list[float]]]] = {}
-    for dim, cells in by_dim.items():
-        shared: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for cell, radius, cut in cells:
-            own = shared.setdefault((block_of[dim, cell][0], cut), ([], []))
-            own[0].append(cell)
-            own[1].append(radius)
-        plan[dim] = [(first, cut, *own) for (first, cut), own in sorted(shared.items())]
-
     def asked(batches):
         for batch in batches:
-            ids, dims = batch.column(0).to_numpy(), np.array([len(v) for v in batch.column(1)], np.int64)
             at, blocks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for dim in np.unique(dims).tolist():
-                rows = np.flatnonzero(dims == dim)
-                bounded = dim in centres and dim
-                if bounded:
-                    q = _matrix(batch.column(1).take(pa.array(rows)), dim).astype(float)
-                    names, c = centres[dim]
-                    score, norm = q @ c.T.astype(float), np.sqrt((q * q).sum(axis=1))
-                    least = np.full(len(rows), -np.inf)  # a k-th score that other rows, the pivots, reach
-                    if len(names) >= k:
-                        others = np.where(names == ids[rows][:, None], -np.inf, score)
-                        least = -np.partition(-others, k - 1, axis=1)[:, k - 1]
-                for first, cut, cells, radii in plan.get(dim, []):
-                    want = np.ones(len(rows), bool)
-                    if bounded and min(cells) >= 0:
-                        most = score[:, cells] + norm[:, None] * np.array(radii)
-                        want = (most + 1e-9 * np.abs(most) + 1e-6 >= least[:, None]).any(axis=1)
-                    hit = rows[want]
-                    at.append(np.repeat(hit, cut))
-                    blocks.append(np.tile(np.arange(first, first + cut), len(hit)))
-            at = pa.array(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(blocks))], names=["vec_id", "v", "block"])
+
+            def ask(rows: np.ndarray, firsts: np.ndarray, cuts: np.ndarray) -> None:
+                at.append(np.repeat(rows, cuts))
+                blocks.append(np.repeat(firsts - np.cumsum(cuts) + cuts, cuts) + np.arange(cuts.sum()))
+
+            for dim, rows, ids, v in _by_dim(batch):
+                cells = leaves.get(dim, {})
+                if dim not in tops:
+                    for _, _, firsts, cuts in cells.values():
+                        ask(np.repeat(rows, len(firsts)), np.tile(firsts, len(rows)), np.tile(cuts, len(rows)))
+                    continue
+                q = v.astype(float)
+                names, c = tops[dim]
+                score, norm = q @ c.T, np.sqrt((q * q).sum(axis=1))
+                least = _kth(score, names, ids, k)
+                inner = [x for x in cells if (dim, x) in below]
+                if inner:
+                    best = np.array(inner)[(score[:, inner] + norm[:, None] * np.array([reach[dim, x] for x in inner])).argmax(axis=1)]
+                    for x in np.unique(best).tolist():
+                        of = np.flatnonzero(best == x)
+                        names, c = below[dim, x]
+                        least[of] = np.maximum(least[of], _kth(q[of] @ c.T, names, ids[of], k))
+                for x, (lows, radii, firsts, cuts) in cells.items():
+                    of = np.flatnonzero(_reaches(score[:, [x]], norm, np.array([reach[dim, x]]), least)[:, 0])
+                    if (dim, x) in below:
+                        hit, leaf = np.nonzero(_reaches(q[of] @ below[dim, x][1][lows].T, norm[of], radii, least[of]))
+                        of = of[hit]
+                    else:
+                        leaf = np.zeros(len(of), np.int64)
+                    ask(rows[of], firsts[leaf], cuts[leaf])
+            pairs = np.unique(np.stack([np.concatenate(at), np.concatenate(blocks)], axis=1), axis=0)  # cells share blocks
+            rows = pa.array(pairs[:, 0])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pairs[:, 1])], names=["vec_id", "v", "block"])
 
     shape = "vec_id long, v array<long>, block long"
     put = written(queries.mapInArrow(asked, shape).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")), spark)
