@@ -7,7 +7,7 @@ cells share blocks. A lower cell that is still more than a block, such as the co
 no cell fills one task. Of rows that are equal in vec_id and vector a task keeps k: more cannot be in a result.
 
 A query's scores with the centres of the first level and with those of its best cell give a first k-th score. Only
-cells whose bound reaches it are looked at, then only the cells below them whose bound does, and only their blocks see the query. In each
+cells whose bound reaches it are looked at, then only the cells below them whose bound does, and only their blocks see the query, which starts there with that score. In each
 pair of a block and a group of queries, both sides are indexed by cover trees; the search descends node pairs
 best bound first and prunes a pair as soon as
 
@@ -81,14 +81,17 @@ def _bound(q: Node, r: Node) -> float:
     return most + 1e-9 * (abs(most) + q.norm * r.norm) + 1e-6
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vec_id, score) of the k best data rows of each query, by score descending, then vec_id."""
+def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int = K, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vec_id, score) of the k best data rows of each query, by score descending, then vec_id.
+
+    Rows below a query's ``least``, where given, are not looked for.
+    """
     size = max(int(np.abs(queries).max(initial=0)), int(np.abs(data).max(initial=0)))
     exact = np.float64 if size * size * max(1, data.shape[1]) < 1 << 53 else np.int64
     q_exact, d_exact = queries.astype(exact), data.astype(exact)
     q_points, d_points = queries.astype(np.float64), data.astype(np.float64)
     best: list[list[tuple[int, int]]] = [[] for _ in queries]  # (-score, vec_id), sorted
-    kth = np.full(len(queries), -np.inf)
+    kth = np.full(len(queries), -np.inf) if least is None else least.copy()
 
     def meet(q: Node, r: Node) -> None:
         score = q_exact[q.rows] @ d_exact[r.rows].T
@@ -284,7 +287,7 @@ def top_k(spark: SparkSession, data: DataFrame, queries: DataFrame, k: int = K,
 
     def asked(batches):
         for batch in batches:
-            at, blocks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            at, blocks, floor = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.full(len(batch), -np.inf)
 
             def ask(rows: np.ndarray, firsts: np.ndarray, cuts: np.ndarray) -> None:
                 at.append(np.repeat(rows, cuts))
@@ -307,6 +310,7 @@ def top_k(spark: SparkSession, data: DataFrame, queries: DataFrame, k: int = K,
                         of = np.flatnonzero(best == x)
                         names, c = below[dim, x]
                         least[of] = np.maximum(least[of], _kth(q[of] @ c.T, names, ids[of], k))
+                floor[rows] = least - 1e-9 * np.abs(least) - 1e-6
                 for x, (lows, radii, firsts, cuts) in cells.items():
                     of = np.flatnonzero(_reaches(score[:, [x]], norm, np.array([reach[dim, x]]), least)[:, 0])
                     if (dim, x) in below:
@@ -317,10 +321,10 @@ def top_k(spark: SparkSession, data: DataFrame, queries: DataFrame, k: int = K,
                     ask(rows[of], firsts[leaf], cuts[leaf])
             pairs = np.unique(np.stack([np.concatenate(at), np.concatenate(blocks)], axis=1), axis=0)  # cells share blocks
             rows = pa.array(pairs[:, 0])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pairs[:, 1])], names=["vec_id", "v", "block"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pairs[:, 1]), pa.array(floor[pairs[:, 0]])], names=["vec_id", "v", "block", "least"])
 
     shape = "vec_id long, v array<long>, block long"
-    put = written(queries.mapInArrow(asked, shape).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")), spark)
+    put = written(queries.mapInArrow(asked, f"{shape}, least double").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")), spark)
     needed = put.select(F.col("block").alias("asked_block"), F.col("part").alias("asked_part")).distinct()
     held = data.mapInArrow(placed, shape).join(needed, F.col("block") == F.col("asked_block")).select("vec_id", "v", "block", F.col("asked_part").alias("part"))
 
@@ -330,7 +334,7 @@ def top_k(spark: SparkSession, data: DataFrame, queries: DataFrame, k: int = K,
         else:
             dim = len(left.column("v")[0])
             ids = right.column("vec_id").to_numpy()
-            found = search(_matrix(right.column("v"), dim), ids, _matrix(left.column("v"), dim), left.column("vec_id").to_numpy(), k)
+            found = search(_matrix(right.column("v"), dim), ids, _matrix(left.column("v"), dim), left.column("vec_id").to_numpy(), k, right.column("least").to_numpy())
         return pa.table({"query_id": pa.array(ids[found[0]], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.int64())})
 
     each = held.groupBy("block", "part").cogroup(put.groupBy("block", "part")).applyInArrow(pair, "query_id long, vec_id long, score long")
