@@ -152,6 +152,14 @@ def test_wrapped_quotes_and_any_turns(spark):
     assert sorted(got, key=lambda t: (got[t].thread, got[t].place)) == [-20, -3, 10**11 + 1, 10**11]
 
 
+def test_a_message_that_everyone_answers(spark):
+    """Answers over many ranges of turns, with gaps between them, keep the order of their turns."""
+    turns = [t for t in range(1, 9000) if t % 3 and not 2000 < t < 7000]
+    rows = [(1, 0, "user", "What now?")] + [(1, t, "user", f"> What now?\nAnswer {t}.") for t in turns]
+    got = {r.turn: (r.parent, r.thread, r.place) for r in quotes.linked(spark, _messages(spark, rows)).collect()}
+    assert got == {0: (None, 0, 0)} | {t: (0, 0, i) for i, t in enumerate(turns, 1)}
+
+
 def test_long_reply_chain(spark):
     rows = [(1, 0, "u", "line 0"), *((1, i, "u", f"> line {i - 1}\nline {i}") for i in range(1, 40))]
     got = {r.turn: (r.thread, r.place) for r in quotes.linked(spark, _messages(spark, rows)).collect()}

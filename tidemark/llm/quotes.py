@@ -16,8 +16,8 @@ and rounds of doubling those steps count what lies ahead. Their tables have two
 tree, and a chain of n messages takes about log 2n rounds; the driver sees only whether steps are left.
 
 Only conversations with quotes are taken apart, and only hashes that are quoted somewhere are kept. The latest
-earlier message is looked up within ranges of ``SPAN`` turns, and across ranges among one row for each, so long conversations
-and common passages make no pairs and no large group. Rows with null conv_id or turn link nothing and keep their own
+earlier message is looked up within ranges of ``SPAN`` turns, and across ranges among one row for each, and so is the next answer to the same message, so long conversations,
+common passages and a message that everyone answers make no pairs and no large group. Rows with null conv_id or turn link nothing and keep their own
 text, as threads of their own; a null text has no lines. Rows that share conv_id and turn are one message for links: answers name
 the turn. Turns may be any numbers, also negative. Other columns are ignored; an empty table gives an empty result.
 """
@@ -106,9 +106,15 @@ def order(links: DataFrame, spark: SparkSession) -> DataFrame:
     nodes = links.unionByName(
         links.select("conv_id", F.col("parent").alias("turn")).distinct().join(links, ["conv_id", "turn"], "left_anti").withColumn("parent", F.lit(None).cast(dict(links.dtypes)["parent"]))
     )
-    beside = F.when(F.col("parent").isNotNull(), F.lead("turn").over(Window.partitionBy("conv_id", "parent").orderBy("turn")))
+    # the next answer beside each one: within its range of turns, or the first of the next range that has any
+    span = F.floor(F.col("turn") / SPAN)
+    heads = links.groupBy("conv_id", "parent", span.alias("span")).agg(F.min("turn").alias("head"))
+    heads = heads.select("conv_id", "parent", "span", F.lead("head").over(Window.partitionBy("conv_id", "parent").orderBy("span")).alias("after"))
+    within = Window.partitionBy("conv_id", "parent", "span").orderBy("turn")
+    beside = links.withColumn("span", span).withColumn("within", F.lead("turn").over(within)).join(heads, ["conv_id", "parent", "span"])
+    beside = beside.select("conv_id", "turn", F.coalesce("within", "after").alias("beside"))
     first = links.groupBy("conv_id", F.col("parent").alias("turn")).agg(F.min("turn").alias("child"))
-    nodes = nodes.withColumn("beside", beside).join(first, ["conv_id", "turn"], "left")
+    nodes = nodes.join(beside, ["conv_id", "turn"], "left").join(first, ["conv_id", "turn"], "left")
     # a step down goes on to the first answer or turns round; a step up goes on to the next answer beside it or up again
     down = nodes.select("conv_id", "turn", F.lit(0).alias("side"), F.coalesce("child", "turn").alias("to"), F.when(F.col("child").isNull(), 1).otherwise(0).alias("to_side"), F.lit(1).cast("long").alias("ahead"))
     up = nodes.select("conv_id", "turn", F.lit(1).alias("side"), F.coalesce("beside", "parent").alias("to"), F.when(F.col("beside").isNull(), 1).otherwise(0).alias("to_side"), F.lit(0).cast("long").alias("ahead"))
