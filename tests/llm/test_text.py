@@ -317,6 +317,41 @@ def test_near_duplicates_in_chained_components(spark, most):
     assert got == want and 10 < sum(r[3] for r in want) < 100
 
 
+def test_no_link_is_lost_beyond_the_size_of_all_pairs(spark, monkeypatch):
+    """5,000 texts of one candidate component: each differs from the one before it by a run of words, many at exactly 0.75 or just below."""
+    rng = np.random.default_rng(12)
+    text, texts = [f"w{i}" for i in range(60)], []
+    for i in range(5000):
+        n, first = int(rng.integers(3, 6)), int(rng.integers(5, 50))  # n words are in n + 4 of 56 shingles: 0.75 for n = 4, 0.72 for n = 5
+        text = [f"x{i}n{j}" if first <= j < first + n else w for j, w in enumerate(text)]
+        texts.append(" ".join(text))
+    ids = rng.permutation(len(texts)).tolist()
+    sizes = []
+    real = hyperminhash._large
+    monkeypatch.setattr(hyperminhash, "_large", lambda spark, own, bands, percent, most: sizes.append(bands.select("rep").distinct().count()) or real(spark, own, bands, percent, most))
+    got = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(spark, frame(spark, [(i, t, "s") for i, t in zip(ids, texts, strict=True)])).collect()}
+    assert sizes == [5000]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    holders, common, links = {}, Counter(), []
+    for i, shingles in enumerate(sets):
+        for x in shingles:
+            common.update((j, i) for j in holders.setdefault(x, []))
+            holders[x].append(i)
+    links = [(a, b) for (a, b), n in common.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)]
+    up = {i: i for i in ids}
+
+    def find(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in links:
+        p, q = sorted((find(ids[a]), find(ids[b])))
+        up[q] = p
+    assert len(links) > 3000 and len(set(map(find, ids))) > 1000
+    assert got == {i: find(i) for i in ids}
+
+
 def test_near_duplicates_edges(spark):
     assert hyperminhash.near_duplicates(spark, empty(spark)).count() == 0
     df = frame(spark)
