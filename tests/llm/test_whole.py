@@ -182,6 +182,10 @@ def _licence_files(mark, width):
         ("ISC", ["isc-grant"]),
         ("Unlicense", ["unlicense", "unlicense-free"]),
         ("Zlib", ["zlib-warranty", "zlib-grant"]),
+        ("GPL-3.0 WITH GCC-exception-3.1", ["gpl-program", "gpl3-redistribute", "gpl-hope", "gpl-implied", "gpl-details", "gcc-exception"]),
+        ("GPL-2.0 WITH Classpath-exception-2.0", ["gpl-program", "gpl2-redistribute", "gpl2-version", "gpl-hope", "gpl-implied", "gpl-details", "classpath-exception"]),
+        ("CDDL-1.0", ["cddl-form", "apache-comply"]),
+        ("Apache-2.0 OR MIT", ["apache-or-mit"]),
     ]
     rows = []
     for i, (_, keys) in enumerate(need):
@@ -194,8 +198,24 @@ def _licence_files(mark, width):
             rows.append((2 * i + k, "\n".join(mark + x for x in lines), "s"))
     form = licences.SENTENCES["mpl-form"][0] + " 2.0. " + licences.SENTENCES["mpl-copy"][0]
     rows.append((98, "\n".join(mark + x for x in textwrap.wrap(form, width)), "s"))
+    fsf = "Copyright (C) Free Software Foundation, Inc. <https://fsf.org/>\n" + licences.SENTENCES["gnu-verbatim"][0]
+    bodies = [
+        ("Apache-2.0", f"Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\n{licences.SENTENCES['apache-body'][0]}\n\n1. Definitions."),
+        ("GPL-3.0", f"GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n{fsf}\n\nPreamble\n\n{licences.SENTENCES['gpl3-preamble'][0]}"),
+        ("GPL-2.0", f"GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\n{fsf}\n\nPreamble"),
+        ("AGPL-3.0", f"GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n\n{fsf}\n\nPreamble\n\n{licences.SENTENCES['agpl-preamble'][0]}"),
+        ("LGPL-3.0", f"GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n{fsf}\n\n{licences.SENTENCES['lgpl3-body'][0]}"),
+        ("LGPL-2.1", f"GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n\n{fsf}"),
+        ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions"),
+        ("EUPL-1.2", "Copyright A. Person\n" + licences.SENTENCES["eupl-notice"][2]),
+        ("Artistic-2.0", "The Artistic License 2.0\n\nPreamble"),
+        ("MS-PL", "Microsoft Public License (Ms-PL)\n\nThis license governs use of the accompanying software. If you use it, you accept it."),
+        ("Apache-2.0 OR MIT", "SPDX-License-Identifier: MIT OR Apache-2.0\ncode"),
+    ]
+    rows += [(200 + i, "\n".join(mark + x for x in text.split("\n")), "s") for i, (_, text) in enumerate(bodies)]
     rows.append((99, f"{mark}MIT License\n{mark}some text\n{mark}SPDX-License-Identifier: BSD-3-Clause\n", "s"))
     want = {2 * i + k: name for i, (name, _) in enumerate(need) for k in (0, 1)} | {98: "MPL-2.0", 99: "MIT,BSD-3-Clause"}
+    want |= {200 + i: name for i, (name, _) in enumerate(bodies)}
     return rows, want
 
 

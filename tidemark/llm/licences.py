@@ -31,7 +31,9 @@ SENTENCES = {
     "mit-warranty": [
         'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
     ],
-    "apache-title": ["Apache License", "Apache License, Version 2.0", "Apache License Version 2.0, January 2004"],
+    "apache-title": ["Apache License", "Apache License, Version 2.0", "Apache License Version 2.0, January 2004", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
+    "apache-body": ["TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
+    "apache-or-mit": ["Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "SPDX-License-Identifier: Apache-2.0 OR MIT", "SPDX-License-Identifier: MIT OR Apache-2.0"],
     "apache-notice": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License");', "SPDX-License-Identifier: Apache-2.0"],
     "apache-comply": ["you may not use this file except in compliance with the License."],
     "apache-copy": ["You may obtain a copy of the License at", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
@@ -41,6 +43,19 @@ SENTENCES = {
     "apache-see": ["See the License for the specific language governing permissions and limitations under the License."],
     "gpl3-notice": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
     "gpl2-notice": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "gpl3-title": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "gpl2-title": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "agpl-title": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "lgpl3-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "lgpl21-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "gnu-verbatim": ["Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."],
+    "gpl3-preamble": ["The GNU General Public License is a free, copyleft license for software and other kinds of works."],
+    "agpl-preamble": ["The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."],
+    "lgpl3-body": ["This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."],
+    "gpl2-classpath": ["SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0"],
+    "classpath-exception": ["Linking this library statically or dynamically with other modules is making a combined work based on this library."],
+    "gpl3-gcc": ["SPDX-License-Identifier: GPL-3.0-or-later WITH GCC-exception-3.1"],
+    "gcc-exception": ["Under Section 7 of GPL version 3, you are granted additional permissions described in the GCC Runtime Library Exception, version 3.1, as published by the Free Software Foundation."],
     "gpl-program": ["This program is free software:"],
     "gpl3-redistribute": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "gpl2-redistribute": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;"],
@@ -68,6 +83,7 @@ SENTENCES = {
     "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "isc-notice": ["SPDX-License-Identifier: ISC"],
     "0bsd-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "mpl-title": ["Mozilla Public License Version 2.0"],
     "mpl-form": ["This Source Code Form is subject to the terms of the Mozilla Public License, v."],
     "mpl-notice": ["SPDX-License-Identifier: MPL-2.0"],
     "mpl-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
@@ -85,6 +101,19 @@ SENTENCES = {
     "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
     "zlib-notice": ["SPDX-License-Identifier: Zlib"],
     "epl-notice": ["SPDX-License-Identifier: EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "eupl-notice": [
+        "SPDX-License-Identifier: EUPL-1.2",
+        "Licensed under the EUPL, Version 1.2.",
+        'Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the "Licence");',
+    ],
+    "artistic-title": ["The Artistic License 2.0"],
+    "artistic-notice": ["SPDX-License-Identifier: Artistic-2.0", "Licensed under the Artistic License 2.0."],
+    "cddl-title": ["COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0"],
+    "cddl-form": ['The contents of this file are subject to the terms of the Common Development and Distribution License (the "License").'],
+    "cddl-notice": ["SPDX-License-Identifier: CDDL-1.0"],
+    "mspl-title": ["Microsoft Public License (Ms-PL)"],
+    "mspl-body": ["This license governs use of the accompanying software."],
+    "mspl-notice": ["SPDX-License-Identifier: MS-PL"],
 }
 
 # Licence and the identifiers it shows, in the order in which rules apply.
@@ -95,6 +124,16 @@ RULES = [
     ("MIT", ["mit-grant", "mit-condition"]),
     ("Apache-2.0", ["apache-notice", "apache-comply", "apache-copy", "apache-warranty", "apache-see"]),
     ("Apache-2.0", ["apache-notice", "apache-comply", "apache-copy"]),
+    ("Apache-2.0", ["apache-title", "apache-body"]),
+    ("GPL-3.0 WITH GCC-exception-3.1", ["gpl-program", "gpl3-redistribute", "gpl-hope", "gpl-implied", "gpl-details", "gcc-exception"]),
+    ("GPL-2.0 WITH Classpath-exception-2.0", ["gpl-program", "gpl2-redistribute", "gpl2-version", "gpl-hope", "gpl-implied", "gpl-details", "classpath-exception"]),
+    ("GPL-3.0", ["gpl3-title", "gnu-verbatim", "gpl3-preamble"]),
+    ("GPL-2.0", ["gpl2-title", "gnu-verbatim"]),
+    ("AGPL-3.0", ["agpl-title", "gnu-verbatim", "agpl-preamble"]),
+    ("LGPL-3.0", ["lgpl3-title", "gnu-verbatim", "lgpl3-body"]),
+    ("LGPL-2.1", ["lgpl21-title", "gnu-verbatim"]),
+    ("CDDL-1.0", ["cddl-form", "apache-comply"]),
+    ("MS-PL", ["mspl-title", "mspl-body"]),
     ("GPL-3.0", ["gpl-program", "gpl3-redistribute", "gpl-hope", "gpl-implied", "gpl-details"]),
     ("GPL-3.0", ["gpl-program", "gpl3-redistribute", "gpl-hope"]),
     ("GPL-2.0", ["gpl-program", "gpl2-redistribute", "gpl2-version", "gpl-hope", "gpl-implied", "gpl-details"]),
@@ -139,6 +178,24 @@ RULES = [
     ("Zlib", ["zlib-grant"]),
     ("Zlib", ["zlib-notice"]),
     ("EPL-2.0", ["epl-notice"]),
+    ("Apache-2.0 OR MIT", ["apache-or-mit"]),
+    ("GPL-2.0 WITH Classpath-exception-2.0", ["gpl2-classpath"]),
+    ("GPL-3.0 WITH GCC-exception-3.1", ["gpl3-gcc"]),
+    ("GPL-3.0", ["gpl3-title"]),
+    ("GPL-2.0", ["gpl2-title"]),
+    ("AGPL-3.0", ["agpl-title"]),
+    ("LGPL-3.0", ["lgpl3-title"]),
+    ("LGPL-3.0", ["lgpl3-body"]),
+    ("LGPL-2.1", ["lgpl21-title"]),
+    ("MPL-2.0", ["mpl-title"]),
+    ("EUPL-1.2", ["eupl-notice"]),
+    ("Artistic-2.0", ["artistic-title"]),
+    ("Artistic-2.0", ["artistic-notice"]),
+    ("CDDL-1.0", ["cddl-title"]),
+    ("CDDL-1.0", ["cddl-form"]),
+    ("CDDL-1.0", ["cddl-notice"]),
+    ("MS-PL", ["mspl-title"]),
+    ("MS-PL", ["mspl-notice"]),
 ]
 CUT = r"\n(?:[^A-Za-z0-9\n]*\n)+|(?<!SPDX-License-Identifier:)(?<=[.!?;:])[\x20\x09-\x0D]+"
 
