@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tests.llm.fixtures import documents, empty, frame, lower, words
+from tests.llm.fixtures import documents, empty, frame, lower, sentence, words
 from tidemark.llm import backoff, boilerplate, hyperminhash, licences, packing, piecebpe, privacy, quality
 from tidemark.llm.bytebpe import ByteBPE
 from tidemark.llm.words import Words, mix, pieces
@@ -264,6 +265,70 @@ def test_sentencepiece(spark):
     assert piecebpe.digests(empty(spark)).count() == 0
 
 
+def _digest_batches(monkeypatch, texts):
+    """Rows of digests without Spark: what one task does with the batches of 1,000 texts."""
+    monkeypatch.setattr(piecebpe, "map_texts", lambda rows, run, schema: run)
+
+    class Docs:
+        dtypes = [("doc_id", "bigint")]
+
+        def select(self, *names):
+            return self
+
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    return [tuple(r.values()) for b in piecebpe.digests(Docs())(table.to_batches(1000)) for r in b.to_pylist()]
+
+
+def _sentencepiece_rows(library, texts):
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t or ""), 2]
+        yield i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_sentencepiece_looks_up_each_distinct_word_once_per_batch(monkeypatch):
+    looked = 0
+
+    class Known(dict):
+        def __getitem__(self, key):
+            nonlocal looked
+            looked += 1
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            nonlocal looked
+            looked += 1
+            return super().get(key, default)
+
+    rng = random.Random(8)
+    texts = [sentence(rng, 100) for _ in range(1000)]
+    own = piecebpe.PieceBPE.of(public_tokenizers.path(piecebpe.VOCABULARY))
+    monkeypatch.setattr(own, "known", Known())
+    got = _digest_batches(monkeypatch, texts)
+    assert looked < 2000  # of 140,037 words and marks, 80 are distinct
+    assert got == [*_sentencepiece_rows(own.library, texts)]
+
+
+@pytest.mark.parametrize(("size", "most"), [(4 << 20, 200 << 20), (60, 200 << 20), (1, 1000)])
+def test_sentencepiece_cuts_and_slices(monkeypatch, size, most):
+    """Words cut out of a batch, slices of any size and a cache that is emptied on the way leave the library's ids."""
+    monkeypatch.setattr(piecebpe, "SLICE", size, raising=False)
+    monkeypatch.setattr(piecebpe, "MOST_BYTES", most)
+    rng = random.Random(9)
+    bits = ["a", "Th", "the", " ", " ", "  ", "▁", "▁ ", " ▁", "\n", "\r\n", "\t", ".", ",", "!?", "_", "'s", "-", "é", "e\u0301", "日本", "\U0001f600", "12", "½", "²", "\x00", "\x81", "▀", "</s>", "ﬁ", "\u3000", "\u00a0", "xy" * 80]
+    texts = [None, "", " ", "▁", "\n", None, *("".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(1500)), "x" * 5000, ""]
+    own = piecebpe.PieceBPE.of(public_tokenizers.path(piecebpe.VOCABULARY))
+    assert _digest_batches(monkeypatch, texts) == [*_sentencepiece_rows(own.library, texts)]
+
+
+@pytest.mark.parametrize("length", [1, 2, 7, 30, 100])
+def test_sentencepiece_agenda_in_a_list_and_in_a_heap(length):
+    own = piecebpe.PieceBPE.of(public_tokenizers.path(piecebpe.VOCABULARY))
+    rng = random.Random(length)
+    for _ in range(200):
+        part = "".join(rng.choices("aab" if length > 7 else "theionßü日", k=length))
+        assert own._short(part) == own._long(part)
+
+
 # --- 9: near duplicates ---
 
 
